@@ -28,10 +28,10 @@ def entities_long(df: DataFrame, id_col: str, text: str, category: str | None =
                   kinds: Sequence[str] = tuple(ent.KINDS), caps=ent.KIND_CAPS) -> DataFrame:
     """(id, kind, value, pos) for every entity of every text."""
     wide = entities_wide(df, text, category, kinds, caps)
-    tagged = F.flatten(F.array(*[
-        F.transform(F.col(k), lambda v, i, k=k: F.struct(F.lit(k).alias("kind"), v.alias("value"), i.alias("pos")))
-        for k in kinds
-    ]))
+    def tag(kind: str) -> Column:
+        return F.transform(kind, lambda v, i: F.struct(F.lit(kind).alias("kind"), v.alias("value"), i.alias("pos")))
+
+    tagged = F.flatten(F.array(*[tag(k) for k in kinds]))
     return wide.select(id_col, F.inline(tagged))
 
 
@@ -97,10 +97,11 @@ def entity_profiles(rows: DataFrame, id_col: str, month: str, category: str) ->
         F.count(F.lit(1)).alias("n"), F.min(month).alias("first_seen"), F.max(month).alias("last_seen"))
     sets = {"months": F.array(F.col(month)), "categories": F.array(F.col(category)), "handles": F.col("handles"),
             "emails": F.col("emails"), "phones": F.col("phones"), "urls": F.col("urls")}
-    tagged = F.flatten(F.array(*[
-        F.transform(values, lambda v, k=k: F.struct(F.lit(k).alias("what"), v.cast("string").alias("value")))
-        for k, values in sets.items()
-    ]))
+
+    def tag(what: str, values: Column) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(what).alias("what"), v.cast("string").alias("value")))
+
+    tagged = F.flatten(F.array(*[tag(k, values) for k, values in sets.items()]))
     pairs = rows.select("kind", "name", F.inline(tagged)).distinct()
     gathered = pairs.groupBy("kind", "name").agg(*[
         F.array_sort(F.collect_list(F.when(F.col("what") == k, F.col("value")))).alias(k) for k in sets])

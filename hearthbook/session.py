@@ -22,6 +22,7 @@ def local_session(app: str = "hearthbook", cpus: int | None = None) -> SparkSess
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("HEARTHBOOK_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
