@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["contacts", "texts", "links"]
+AREAS = ["contacts", "texts", "links", "activity"]
 
 
 def load():

@@ -5,6 +5,8 @@ The text is expected to be cleaned of screen furniture first (``text.clean_lines
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, functions as F
 
 from hearthbook.functions.text import all_matches, any_of, dedup_ci, matches, strip
@@ -139,14 +141,17 @@ def extract_contacts(text: Column, category: Column | None = None) -> Column:
     return F.when(category_has(category, ent.MESSAGE_CATEGORY_WORDS), F.slice(names, 1, 1)).otherwise(empty)
 
 
-def extractors(text: Column, category: Column | None = None, caps=ent.KIND_CAPS) -> dict[str, Column]:
-    """All kinds at once, in rendering order."""
-    return {
-        "phones": extract_phones(text), "emails": extract_emails(text), "urls": extract_urls(text),
-        "handles": extract_handles(text), "dates_mentioned": extract_dates(text),
-        "prices": extract_prices(text), "addresses": extract_addresses(text),
-        "tickers": extract_tickers(text), "todos": extract_todos(text, caps),
-        "quotes": extract_quotes(text, category, caps), "products": extract_products(text, caps),
-        "services": extract_services(text, category, caps), "people": extract_people(text, caps),
-        "contacts": extract_contacts(text, category),
+def extractors(text: Column, category: Column | None = None, caps=ent.KIND_CAPS,
+               kinds: Sequence[str] = tuple(ent.KINDS)) -> dict[str, Column]:
+    """Array column of each wanted kind."""
+    makers = {
+        "phones": lambda: extract_phones(text), "emails": lambda: extract_emails(text),
+        "urls": lambda: extract_urls(text), "handles": lambda: extract_handles(text),
+        "dates_mentioned": lambda: extract_dates(text), "prices": lambda: extract_prices(text),
+        "addresses": lambda: extract_addresses(text), "tickers": lambda: extract_tickers(text),
+        "todos": lambda: extract_todos(text, caps), "quotes": lambda: extract_quotes(text, category, caps),
+        "products": lambda: extract_products(text, caps),
+        "services": lambda: extract_services(text, category, caps),
+        "people": lambda: extract_people(text, caps), "contacts": lambda: extract_contacts(text, category),
     }
+    return {k: makers[k]() for k in kinds}

@@ -20,7 +20,7 @@ def entities_wide(df: DataFrame, text: str, category: str | None = None, kinds:
                   caps=ent.KIND_CAPS) -> DataFrame:
     """Add one array column per entity kind."""
     cleaned = df.withColumn("_clean", clean_lines(F.col(text)))
-    cols = extractors(F.col("_clean"), F.col(category) if category else None, caps)
+    cols = extractors(F.col("_clean"), F.col(category) if category else None, caps, kinds)
     return cleaned.select(*df.columns, *[cols[k].alias(k) for k in kinds])
 
 

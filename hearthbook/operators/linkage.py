@@ -6,6 +6,7 @@ import json
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -179,12 +180,12 @@ def _scan_small(docs: DataFrame, id_col: str, text: Column, words: list[str]) ->
             def find(t: str) -> set[str]:
                 return {w for w in known if w in t}
         for pdf in frames:
-            ids, keys = [], []
-            for i, t in zip(pdf["id"], pdf["text"]):
+            rows, keys = [], []
+            for i, t in enumerate(pdf["text"]):
                 for w in find(t or ""):
-                    ids.append(i)
+                    rows.append(i)
                     keys.append(w)
-            yield pd.DataFrame({"id": pd.Series(ids, dtype=pdf["id"].dtype), "key": keys})
+            yield pd.DataFrame({"id": pdf["id"].to_numpy()[rows], "key": np.array(keys, dtype=object)})
 
     source = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     return source.mapInPandas(scan, f"id {id_type}, key string")
