@@ -7,6 +7,8 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from hearthbook.session import spread
+
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
     "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -22,13 +24,18 @@ class Query(NamedTuple):
 REGISTRY: dict[str, Query] = {}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# Tables whose rows cost much to look at: their scans are spread over all cores.
+TEXT_TABLES = ("documents", "pages")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, wide: bool = False) -> DataFrame:
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(scan) if wide or name in TEXT_TABLES else scan
 
 
-def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+def derive(spark: SparkSession, sf_dir: str, sql: str, wide: tuple[str, ...] = ()) -> DataFrame:
     """Input shape of a query, written in SQL both engines read; ``{orders}`` names a table."""
-    used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql}
+    used = {t: table(spark, sf_dir, t, t in wide) for t in TABLES if "{" + t + "}" in sql}
     return spark.sql(sql, **used)
 
 

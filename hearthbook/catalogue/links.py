@@ -63,12 +63,15 @@ _entity_query("entity_urls", "F23c F24", "urls", dedup_sql(
     f"select doc_id, list_filter(v, lambda u: length(u) >= 6 and not list_contains({sql_list(ent.URL_NOISE)}, lower(split_part(split_part(u, '/', 1), '?', 1)))) as v from ({matches_sql(ent.URL)}) m"))
 _entity_query("entity_todos", "F23i F24", "todos", f"select * from ({dedup_sql(matches_sql(ent.TODO))}) t where pos < 10")
 
-# The phone pattern looks around itself; SQL strips the neighbours by hand.
+# The phone pattern looks around itself: SQL tries every start behind a non-digit and keeps the
+# leftmost of overlapping finds.
+_PHONE = r"(?:\+?1[\s.-]?)?(?:\(\d{3}\)|\d{3})[\s.\-]?\d{3}[\s.\-]?\d{4}"
 _entity_query("entity_phones", "F23a", "phones", f"""
-select doc_id, value, row_number() over (partition by doc_id order by p) - 1 as pos from (
-  select doc_id, p, regexp_extract(v[p], '((?:\\+?1[\\s.-]?)?(?:\\(\\d{{3}}\\)|\\d{{3}})[\\s.\\-]?\\d{{3}}[\\s.\\-]?\\d{{4}})', 1) as value, text from (
-    select doc_id, v, text, unnest(range(1, len(v) + 1)) as p from (
-      select doc_id, text, regexp_extract_all(regexp_replace(text, '(\\d)(\\D)', '\\1\\2', 'g'), '(?:^|[^0-9])((?:\\+?1[\\s.-]?)?(?:\\(\\d{{3}}\\)|\\d{{3}})[\\s.\\-]?\\d{{3}}[\\s.\\-]?\\d{{4}})(?:[^0-9]|$)', 1) as v from ({_cleaned_sql()}) c) f) g) h""")
+with s as (select doc_id, text, unnest(range(1, length(text) + 1)) as i from ({_cleaned_sql()}) c where regexp_matches(text, '[0-9]{{3}}')),
+f as (select doc_id, i, regexp_extract(substring(text, i, 30), '^({_PHONE})(?:[^0-9]|$)', 1) as value from s
+  where substring(text, i, 1) in ('+', '(', '0', '1', '2', '3', '4', '5', '6', '7', '8', '9') and (i = 1 or not regexp_matches(substring(text, i - 1, 1), '[0-9]'))),
+k as (select *, coalesce(max(i + length(value)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as busy from f where value <> '')
+select doc_id, value, row_number() over (partition by doc_id order by i) - 1 as pos from k where i >= busy""")
 
 # Kinds that need look-around or category hints run on every text without a twin; fixtures test them.
 @query("entity_mixed_kinds", "F23j F23k F23l F23m F23n A17")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from hearthbook.catalogue.base import derive, query, sql_list, sql_text, table
@@ -95,8 +97,14 @@ def contact_eras(spark, sf_dir):
     return t.select("c", fd.eras(F.col("a"), F.col("b")).alias("eras"))
 
 
+def edged(pattern: str) -> str:
+    """Word edges next to letters of any script, for tests of existence only."""
+    pattern = re.sub(r"\\b(?=\w)", lambda m: r"(?:^|[^\p{L}\p{N}_])", pattern)
+    return pattern.replace(r"\b", r"(?:[^\p{L}\p{N}_]|$)")
+
+
 def tags_sql(text: str, era: str, rules) -> str:
-    themes = "[" + ", ".join(f"case when regexp_matches({text}, {sql_text(unicode_words(p))}) then {sql_list(t)} end" for p, t in rules) + "]"
+    themes = "[" + ", ".join(f"case when regexp_matches({text}, {sql_text(edged(unicode_words(p)))}) then {sql_list(t)} end" for p, t in rules) + "]"
     return f"array_to_string(list_sort(list_distinct(list_concat([{era}, 'press'], coalesce(nullif(flatten(list_filter({themes}, lambda x: x is not null)), []), ['profile'])))), '|')"
 
 
@@ -127,7 +135,7 @@ select * from (select *, cast(ts as date) as day, strftime(ts, '%Y-%m') as month
 
 
 def _events(spark, sf_dir):
-    return tl.timeline_events(derive(spark, sf_dir, THREADS))
+    return tl.timeline_events(derive(spark, sf_dir, THREADS, ("lineitem",)))
 
 
 @query("timeline_events", "F15 F56 W5 L3", f"select epoch_us(ts) as ts, event_type, subject, contact_email from ({_EVENTS}) e")

@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
+from hearthbook.functions.prefilter import contains_any
 from hearthbook.functions.text import all_matches, any_of, dedup_ci, matches, strip
 from hearthbook.rulesets import entities as ent
 
@@ -34,7 +35,7 @@ def _groups(text: Column, pattern: str, n: int) -> Column:
 def category_has(category: Column | None, words: list[str]) -> Column:
     if category is None:
         return F.lit(False)
-    return F.coalesce(matches(F.lower(category), any_of(words)), F.lit(False))
+    return F.coalesce(contains_any(F.lower(category), list(words)), F.lit(False))
 
 
 def extract_phones(text: Column) -> Column:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
-from hearthbook.functions.text import any_of, matches
+from hearthbook.functions.prefilter import contains_any
 from hearthbook.rulesets import mail
 
 
 def ends_with_any(c: Column, endings: list[str]) -> Column:
-    return matches(c, "(?:" + any_of(endings) + ")$")
+    return reduce(lambda a, b: a | b, [F.endswith(c, F.lit(e)) for e in endings])
 
 
 def domain_of(addr: Column) -> Column:
@@ -20,7 +22,7 @@ def is_automated(sender: Column, list_unsub: Column, precedence: Column) -> Colu
     """Automated or bulk mail by sender, domain or header."""
     s = F.lower(F.coalesce(sender, F.lit("")))
     return (
-        matches(s, any_of(mail.AUTOMATED_SENDER_PARTS))
+        contains_any(s, mail.AUTOMATED_SENDER_PARTS)
         | ends_with_any(domain_of(s), mail.BULK_DOMAINS)
         | (F.coalesce(list_unsub, F.lit("")) != "")
         | F.coalesce(F.lower(precedence).isin(mail.BULK_PRECEDENCE), F.lit(False))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from hearthbook.functions.prefilter import contains_any, may_match, plain_words
 from hearthbook.rulesets import mail, ocr
 
 
@@ -29,6 +30,14 @@ def unicode_words(pattern: str) -> str:
     return "".join(out)
 
 
+def let(value: Column, body) -> Column:
+    """Compute ``value`` once and use it many times in ``body``.
+
+    Long rule lists stay out of the generated code of the stage, which has a size limit.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -47,9 +56,21 @@ def matches(c: Column, pattern: str) -> Column:
     return F.regexp_like(c, F.lit(pattern))
 
 
+def occurs(c: Column, pattern: str) -> Column:
+    """True when the pattern occurs; plain words are searched as such."""
+    words = plain_words(pattern)
+    if words:
+        return contains_any(c, words)
+    found = matches(c, unicode_words(pattern))
+    need = may_match(c, pattern)
+    return found if need is None else need & found
+
+
 def hits(c: Column, pattern: str) -> Column:
     """Number of non-overlapping matches."""
-    return F.regexp_count(c, F.lit(unicode_words(pattern)))
+    counted = F.regexp_count(c, F.lit(unicode_words(pattern)))
+    need = may_match(c, pattern)
+    return counted if need is None else F.when(need, counted).otherwise(0)
 
 
 def extract(c: Column, pattern: str, group: int = 1) -> Column:
@@ -57,7 +78,10 @@ def extract(c: Column, pattern: str, group: int = 1) -> Column:
 
 
 def all_matches(c: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(c, F.lit(unicode_words(pattern)), F.lit(group))
+    """Every match, or one group of each, in text order."""
+    found = F.regexp_extract_all(c, F.lit(unicode_words(pattern)), F.lit(group))
+    need = may_match(c, pattern)
+    return found if need is None else F.when(need, found).otherwise(F.array().cast("array<string>"))
 
 
 # -- slugs and file names -----------------------------------------------------------------------
@@ -280,7 +304,7 @@ def is_ad_image(src: Column, width: Column, height: Column, parts: list[str] | N
     h = F.replace(height, F.lit("px"), F.lit("")).try_cast("int")
     tiny = (w.isNotNull() & h.isNotNull()) & ((w < MIN_IMAGE_SIDE) | (h < MIN_IMAGE_SIDE))
     return (
-        matches(F.lower(src), any_of(parts or AD_IMAGE_PARTS))
+        contains_any(F.lower(src), list(parts or AD_IMAGE_PARTS))
         | F.coalesce(tiny, F.lit(False))
         | F.startswith(src, F.lit("data:"))
     )
@@ -289,7 +313,7 @@ def is_ad_image(src: Column, width: Column, height: Column, parts: list[str] | N
 def is_video_url(url: Column) -> Column:
     from hearthbook.rulesets.files import VIDEO_DOMAINS
 
-    return F.coalesce(matches(link_host(url), any_of(VIDEO_DOMAINS)), F.lit(False))
+    return F.coalesce(contains_any(link_host(url), VIDEO_DOMAINS), F.lit(False))
 
 
 def is_error_page(title: Column) -> Column:

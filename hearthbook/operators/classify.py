@@ -10,18 +10,21 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hearthbook.functions.text import any_of, hits, matches, strip, unicode_words
+from hearthbook.functions.prefilter import contains_any
+from hearthbook.functions.text import hits, let, matches, occurs, strip
 from hearthbook.rulesets import chat, files, ocr, timeline
 
 
 def first_hit(text: Column, rules: Sequence[tuple[str, str]], default: Column | None = None) -> Column:
     """Label of the first rule whose pattern occurs in the lower-cased text, else ``default``."""
-    low = F.lower(text)
-    out = None
-    for label, pattern in rules:
-        cond = matches(low, unicode_words(pattern))
-        out = F.when(cond, label) if out is None else out.when(cond, label)
-    return out.otherwise(default if default is not None else F.lit(None).cast("string"))
+    def chain(low: Column) -> Column:
+        out = None
+        for label, pattern in rules:
+            cond = occurs(low, pattern)
+            out = F.when(cond, label) if out is None else out.when(cond, label)
+        return out.otherwise(default if default is not None else F.lit(None).cast("string"))
+
+    return let(F.lower(text), chain)
 
 
 def event_type(subject: Column, body: Column) -> Column:
@@ -35,7 +38,7 @@ def narrative_role(summary: Column, notable: Column, total: Column, kind: Column
     text = F.lower(F.concat_ws(" ", F.coalesce(summary, F.lit("")), F.coalesce(notable, F.lit(""))))
     out = None
     for label, words in timeline.NARRATIVE_RULES:
-        cond = matches(text, any_of(words))
+        cond = contains_any(text, list(words))
         out = F.when(cond, label) if out is None else out.when(cond, label)
     return (
         out.when(total >= 100, "core collaborator")
@@ -47,11 +50,9 @@ def narrative_role(summary: Column, notable: Column, total: Column, kind: Column
 
 def multi_label(text: Column, rules: Mapping[str, Sequence[str]], default: str = "uncategorized") -> Column:
     """Every label with a keyword in the lower-cased text, in rule order."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    found = F.filter(
-        F.array(*[F.when(matches(low, any_of(list(words))), F.lit(label)) for label, words in rules.items()]),
-        lambda x: x.isNotNull(),
-    )
+    labels = let(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.array(
+        *[F.when(contains_any(low, list(words)), F.lit(label)) for label, words in rules.items()]))
+    found = F.filter(labels, lambda x: x.isNotNull())
     return F.when(F.size(found) == 0, F.array(F.lit(default))).otherwise(found)
 
 
@@ -62,11 +63,9 @@ def skip_conversation(title: Column, patterns: Sequence[str] = tuple(chat.SKIP_P
 
 def theme_tags(text: Column, era: Column, rules=timeline.THEME_RULES) -> Column:
     """Sorted tags: era, ``press`` and themes; ``profile`` when no theme applies."""
-    low = F.lower(text)
-    themes = F.flatten(F.filter(
-        F.array(*[F.when(matches(low, unicode_words(p)), F.array(*[F.lit(t) for t in tags])) for p, tags in rules]),
-        lambda x: x.isNotNull(),
-    ))
+    found = let(F.lower(text), lambda low: F.array(
+        *[F.when(occurs(low, p), F.array(*[F.lit(t) for t in tags])) for p, tags in rules]))
+    themes = F.flatten(F.filter(found, lambda x: x.isNotNull()))
     themed = F.when(F.size(themes) == 0, F.array(F.lit("profile"))).otherwise(themes)
     return F.array_sort(F.array_distinct(F.concat(F.array(era, F.lit("press")), themed)))
 
@@ -122,16 +121,21 @@ def weighted_class(
     """
     raw = F.coalesce(F.col(text), F.lit(""))
     staged = df.withColumn("_raw", raw).withColumn("_low", F.lower(raw))
-    scored = staged.withColumn("_scores", F.array(*[
-        s.alias("s") for _, s in category_scores(F.col("_raw"), F.col("_low"), rules, as_written)]))
+    both = F.struct(F.col("_raw").alias("raw"), F.col("_low").alias("low"))
+    scored = staged.withColumn("_scores", let(both, lambda t: F.array(
+        *[s for _, s in category_scores(t["raw"], t["low"], rules, as_written)])))
     names = list(rules)
     scores = F.col("_scores")
     if fallback:
         weak = F.array_max(scores) < fallback_below
         extra_names = [n for n in fallback if n not in names]
         names = names + extra_names
-        extra = dict(category_scores(F.col("_raw"), F.col("_low"), fallback))
-        added = F.array(*[extra.get(n, F.lit(0)) for n in names])
+
+        def more(t: Column) -> Column:
+            extra = dict(category_scores(t["raw"], t["low"], fallback))
+            return F.array(*[extra.get(n, F.lit(0)) for n in names])
+
+        added = let(both, more)
         padded = F.concat(scores, F.array_repeat(F.lit(0), len(extra_names))) if extra_names else scores
         scores = F.when(weak, F.zip_with(padded, added, lambda a, b: a + b)).otherwise(padded)
     labels = F.array(*[F.lit(n) for n in names])
@@ -168,16 +172,14 @@ def keyword_class(
     df: DataFrame, text: Column, default: Column, rules=files.DOCUMENT_CATEGORIES, min_score: float = 2.0
 ) -> DataFrame:
     """Add ``category`` and ``score``: distinct keywords found times the category weight."""
-    staged = df.withColumn("_low", F.lower(F.coalesce(text, F.lit(""))))
-    low = F.col("_low")
-    ranked = F.array(*[
+    ranked = let(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.array(*[
         F.struct(
             (-sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0)) * F.lit(float(weight))).alias("neg"),
             F.lit(i).alias("at"), F.lit(label).alias("label"))
         for i, (label, (weight, words)) in enumerate(rules.items())
-    ])
-    best = staged.withColumn("_best", F.array_min(ranked))
+    ]))
+    best = df.withColumn("_best", F.array_min(ranked))
     score = -F.col("_best.neg")
     return best.withColumn("score", score).withColumn(
         "category", F.when(F.col("score") >= min_score, F.col("_best.label")).otherwise(default)
-    ).drop("_low", "_best")
+    ).drop("_best")

@@ -56,3 +56,12 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
 def fits(df: DataFrame, rows: int) -> bool:
     """True when ``df`` has at most ``rows`` rows; stops reading one row after the bound."""
     return df.limit(rows + 1).count() <= rows
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a scan with fewer partitions than cores, so that costly text work uses all of them.
+
+    A table in many files stays as it is: nothing is shuffled on a cluster that reads at scale.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
