@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from hearthbook.functions.text import strip
 from hearthbook.operators.classify import multi_label, skip_conversation
 from hearthbook.rulesets import chat
 from hearthbook.session import materialise
@@ -30,7 +31,7 @@ def current_path(conversations: DataFrame) -> DataFrame:
     walked = conversations.withColumn("_path", path)
     message = F.transform("_path", lambda k: node(k)["message"])
     text = lambda m: F.array_join(F.filter(
-        F.transform(m["content"]["parts"], F.trim), lambda p: p != ""), "\n")
+        F.transform(m["content"]["parts"], strip), lambda p: p != ""), "\n")
     rows = F.transform(
         F.filter(message, lambda m: m.isNotNull()),
         lambda m: F.struct(F.coalesce(m["author"]["role"], F.lit("unknown")).alias("role"), text(m).alias("text"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from hearthbook.functions.media import png_size
 from hearthbook.functions.scores import extension_of, stem_of
@@ -105,7 +105,7 @@ def read_notes(spark: SparkSession, path: str, root: str) -> DataFrame:
         "fm", F.regexp_replace("value", FRONT, "").alias("body"), F.col("value").alias("content"))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _aliases(front: pd.Series) -> pd.Series:
     try:
         import yaml

@@ -37,8 +37,7 @@ def _decode(value) -> str:
     if value is None:
         return ""
     try:
-        parts = email.header.decode_header(str(value))
-        return " ".join(p.decode(c or "utf-8", "replace") if isinstance(p, bytes) else p for p, c in parts)
+        return str(email.header.make_header(email.header.decode_header(str(value))))
     except (LookupError, ValueError, email.errors.HeaderParseError):
         return str(value)
 

@@ -9,6 +9,7 @@ from datetime import datetime
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from hearthbook.functions.text import strip
 from hearthbook.sources import html as h
 
 COMMENT = "array<struct<author:string,content:string,time:string>>"
@@ -260,7 +261,7 @@ def read_message_notes(spark: SparkSession, path: str, owner: str) -> DataFrame:
         F.filter(F.transform(people, lambda p: F.btrim(p, F.lit(" \"'"))), lambda p: p != "").alias("participants"),
         F.coalesce(F.regexp_extract(front, r"message_count:\s*(\d+)", 1).try_cast("int"), F.lit(0)).alias("message_count"))
     pairs = F.zip_with(F.regexp_extract_all("body", F.lit(said), F.lit(1)), F.regexp_extract_all("body", F.lit(said), F.lit(2)),
-                       lambda a, t: F.struct(a.alias("author"), F.trim(t).alias("text")))
+                       lambda a, t: F.struct(a.alias("author"), strip(t).alias("text")))
     dates = F.regexp_extract_all("body", F.lit(r"## (\w+ \d+, \d{4})"), F.lit(1))
     out = staged.withColumn("_said", pairs).withColumn("_dates", dates)
 
