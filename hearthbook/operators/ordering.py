@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-SLICE = "_slice"
+KEY = "_key"
 ID_BLOCK_BITS = 16
 
 
@@ -26,23 +26,26 @@ def slice_of(df: DataFrame, column: str) -> Column:
     raise ValueError(f"give slice_by for {column}: it must grow with the order")
 
 
-def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join that treats NULL keys as equal and keeps the key columns of the left side."""
-    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
-                           *[c for c in right.columns if c not in keys])
-    cond = None
-    for k in keys:
-        one = left[k].eqNullSafe(F.col(f"_r_{k}"))
-        cond = one if cond is None else cond & one
-    return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
+def keyed(df: DataFrame, keys: Sequence[str], slice_by: Column) -> DataFrame:
+    """Add one struct of the group keys and the slice.
+
+    Structs compare equal also where a key is NULL, and both the join and the window that follow
+    ask for the same partitioning by it, so rows move once.
+    """
+    fields = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
+    return df.withColumn(KEY, F.struct(*fields, slice_by.alias("s")))
+
+
+def whole_group(keys: Sequence[str]):
+    return Window.partitionBy(*[F.col(f"{KEY}.k{i}") for i in range(len(keys))])
 
 
-def _earlier(keys: Sequence[str]):
-    return Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+def earlier_slices(keys: Sequence[str]):
+    return whole_group(keys).orderBy(f"{KEY}.s").rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _inside(keys: Sequence[str], order: Sequence[Column]):
-    return Window.partitionBy(*keys, SLICE).orderBy(*order)
+def inside_slice(order: Sequence[Column]):
+    return Window.partitionBy(KEY).orderBy(*order)
 
 
 def number_rows(
@@ -59,51 +62,42 @@ def number_rows(
     ``slice_by`` must grow with the first order column.
     """
     extras = per_group or {}
-    sliced = df.withColumn(SLICE, slice_by)
-    parts = sliced.groupBy(*keys, SLICE).agg(
+    sliced = keyed(df, keys, slice_by)
+    parts = sliced.groupBy(KEY).agg(
         F.count(F.lit(1)).alias("_n"), *[agg.alias(k) for k, (agg, _) in extras.items()]
     )
-    whole = Window.partitionBy(*keys)
     offsets = parts.select(
-        *keys, SLICE,
-        F.coalesce(F.sum("_n").over(_earlier(keys)), F.lit(0)).alias("_before"),
-        *[merge(F.col(k)).over(whole).alias(k) for k, (_, merge) in extras.items()],
+        KEY,
+        F.coalesce(F.sum("_n").over(earlier_slices(keys)), F.lit(0)).alias("_before"),
+        *[merge(F.col(k)).over(whole_group(keys)).alias(k) for k, (_, merge) in extras.items()],
     )
-    placed = join_same(sliced, offsets, [*keys, SLICE])
-    pos = F.row_number().over(_inside(keys, order)) + F.col("_before")
-    return placed.withColumn(name, pos).drop("_before", SLICE)
+    pos = F.row_number().over(inside_slice(order)) + F.col("_before")
+    return sliced.join(offsets, KEY).withColumn(name, pos).drop("_before", KEY)
 
 
 def running_before(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, slice_by: Column, name: str
 ) -> DataFrame:
     """Sum of ``value`` over the rows of the group that come before each row."""
-    sliced = df.withColumn(SLICE, slice_by).withColumn("_v", value)
-    parts = sliced.groupBy(*keys, SLICE).agg(F.sum("_v").alias("_n"))
-    offsets = parts.select(
-        *keys, SLICE, F.coalesce(F.sum("_n").over(_earlier(keys)), F.lit(0)).alias("_before")
-    )
-    placed = join_same(sliced, offsets, [*keys, SLICE])
-    earlier = _inside(keys, order).rowsBetween(Window.unboundedPreceding, -1)
+    sliced = keyed(df, keys, slice_by).withColumn("_v", value)
+    parts = sliced.groupBy(KEY).agg(F.sum("_v").alias("_n"))
+    offsets = parts.select(KEY, F.coalesce(F.sum("_n").over(earlier_slices(keys)), F.lit(0)).alias("_before"))
+    earlier = inside_slice(order).rowsBetween(Window.unboundedPreceding, -1)
     total = F.coalesce(F.sum("_v").over(earlier), F.lit(0)) + F.col("_before")
-    return placed.withColumn(name, total).drop("_before", "_v", SLICE)
+    return sliced.join(offsets, KEY).withColumn(name, total).drop("_before", "_v", KEY)
 
 
 def carry_forward(
     df: DataFrame, column: str, order: Sequence[Column], keys: Sequence[str], slice_by: Column
 ) -> DataFrame:
     """Fill ``column`` with the last value seen so far in the group."""
-    sliced = df.withColumn(SLICE, slice_by)
-    seen = F.col(column).isNotNull()
-    at = F.when(seen, F.struct(*order, F.col(column).alias("_c")))
-    parts = sliced.groupBy(*keys, SLICE).agg(F.max(at)["_c"].alias("_last"))
-    carried = parts.select(
-        *keys, SLICE, F.last("_last", ignorenulls=True).over(_earlier(keys)).alias("_carried")
-    )
-    placed = join_same(sliced, carried, [*keys, SLICE])
-    so_far = _inside(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sliced = keyed(df, keys, slice_by)
+    at = F.when(F.col(column).isNotNull(), F.struct(*order, F.col(column).alias("_c")))
+    parts = sliced.groupBy(KEY).agg(F.max(at)["_c"].alias("_last"))
+    carried = parts.select(KEY, F.last("_last", ignorenulls=True).over(earlier_slices(keys)).alias("_carried"))
+    so_far = inside_slice(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = F.coalesce(F.last(column, ignorenulls=True).over(so_far), F.col("_carried"))
-    return placed.withColumn(column, filled).drop("_carried", SLICE)
+    return sliced.join(carried, KEY).withColumn(column, filled).drop("_carried", KEY)
 
 
 # -- rows kept per group ------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hearthbook.functions.dates import fmt_duration
-from hearthbook.operators.ordering import SLICE, join_same, number_rows
+from hearthbook.operators.ordering import KEY, earlier_slices, inside_slice, keyed, number_rows, whole_group
 
 
 def seconds_of(ts: Column) -> Column:
@@ -21,29 +21,22 @@ def sessionize(
 
     Works per day, so one busy key or an input without keys still spreads over all tasks.
     """
-    by = slice_by if slice_by is not None else F.to_date(F.col(ts))
-    k = list(keys)
-    sliced = df.withColumn(SLICE, by)
-    over_slices = Window.partitionBy(*k).orderBy(SLICE)
-    ends = sliced.groupBy(*k, SLICE).agg(F.max(ts).alias("_max"))
-    ends = ends.select(*k, SLICE, F.lag("_max").over(over_slices).alias("_prev_end"))
-    rows = join_same(sliced, ends, [*k, SLICE])
-
-    inside = Window.partitionBy(*k, SLICE).orderBy(ts)
+    sliced = keyed(df, list(keys), slice_by if slice_by is not None else F.to_date(F.col(ts)))
+    over_slices = whole_group(keys).orderBy(f"{KEY}.s")
+    ends = sliced.groupBy(KEY).agg(F.max(ts).alias("_max"))
+    ends = ends.select(KEY, F.lag("_max").over(over_slices).alias("_prev_end"))
+
+    inside = inside_slice([F.col(ts)])
     prev = F.coalesce(F.lag(ts).over(inside), F.col("_prev_end"))
-    starts = prev.isNull() | (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(prev.cast("timestamp"))
-                              > gap_seconds * 1_000_000)
-    marked = rows.withColumn("_start", F.when(starts, F.col(ts)))
-
-    open_at_end = marked.groupBy(*k, SLICE).agg(F.max("_start").alias("_last_start"))
-    earlier = over_slices.rowsBetween(Window.unboundedPreceding, -1)
-    carried = open_at_end.select(
-        *k, SLICE, F.last("_last_start", ignorenulls=True).over(earlier).alias("_carried")
-    )
-    placed = join_same(marked, carried, [*k, SLICE])
+    passed = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(prev.cast("timestamp"))
+    starts = prev.isNull() | (passed > gap_seconds * 1_000_000)
+    marked = sliced.join(ends, KEY).withColumn("_start", F.when(starts, F.col(ts)))
+
+    open_at_end = marked.groupBy(KEY).agg(F.max("_start").alias("_last_start"))
+    carried = open_at_end.select(KEY, F.last("_last_start", ignorenulls=True).over(earlier_slices(keys)).alias("_carried"))
     so_far = inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     start = F.coalesce(F.max("_start").over(so_far), F.col("_carried"))
-    return placed.withColumn("session_start", start).drop("_prev_end", "_start", "_carried", SLICE)
+    return marked.join(carried, KEY).withColumn("session_start", start).drop("_prev_end", "_start", "_carried", KEY)
 
 
 def event_summary(
