@@ -101,8 +101,7 @@ select email, {", ".join(f"first({c} order by k) filter (where {c} <> '') as {c}
 from r group by email""")
 def merge_accounts(spark, sf_dir):
     rows = derive(spark, sf_dir, ACCOUNT_ROWS).withColumn("total_emails", F.col("n").cast("string"))
-    odd = rows.filter(F.col("pos") % 2 == 1).drop("phone")
-    frames = [rows.filter(F.col("pos") % 2 == 0), odd.join(rows.select("email", "source_account", "phone"), ["email", "source_account"])]
+    frames = [rows.filter(F.col("pos") % 2 == 0), rows.filter(F.col("pos") % 2 == 1).withColumn("extra", F.lit(1))]
     return oc.merge_accounts(oc.union_wide(frames), filled=_FILLED)
 
 

@@ -19,6 +19,7 @@ except ImportError:  # older Python
     import sre_parse as reader
 
 MOST_PIECES = 64
+MARK = "\x01"
 
 
 def _best(options: list[list[str]]) -> list[str] | None:
@@ -75,7 +76,16 @@ def plain_words(pattern: str) -> list[str] | None:
 
 
 def contains_any(c: Column, words: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in words])
+    """True when one of the words occurs; a long list travels as one constant array."""
+    if len(words) <= 3 or any(MARK in w for w in words):
+        return reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in words])
+    return F.exists(F.split(F.lit(MARK.join(words)), MARK), lambda w: F.contains(c, w))
+
+
+def count_words(c: Column, words: list[str]) -> Column:
+    """How many of the distinct words occur."""
+    found = F.filter(F.split(F.lit(MARK.join(dict.fromkeys(words))), MARK), lambda w: F.contains(c, w))
+    return F.size(found)
 
 
 def may_match(c: Column, pattern: str) -> Column | None:

@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hearthbook.functions.prefilter import contains_any
+from hearthbook.functions.prefilter import contains_any, count_words
 from hearthbook.functions.text import hits, let, matches, occurs, strip
 from hearthbook.rulesets import chat, files, ocr, timeline
 
@@ -174,7 +174,7 @@ def keyword_class(
     """Add ``category`` and ``score``: distinct keywords found times the category weight."""
     ranked = let(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.array(*[
         F.struct(
-            (-sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0)) * F.lit(float(weight))).alias("neg"),
+            (-count_words(low, list(words)) * F.lit(float(weight))).alias("neg"),
             F.lit(i).alias("at"), F.lit(label).alias("label"))
         for i, (label, (weight, words)) in enumerate(rules.items())
     ]))

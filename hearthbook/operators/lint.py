@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hearthbook.functions.media import parent
-from hearthbook.functions.text import matches, strip
+from hearthbook.functions.text import matches, occurs, strip
 from hearthbook.rulesets import files as fr
 
 
@@ -113,12 +114,14 @@ def leak_report(texts: DataFrame, rules: Sequence[tuple[str, str]], path: str =
 
     All rules are tested in one pass per text; a line is exploded only when some rule hits it.
     """
-    any_rule = "|".join(f"(?:{p})" for p, _ in rules)
+    def hit(c: Column) -> Column:
+        return reduce(lambda a, b: a | b, [occurs(c, p) for p, _ in rules])
+
     lines = F.transform(F.split(body, "\n"), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line")))
-    suspect = texts.filter(matches(F.col(body), any_rule)).select(
-        F.col(path).alias("path"), F.inline(F.filter(lines, lambda x: matches(x["line"], any_rule))))
+    suspect = texts.filter(hit(F.col(body))).select(
+        F.col(path).alias("path"), F.inline(F.filter(lines, lambda x: hit(x["line"]))))
     tested = F.filter(
-        F.array(*[F.when(matches(F.col("line"), p), F.struct(F.lit(c).alias("category"), F.lit(p).alias("pattern")))
+        F.array(*[F.when(occurs(F.col("line"), p), F.struct(F.lit(c).alias("category"), F.lit(p).alias("pattern")))
                   for p, c in rules]), lambda x: x.isNotNull())
     return suspect.select(F.inline(tested), "path", "line_no", "line")
 
