@@ -133,25 +133,25 @@ def _profiles(spark, sf_dir):
     m = derive(spark, sf_dir, MENTIONS)
     one = lambda c: F.when(F.col(c).isNotNull(), F.array(c)).otherwise(F.array().cast("array<string>"))
     rows = m.withColumn("emails", one("email")).withColumn("phones", one("phone")).withColumn("handles", one("handle")).withColumn("urls", one("url"))
-    return oe.entity_profiles(rows, "doc_id", "month", "category")
+    return oe.entity_profiles(rows, "month", "category", _REL)
 
 
 @query("entity_profiles", "A16", f"select kind, name, n, first_seen, last_seen, months, categories, emails, phones, handles, urls from ({_PROFILE}) p")
 def entity_profiles(spark, sf_dir):
     p = _profiles(spark, sf_dir)
-    return p.select("kind", "name", "n", "first_seen", "last_seen", *[F.size(c).alias(c) for c in ("months", "categories", "emails", "phones", "handles", "urls")])
+    return p.select("kind", "name", "n", "first_seen", "last_seen", "months", "categories", "emails", "phones", "handles", "urls")
 
 
 @query("entity_score25", "F30", f"select kind, name, recency, repetition, contactability, relevance, confidence, total, {_TIER} as tier from ({_SCORED}) s")
 def entity_score25(spark, sf_dir):
-    s = oe.entity_score(_profiles(spark, sf_dir), "2001-11-01", _REL)
+    s = oe.entity_score(_profiles(spark, sf_dir), "2001-11-01")
     return s.select("kind", "name", "recency", "repetition", "contactability", "relevance", "confidence", "total", "tier")
 
 
 @query("score_tiers", "A29", f"""
 select kind, {", ".join(f'count(*) filter (where {_TIER} = {sql_text(t)}) as "{t}"' for t in ["20-25 Immediate", "15-19 Research", "10-14 Archive", "0-9 Ignore"])} from ({_SCORED}) s group by kind""")
 def score_tiers(spark, sf_dir):
-    return oe.score_tiers(oe.entity_score(_profiles(spark, sf_dir), "2001-11-01", _REL))
+    return oe.score_tiers(oe.entity_score(_profiles(spark, sf_dir), "2001-11-01"))
 
 
 _MERGE = {"small ring": "Ring Works", "red widget": "_ORG:Widget House", "blue bolt": "Bolt", "old bolt": "Bolt"}

@@ -87,38 +87,44 @@ def named_entities(wide: DataFrame, id_cols: Sequence[str], merge: DataFrame) ->
     return canonicalise(people_kept, merge)
 
 
-def entity_profiles(rows: DataFrame, id_col: str, month: str, category: str) -> DataFrame:
-    """One row per (kind, name): counts, seen range and the distinct values seen with it.
+VALUES = ("handles", "emails", "phones", "urls", "prices", "addresses")
 
-    Sets are built from distinct pairs, so a name on a third of all texts is reduced before it is
-    gathered.
+
+def entity_values(rows: DataFrame, month: str, category: str, values: Sequence[str] = VALUES) -> DataFrame:
+    """(kind, name, what, value): every distinct month, category and contact value of every entity.
+
+    Kept in long form: the values of a name that is on a third of all texts never meet in one row.
     """
-    base = rows.groupBy("kind", "name").agg(
-        F.count(F.lit(1)).alias("n"), F.min(month).alias("first_seen"), F.max(month).alias("last_seen"))
-    sets = {"months": F.array(F.col(month)), "categories": F.array(F.col(category)), "handles": F.col("handles"),
-            "emails": F.col("emails"), "phones": F.col("phones"), "urls": F.col("urls")}
+    sets = {"months": F.array(F.col(month)), "categories": F.array(F.col(category)), **{v: F.col(v) for v in values if v in rows.columns}}
 
-    def tag(what: str, values: Column) -> Column:
-        return F.transform(values, lambda v: F.struct(F.lit(what).alias("what"), v.cast("string").alias("value")))
+    def tag(what: str, values_: Column) -> Column:
+        return F.transform(values_, lambda v: F.struct(F.lit(what).alias("what"), v.cast("string").alias("value")))
 
-    tagged = F.flatten(F.array(*[tag(k, values) for k, values in sets.items()]))
-    pairs = rows.select("kind", "name", F.inline(tagged)).distinct()
-    gathered = pairs.groupBy("kind", "name").agg(*[
-        F.array_sort(F.collect_list(F.when(F.col("what") == k, F.col("value")))).alias(k) for k in sets])
-    return base.join(gathered, ["kind", "name"])
+    tagged = F.flatten(F.array(*[tag(k, v) for k, v in sets.items()]))
+    return rows.select("kind", "name", F.inline(tagged)).distinct()
+
+
+def entity_profiles(rows: DataFrame, month: str, category: str, relevant: Sequence[str] = tuple(ent.RELEVANT_CATEGORIES)) -> DataFrame:
+    """One row per (kind, name): mentions, seen range and the number of distinct values of each sort."""
+    base = rows.groupBy("kind", "name").agg(
+        F.count(F.lit(1)).alias("n"), F.min(month).alias("first_seen"), F.max(month).alias("last_seen"))
+    what = F.col("what")
+    counted = entity_values(rows, month, category).groupBy("kind", "name").agg(
+        *[F.count_if(what == k).alias(k) for k in ("months", "categories", *VALUES)],
+        F.count_if((what == "categories") & F.col("value").isin(list(relevant))).alias("relevant_categories"))
+    return base.join(counted, ["kind", "name"])
 
 
-def entity_score(profile: DataFrame, as_of: str, relevant: Sequence[str] = tuple(ent.RELEVANT_CATEGORIES)) -> DataFrame:
+def entity_score(profile: DataFrame, as_of: str) -> DataFrame:
     """Add the five parts of the 25-point score, the total and the tier."""
     last = F.to_date(F.concat(F.col("last_seen"), F.lit("-01")))
-    wanted = F.size(F.array_intersect("categories", F.array(*[F.lit(c) for c in relevant])))
-    has = {c: F.size(c) > 0 for c in ("emails", "phones", "handles", "urls")}
+    has = {c: F.col(c) > 0 for c in ("emails", "phones", "handles", "urls")}
     out = (
         profile.withColumn("recency", sc.entity_recency(last, as_of))
         .withColumn("repetition", sc.entity_repetition(F.col("n")))
         .withColumn("contactability", sc.entity_contactability(has["emails"], has["phones"], has["handles"], has["urls"]))
-        .withColumn("relevance", sc.entity_relevance(wanted, F.col("n")))
-        .withColumn("confidence", sc.entity_confidence(F.col("n"), has["emails"] | has["phones"], F.size("months")))
+        .withColumn("relevance", sc.entity_relevance(F.col("relevant_categories"), F.col("n")))
+        .withColumn("confidence", sc.entity_confidence(F.col("n"), has["emails"] | has["phones"], F.col("months")))
     )
     total = F.col("recency") + F.col("repetition") + F.col("contactability") + F.col("relevance") + F.col("confidence")
     return out.withColumn("total", total).withColumn("tier", sc.entity_tier(F.col("total")))

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hearthbook.functions.text import search_query
+from hearthbook.operators.ordering import number_rows
 from hearthbook.rulesets import entities as ent, ocr
 
 
@@ -84,14 +85,13 @@ def style_fingerprint(df: DataFrame, key: str, text: str) -> DataFrame:
 # -- rendered pages -----------------------------------------------------------------------------
 
 
-def page_lines(df: DataFrame, key: Sequence[str], order: Sequence[Column], line: Column) -> DataFrame:
-    """(key, position columns, line) rows ready to be written as pages; no page is gathered in memory."""
-    return df.select(*key, *[o.alias(f"o{i}") for i, o in enumerate(order)], line.alias("line"))
-
-
-def render_pages(df: DataFrame, key: Sequence[str], order: Sequence[str], line: Column, sep: str = "\n") -> DataFrame:
-    """One text per key, lines in order. For keys whose pages fit a row; larger ones go to ``page_lines``."""
-    rows = df.select(*key, F.struct(*order, line.alias("_line")).alias("_r"))
-    return rows.groupBy(*key).agg(
+def render_pages(df: DataFrame, key: Sequence[str], order: Sequence[str], line: Column, slice_by: Column,
+                 part_lines: int = 1000, sep: str = "\n") -> DataFrame:
+    """Pages as numbered parts of at most ``part_lines`` lines in order; a page of any length is
+    never gathered in one place. ``slice_by`` grows with the first order column."""
+    rows = df.select(*key, *order, line.alias("_line"), slice_by.alias("_by"))
+    placed = number_rows(rows, key, [F.col(o) for o in order], F.col("_by"), "_pos")
+    parted = placed.withColumn("part", F.floor((F.col("_pos") - 1) / part_lines))
+    return parted.groupBy(*key, "part").agg(
         F.count(F.lit(1)).alias("lines"),
-        F.array_join(F.transform(F.array_sort(F.collect_list("_r")), lambda r: r["_line"]), sep).alias("page"))
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_line"))), lambda r: r["_line"]), sep).alias("page"))

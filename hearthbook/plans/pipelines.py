@@ -162,10 +162,11 @@ def ocr_knowledge(texts: DataFrame, merge: DataFrame, as_of: str) -> dict[str, D
     graded = cl.detailed_class(texts, "text")
     wide = oe.entities_wide(graded, "text", "category")
     named = oe.named_entities(wide, ["stem", "month", "category"], merge)
-    profiles = oe.entity_score(oe.entity_profiles(named, "stem", "month", "category"), as_of)
+    profiles = oe.entity_score(oe.entity_profiles(named, "month", "category"), as_of)
     note = render.text_note(F.col("stem"), F.col("month"), F.col("category"), F.col("score"), F.col("text"))
     return {
-        "entries": graded, "share": reports.category_share(graded), "profiles": profiles, "tiers": oe.score_tiers(profiles),
+        "entries": graded, "share": reports.category_share(graded), "profiles": profiles,
+        "values": oe.entity_values(named, "month", "category"), "tiers": oe.score_tiers(profiles),
         "notes": wide.select("stem", "month", "category", note.alias("note")),
     }
 
