@@ -92,15 +92,15 @@ def contact_rollup(cm: DataFrame, account: str = "") -> DataFrame:
     subjects = subjects.groupBy("contact").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "subject"))), lambda x: x["subject"])
         .alias("unique_subjects"))
-    with_body = cm.filter(F.length("body") > mail.MIN_BODY_CHARS).withColumn("_key", F.struct("ts", "msg_id"))
+    with_body = cm.filter(F.length("body") > mail.MIN_BODY_CHARS).withColumn("_when", F.struct("ts", "msg_id"))
     by_day = F.to_date("ts")
-    sampled = stratified_sample(with_body, ["contact"], "_key", "body", slice_by=by_day).drop("pos")
-    fitted = char_budget(sampled, ["contact"], "_key", "body", mail.MAX_BUNDLE_CHARS, slice_by=by_day)
+    sampled = stratified_sample(with_body, ["contact"], "_when", "body", slice_by=by_day).drop("pos")
+    fitted = char_budget(sampled, ["contact"], "_when", "body", mail.MAX_BUNDLE_CHARS, slice_by=by_day)
     threads = fitted.groupBy("contact").agg(
         F.count(F.lit(1)).alias("emails_sampled"),
         F.transform(
-            F.array_sort(F.collect_list(F.struct("_key", "subject", "direction", "body"))),
-            lambda x: F.struct(x["_key"]["ts"].alias("date"), x["subject"].alias("subject"),
+            F.array_sort(F.collect_list(F.struct("_when", "subject", "direction", "body"))),
+            lambda x: F.struct(x["_when"]["ts"].alias("date"), x["subject"].alias("subject"),
                                x["direction"].alias("direction"), x["body"].alias("body_snippet")),
         ).alias("threads"))
     out = counts

