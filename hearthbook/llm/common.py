@@ -6,8 +6,9 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from hearthbook.functions.text import let  # noqa: F401
 from hearthbook.session import materialise
@@ -80,10 +81,22 @@ def digest(parts: Iterable[str]) -> str:
     return hashlib.sha256(",".join(parts).encode()).hexdigest()
 
 
-def row_batches(it: Iterator[pd.DataFrame], fn) -> Iterator[pd.DataFrame]:
-    """``fn`` on every Arrow batch; for ``mapInPandas``."""
-    for batch in it:
-        yield fn(batch)
+def per_text(docs: DataFrame, fn, schema: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, *fn(text)) for every row, in Arrow batches; a null text is an empty one.
+
+    Only the two columns are read; keys of any type and null keys pass through as they are.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+    out = T._parse_datatype_string(f"`{key}` {kind}, {schema}")
+    arrow = to_arrow_schema(out)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [fn(x or "") for x in batch.column(1).to_pylist()]
+            columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(list(arrow)[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.field(0).type), *columns], schema=arrow)
+
+    return docs.select(docs[key].alias("k"), docs[text].alias("t")).mapInArrow(scan, out)
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hearthbook.llm import quality
+from hearthbook.llm import quality, secrets
 from hearthbook.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,9 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return quality.measured(docs).select("doc_id", *[f(c).alias(c) for c in shown], base.alias("base_failed"),
                                          quality.cascade(f, rules).alias("kept"))
+
+
+@query("op8_secret_scans")
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets and linked credential parts of every document."""
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
