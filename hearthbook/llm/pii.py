@@ -12,11 +12,13 @@ Null texts are empty; repeated rows give repeated results; columns beside key an
 
 from __future__ import annotations
 
+import bisect
 import re
+from itertools import islice
 
 from pyspark.sql import DataFrame, functions as F
 
-from hearthbook.llm.common import digest, let, per_text, word_list
+from hearthbook.llm.common import digest, per_text
 from hearthbook.llm.spans import private_spans
 from hearthbook.session import materialise
 
@@ -25,18 +27,28 @@ REACH = 8
 NEAR = re.compile(r"[^\W\d_]+")
 
 
-def surroundings(text: str, spans: list[tuple[int, int]], window: int) -> list[tuple[int, list[tuple[str, int, int]]]]:
-    """For each span the terms among the ``window`` words to either side, not inside any span."""
-    out = []
-    inside = sorted(spans)
-    for n, (a, b) in enumerate(spans):
-        left = text[max(0, a - window * 40):a]
-        base = a - len(left)
-        before = [(m.group().lower(), base + m.start(), base + m.end()) for m in NEAR.finditer(left)][-window:]
-        right = text[b:b + window * 40]
-        after = [(m.group().lower(), b + m.start(), b + m.end()) for m in NEAR.finditer(right)][:window]
-        words = [w for w in before + after if not any(x < w[2] and w[1] < y for x, y in inside)]
-        out.append((n, words))
+def surroundings(text: str, spans: list[tuple[int, int]], window: int) -> list[list[tuple[str, int, int]]]:
+    """For each span the terms among the ``window`` words to either side, not inside any span.
+
+    Words are looked for in ``window`` times 40 code points to either side.
+    """
+    out, merged = [], []
+    for a, b in sorted(spans):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(b, merged[-1][1])
+        else:
+            merged.append([a, b])
+    starts = [a for a, _ in merged]
+
+    def free(a: int, b: int) -> bool:
+        i = bisect.bisect_left(starts, b)
+        return i == 0 or merged[i - 1][1] <= a
+
+    for a, b in spans:
+        start = max(0, a - window * 40)
+        before = [(m.group().lower(), m.start(), m.end()) for m in NEAR.finditer(text, start, a)][-window:]
+        after = list(islice(((m.group().lower(), m.start(), m.end()) for m in NEAR.finditer(text, b, b + window * 40)), window))
+        out.append([w for w in before + after if free(w[1], w[2])])
     return out
 
 
@@ -50,9 +62,63 @@ def find(text: str, window: int) -> tuple:
     near = []
     spans = [(k, a, b) for k in KINDS for a, b in kinds[k]]
     if spans:
-        for n, words in surroundings(text, [(a, b) for _, a, b in spans], window):
-            k, a, b = spans[n]
+        for (k, a, b), words in zip(spans, surroundings(text, [(a, b) for _, a, b in spans], window), strict=True):
             entity = f"{k}:{text[a:b].lower()}"
             around = digest(w for w, _, _ in words)[:16]
             near += [{"entity": entity, "around": around, "term": w, "at": x, "to": y} for w, x, y in words]
     return (*[len(kinds[k]) for k in KINDS], digest(base), ",".join(base), near)
+
+
+def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = REACH, alpha: float = 1.5,
+             support: int = 3) -> DataFrame:
+    """One row per document: counts, the digest of the found spans, and all spans with disclosing terms.
+
+    Spans read ``kind:start:end`` in code points, end exclusive, by kind - email, ip, card, phone,
+    generalised, removed - then start.
+    """
+    found = per_text(docs, lambda t: find(t, window), FOUND, key, text)
+    found = materialise(found.withColumn("row", F.monotonically_increasing_id()), "found")
+    near = found.select("row", F.explode("near").alias("n")).select("row", "n.*")
+    terms = disclosing(docs, near, text, alpha, support)
+    spans = near.join(terms, ["entity", "term"]).groupBy("row", "at", "to").agg(F.max("removed").alias("removed"))
+    spans = spans.groupBy("row").agg(
+        F.sort_array(F.collect_list(F.struct("removed", "at", "to"))).alias("s"), F.count("*").alias("n_terms"))
+    shown = F.transform("s", lambda x: F.concat_ws(
+        ":", F.when(x["removed"], "removed").otherwise("generalised"), x["at"].cast("string"), x["to"].cast("string")))
+    out = found.join(spans.select("row", "n_terms", F.array_join(shown, ",").alias("more")), "row", "left")
+    both = F.filter(F.array("base", "more"), lambda x: x.isNotNull() & (x != ""))
+    return out.select(key, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.array_join(both, ",").alias("spans"),
+                      F.coalesce("n_terms", F.lit(0)).cast("long").alias("n_terms"))
+
+
+def disclosing(docs: DataFrame, near: DataFrame, text: str, alpha: float, support: int) -> DataFrame:
+    """(entity, term, removed) for the terms that disclose an entity; all counts cover the whole corpus."""
+    # a surrounding counts once however often it is copied: the sets are made distinct before they are counted
+    once = near.select("entity", "term", "around").distinct()
+    joint = once.groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support)
+    entities = near.select("entity", "around").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    pairs = materialise(joint.join(entities, "entity"), "pairs")
+    wanted = pairs.select("term").distinct()
+    words = F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}]+"))
+    seen = docs.select(F.explode(words).alias("term")).join(wanted, "term").groupBy("term").agg(F.count("*").alias("n_term"))
+    total = docs.agg(F.count("*").alias("n"))
+    known = pairs.join(seen, "term").join(F.broadcast(total))  # one row
+    pmi = F.log(F.col("n") * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
+    ic = F.log(F.col("n") / F.col("n_entity"))
+    return known.filter((ic > 0) & (pmi >= ic / alpha)).select("entity", "term", (pmi >= ic).alias("removed"))
+
+
+def masked(text: str, spans: str) -> str:
+    """``text`` with found spans named by kind, generalised terms as their shape and removed ones gone."""
+    parts = [(int(a), int(b), k) for k, a, b in (s.split(":") for s in spans.split(",") if s)]
+    out, done = [], 0
+    for a, b, kind in sorted(parts):
+        if a < done:
+            continue
+        out.append(text[done:a])
+        if kind == "generalised":
+            out.append("".join("X" if c.isupper() else "x" for c in text[a:b]))
+        elif kind != "removed":
+            out.append(f"[{kind}]")
+        done = b
+    return "".join(out) + text[done:]

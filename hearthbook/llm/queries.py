@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hearthbook.llm import quality, secrets
+from hearthbook.llm import line_dedup, pii, quality, secrets
 from hearthbook.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,38 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets and linked credential parts of every document."""
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op3_private_data")
+def op3_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document, with the terms that disclose it."""
+    return pii.sanitise(table(spark, sf_dir, "documents"))
+
+
+LINES_SQL = r"""
+WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+e AS (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS x FROM t),
+c AS (SELECT doc_id, i, x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS w,
+             sum(len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM e),
+runs AS (
+  SELECT a.doc_id, a.i AS a, b.i AS b FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i
+  WHERE b.upto - a.upto + a.w >= 20 AND (b.upto - b.w - a.upto + a.w < 20 OR b.upto - a.upto < 20)),
+same AS (SELECT r.doc_id, a, b, row_number() OVER (
+           PARTITION BY b - a, array_to_string(l[a:b], chr(10)) ORDER BY r.doc_id, a) AS nth
+         FROM runs r JOIN t USING (doc_id)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM same WHERE nth > 1),
+g AS (SELECT c.doc_id, c.i, c.x, gone.i IS NOT NULL AS gone FROM c LEFT JOIN gone USING (doc_id, i)),
+h AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM g),
+s AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_runs,
+             sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+      FROM h GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_runs, 0)::BIGINT AS n_runs, kept_sha256
+FROM documents d LEFT JOIN s USING (doc_id)"""
+
+
+@query("op10_line_dedup", LINES_SQL)
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deleted lines of every document, and the digest of what is left."""
+    out = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "_lines.*", F.sha2("text", 256).alias("kept_sha256"))
