@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hearthbook.llm import line_dedup, pii, quality, secrets
+from hearthbook.llm import line_dedup, near_dedup, pii, quality, secrets
 from hearthbook.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deleted lines of every document, and the digest of what is left."""
     out = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "_lines.*", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op9_minhash_near_dedup")
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near copies of every document, named by its least doc_id."""
+    out = near_dedup.near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("class").alias("class_id"))
