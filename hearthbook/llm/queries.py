@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hearthbook.llm import line_dedup, near_dedup, pii, quality, secrets
+from hearthbook.llm import line_dedup, mixing, near_dedup, pii, quality, secrets
 from hearthbook.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,11 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of near copies of every document, named by its least doc_id."""
     out = near_dedup.near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("class").alias("class_id"))
+
+
+@query("op1_source_mixing")
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all sources to target weights takes of every document."""
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    rows = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
+    return out.select("doc_id", "size", "source_size", "target", "taken", rows.alias("_")).drop("_")
