@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hearthbook.llm import line_dedup, mixing, near_dedup, pii, quality, secrets
+from hearthbook.llm import line_dedup, mixing, near_dedup, pieces, pii, quality, secrets
 from hearthbook.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,13 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
     rows = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
     return out.select("doc_id", "size", "source_size", "target", "taken", rows.alias("_")).drop("_")
+
+
+@query("op6_sentencepiece")
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digest of every document's ids, and whether decoding gives the text back."""
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = pieces.decode(coded)
+    listed = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
+    return back.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
+                       F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
