@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hearthbook.llm import line_dedup, mixing, near_dedup, pieces, pii, quality, secrets
+from hearthbook.llm import licences, line_dedup, mixing, near_dedup, pieces, pii, quality, secrets
 from hearthbook.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,9 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
     return back.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
                        F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
+
+
+@query("op7_license_scans")
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices of every document by family."""
+    return licences.scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
