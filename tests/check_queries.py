@@ -46,7 +46,7 @@ def compare(spark, con, sf_dir, q):
     want = res.fetchall()
     if sorted(names) != sorted(want_names):
         return f"columns {sorted(names)} != {sorted(want_names)}", False
-    kinds = {"bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN", "string": "VARCHAR"}
+    kinds = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN", "string": "VARCHAR"}
     there = {d[0]: str(d[1]) for d in res.description}
     odd = [(n, t, there[n]) for n, t in df.dtypes if kinds.get(t) != there[n]]
     if odd:
