@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hearthbook.llm import licences, line_dedup, mixing, near_dedup, pieces, pii, quality, secrets, topk
+from hearthbook.llm import licences, line_dedup, mixing, near_dedup, pieces, pii, quality, secrets, suffix_dedup, topk
 from hearthbook.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,10 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best inner products of every hundredth vector with all others."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(rows, rows.filter(F.col("vec_id") % 100 == 0))
+
+
+@query("op4_suffix_array_dedup")
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 100-byte strings that start earlier."""
+    out = suffix_dedup.drop_repeated_bytes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
