@@ -7,7 +7,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from hearthbook.session import spread
+from hearthbook.session import ship, spread
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -69,7 +69,11 @@ def query(name: str, covers: str, sql: str | None = None):
     def wrap(fn):
         if name in REGISTRY:
             raise ValueError(f"query {name} is registered twice")
-        REGISTRY[name] = Query(lambda spark, sf_dir: plain(fn(spark, sf_dir)), duck(sql) if sql else None, covers)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return plain(fn(spark, sf_dir))
+
+        REGISTRY[name] = Query(run, duck(sql) if sql else None, covers)
         return fn
     return wrap
 

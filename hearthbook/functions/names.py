@@ -50,10 +50,17 @@ def match_status(score: Column) -> Column:
     )
 
 
+def title_case(c: Column) -> Column:
+    """Every run of letters starts with a capital and goes on in small letters."""
+    runs = F.regexp_extract_all(c, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda w: F.concat(
+        F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))), "")
+
+
 def page_name(c: Column) -> Column:
     """Name fit for a person page, or NULL."""
     clean = F.btrim(F.trim(c), F.lit("'\""))
-    cased = F.when(clean == F.lower(clean), F.initcap(clean)).otherwise(clean)
+    cased = F.when(clean == F.lower(clean), title_case(clean)).otherwise(clean)
     fit = (F.length(clean) >= 3) & ~F.contains(clean, F.lit("@"))
     return F.when(fit, F.translate(cased, "/\\", "--"))
 

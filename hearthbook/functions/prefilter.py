@@ -57,15 +57,36 @@ def _pieces(tokens) -> list[str] | None:
     return _best(options)
 
 
+def _flags(tokens) -> int:
+    """All flags that some part of the pattern switches on."""
+    found = 0
+    for op, arg in tokens:
+        if op is sre.SUBPATTERN:
+            found |= arg[1] | _flags(arg[-1])
+        elif op is sre.BRANCH:
+            for b in arg[1]:
+                found |= _flags(b)
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+            found |= _flags(arg[2])
+    return found
+
+
 def pieces(pattern: str) -> tuple[list[str] | None, bool]:
-    """Fixed pieces of which every match holds at least one, and whether case is ignored."""
-    folded = pattern.startswith("(?i)")
+    """Fixed pieces of which every match holds at least one, and whether case is ignored somewhere.
+
+    Flags are taken from the parsed pattern, of the whole and of its parts. Where the standard library
+    reads a pattern otherwise or not at all, there are no pieces.
+    """
     try:
-        parsed = reader.parse(re.sub(r"^\(\?[a-zA-Z]+\)", "", pattern))
-    except re.error:
-        return None, folded
-    found = _pieces(parsed)
-    return ([p.lower() for p in found] if found and folded else found), folded
+        parsed = reader.parse(pattern)
+    except (re.error, OverflowError):
+        return None, False
+    flags = parsed.state.flags | _flags(parsed)
+    folded = bool(flags & re.IGNORECASE)
+    found = None if flags & re.VERBOSE else _pieces(parsed)
+    if found and folded:
+        found = [p.lower() for p in found] if all(p.isascii() for p in found) else None
+    return found, folded
 
 
 def plain_words(pattern: str) -> list[str] | None:

@@ -89,8 +89,7 @@ def pattern_hits(raw: Column, low: Column, weight: int, pattern: str, as_written
     """Hits of one rule: strong signals look at the text as written first, the rest at lower case."""
     if as_written is None or weight < as_written:
         return hits(low, pattern)
-    exact = hits(raw, pattern)
-    return F.when(exact > 0, exact).otherwise(hits(low, pattern))
+    return let(hits(raw, pattern), lambda exact: F.when(exact > 0, exact).otherwise(hits(low, pattern)))
 
 
 def category_scores(raw: Column, low: Column, rules: Weighted, as_written: int | None = None) -> list[tuple[str, Column]]:

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hearthbook.functions.names import edit_score, match_status, normalize_name
+from hearthbook.functions.names import edit_score, match_status, normalize_name, title_case
 from hearthbook.functions.text import all_matches, word_overlap
 from hearthbook.operators.ordering import cap_per_group
 from hearthbook.session import fits, materialise
@@ -267,7 +267,7 @@ def match_articles(articles: DataFrame, notes: DataFrame) -> DataFrame:
 def display_name(df: DataFrame, slug: str, mapping: dict[str, str]) -> DataFrame:
     """Proper name of a slug; unknown slugs are spelled out."""
     lookup = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
-    spelled = F.initcap(F.replace(F.col(slug), F.lit("-"), F.lit(" ")))
+    spelled = title_case(F.replace(F.col(slug), F.lit("-"), F.lit(" ")))
     return df.withColumn("display_name", F.coalesce(F.try_element_at(lookup, F.col(slug)), spelled))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -109,21 +108,24 @@ def not_empty(paths: DataFrame, folders: Sequence[str] = tuple(fr.EMPTY_FOLDERS)
     return _finding(counted, "not_empty", F.col("dir"), F.col("n"))
 
 
-def leak_report(texts: DataFrame, rules: Sequence[tuple[str, str]], path: str = "path", body: str = "body") -> DataFrame:
+def leak_report(texts: DataFrame, rules: Sequence[tuple[str, ...]], path: str = "path", body: str = "body",
+                only: str | None = None, skip: str | None = None) -> DataFrame:
     """(category, pattern, path, line_no, line) of every line that matches a private pattern.
 
-    All rules are tested in one pass per text; a line is exploded only when some rule hits it.
+    A rule is (category, pattern) or (category, pattern, allowed): a line that also matches ``allowed`` is no
+    hit. Rules see one line at a time, so that ``^`` and ``$`` mean its ends. ``only`` and ``skip`` are
+    patterns of paths to look at and to leave out.
     """
-    def hit(c: Column) -> Column:
-        return reduce(lambda a, b: a | b, [occurs(c, p) for p, _ in rules])
-
-    lines = F.transform(F.split(body, "\n"), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line")))
-    suspect = texts.filter(hit(F.col(body))).select(
-        F.col(path).alias("path"), F.inline(F.filter(lines, lambda x: hit(x["line"]))))
-    tested = F.filter(
-        F.array(*[F.when(occurs(F.col("line"), p), F.struct(F.lit(c).alias("category"), F.lit(p).alias("pattern")))
-                  for p, c in rules]), lambda x: x.isNotNull())
-    return suspect.select(F.inline(tested), "path", "line_no", "line")
+    if only:
+        texts = texts.filter(F.col(path).rlike(only))
+    if skip:
+        texts = texts.filter(~F.col(path).rlike(skip))
+    lines = texts.select(F.col(path).alias("path"), F.posexplode(F.split(body, "\n")).alias("_no", "line"))
+    tested = F.filter(F.array(*[
+        F.when(occurs(F.col("line"), p) & (~occurs(F.col("line"), allowed[0]) if allowed else F.lit(True)),
+               F.struct(F.lit(c).alias("category"), F.lit(p).alias("pattern")))
+        for c, p, *allowed in rules]), lambda x: x.isNotNull())
+    return lines.select(F.inline(tested), "path", (F.col("_no") + 1).alias("line_no"), "line")
 
 
 def scan_patterns(texts: DataFrame, rules: Sequence[tuple[str, str]], path: str = "path", body: str = "body") -> DataFrame:

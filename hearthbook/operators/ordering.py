@@ -207,9 +207,16 @@ def unique_destinations(
     first_suffix: int = 1,
     mark: str = "_",
     max_bytes: int = 255,
+    taken: DataFrame | None = None,
 ) -> DataFrame:
-    """Collision-free file names per folder: the n-th namesake gets a number, long stems are cut."""
+    """Collision-free file names per folder: the n-th namesake gets a number, long stems are cut.
+
+    The first of a name keeps it, unless ``taken`` (folder, name) already holds it. Numbered names are
+    compared with all names given so far; those that are not free try their next number, and of several
+    that try one name the first in ``order`` gets it. Rounds end when every row has a name.
+    """
     from hearthbook.functions.scores import extension_of, stem_of
+    from hearthbook.session import materialise
 
     stem = stem_of(F.col(name))
     ext = F.when(extension_of(F.col(name)) == "", "").otherwise(F.regexp_extract(F.col(name), r"(\.[^.]*)$", 1))
@@ -218,11 +225,29 @@ def unique_destinations(
     fitted = F.when(F.octet_length(stem) > room, F.regexp_replace(cut, "�+$", "")).otherwise(stem)
     base = df.withColumn("_stem", fitted).withColumn("_ext", ext)
     numbered = number_rows(base, [folder, "_stem", "_ext"], order, slice_by, "_nth")
-    number = (F.col("_nth") - 2 + first_suffix).cast("string")
-    unique = F.when(F.col("_nth") == 1, F.concat("_stem", "_ext")).otherwise(
-        F.concat("_stem", F.lit(mark), number, "_ext")
-    )
-    return numbered.withColumn("dest_name", unique).drop("_stem", "_ext", "_nth")
+    number = lambda: F.concat("_stem", F.lit(mark), F.col("_no").cast("string"), "_ext")
+    numbered = numbered.withColumn("_no", (F.col("_nth") - 2 + first_suffix).cast("long")).withColumn("_try", F.lit(0))
+    tried = materialise(numbered.withColumn("dest_name", F.when(F.col("_nth") == 1, F.concat("_stem", "_ext")).otherwise(number())), "names")
+    used = taken.select(F.col(taken.columns[0]).alias(folder), F.col(taken.columns[1]).alias("dest_name")) if taken is not None else None
+    done = None
+    while True:
+        # natural names come first; among numbered ones the lower number, then the stem: one row per name
+        rank = F.struct(((F.col("_nth") > 1) | (F.col("_try") > 0)).alias("numbered"), "_no", "_stem", "_nth")
+        winners = tried.groupBy(folder, "dest_name").agg(F.min(rank).alias("_best"))
+        if used is not None:
+            winners = winners.join(used, [folder, "dest_name"], "left_anti")
+        ranked = tried.withColumn("_rank", rank).join(winners, [folder, "dest_name"], "left")
+        ranked = materialise(ranked.withColumn("_free", F.coalesce(F.col("_rank") == F.col("_best"), F.lit(False))).drop("_rank", "_best"), "names")
+        given = ranked.filter("_free").drop("_free")
+        done = given if done is None else done.unionByName(given)
+        left = ranked.filter("not _free").drop("_free")
+        if left.isEmpty():
+            return done.drop("_stem", "_ext", "_nth", "_no", "_try")
+        names = given.select(folder, "dest_name")
+        used = names if used is None else used.unionByName(names)
+        # a natural name that was taken starts counting; the others go past the numbers of their group
+        step = F.when((F.col("_nth") == 1) & (F.col("_try") == 0), F.lit(first_suffix)).otherwise(F.col("_no") + 1)
+        tried = left.withColumn("_no", step.cast("long")).withColumn("_try", F.col("_try") + 1).withColumn("dest_name", number())
 
 
 def batch(df: DataFrame, order: Sequence[Column], start: int, size: int) -> DataFrame:

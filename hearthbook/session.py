@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,8 @@ def local_session(app: str = "hearthbook", cpus: int | None = None) -> SparkSess
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.executorEnv.PYTHONPATH", os.pathsep.join(
+            [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.environ.get("PYTHONPATH", "")]))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("HEARTHBOOK_DRIVER_MEMORY", "8g"))
@@ -28,6 +31,23 @@ def local_session(app: str = "hearthbook", cpus: int | None = None) -> SparkSess
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the executors, once per application; they need no copy of their own."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local[") or getattr(sc, "_hearthbook_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    bundle = os.path.join(tempfile.mkdtemp(prefix="spark-"), "hearthbook_package.zip")
+    with zipfile.ZipFile(bundle, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(os.path.join(root, "hearthbook")):
+            for n in names:
+                if n.endswith(".py"):
+                    path = os.path.join(folder, n)
+                    z.write(path, os.path.relpath(path, root))
+    sc.addPyFile(bundle)
+    sc._hearthbook_shipped = True
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
     sc = spark.sparkContext

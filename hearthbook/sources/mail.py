@@ -106,6 +106,11 @@ def _csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """Rows with their place: file, start of the block in it, order inside the block."""
+    return rows.withColumn("_at", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()))
+
+
 def read_contacts(spark: SparkSession, path: str) -> DataFrame:
     """Addresses of a contact list."""
     return _csv(spark, path).select(F.lower(F.trim("email")).alias("email")).filter(F.col("email").isNotNull())
@@ -119,13 +124,13 @@ def read_vcf_emails(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _last_per_email(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Later rows of a file win."""
+    """Later rows of a file win, and rows of files later by name."""
     return df.groupBy("email").agg(F.max(F.struct("_at", *columns)).alias("_r")).select("email", *[F.col(f"_r.{c}") for c in columns])
 
 
 def read_address_book(spark: SparkSession, path: str) -> DataFrame:
     """One row per address of an address book with repeated e-mail columns."""
-    rows = _csv(spark, path).withColumn("_at", F.monotonically_increasing_id())
+    rows = _placed(_csv(spark, path))
     names = [c for c in rm.ADDRESS_BOOK_EMAILS if c in rows.columns]
     first, last = (F.coalesce(F.trim(c), F.lit("")) for c in ("First Name", "Last Name"))
     fields = {"gc_name": F.nullif(F.trim(F.concat_ws(" ", first, last)), F.lit(""))}
@@ -146,7 +151,7 @@ def address_book_emails(spark: SparkSession, path: str) -> DataFrame:
 
 def read_crm(spark: SparkSession, path: str) -> DataFrame:
     """CRM rows by address, blanks as NULL."""
-    rows = _csv(spark, path).withColumn("_at", F.monotonically_increasing_id())
+    rows = _placed(_csv(spark, path))
     fields = {new: blank_to_null(F.col(f"`{old}`")) if old in rows.columns else F.lit(None).cast("string")
               for new, old in rm.CRM_FIELDS.items()}
     flat = rows.select("_at", F.lower(F.trim("Email")).alias("email"), *[c.alias(k) for k, c in fields.items()])

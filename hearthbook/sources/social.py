@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
 import pandas as pd
@@ -44,51 +44,47 @@ def comments_of(n: h.Node) -> list[dict]:
     ]
 
 
+def _linked(a: h.Node) -> str:
+    words, href = a.text(), a.attrs.get("href", "")
+    return f"[{words}]({href})" if words and href else href or words
+
+
+def _shared(card: h.Node) -> str:
+    """A shared link: quoted title with its address, and the description."""
+    targets = [a for a in card.find_all(h.is_tag("a")) if a.attrs.get("href")]
+    titles = [t for t in (a.text() for a in targets) if t]
+    about = clean(card.find(h.is_tag("div"))) if targets else ""
+    quoted = [f"[{titles[-1]}]({targets[0].attrs['href']})"] if titles else []
+    return "".join(f"\n> {x}" for x in [*quoted, *([about] if about else [])])
+
+
+def _inline(c: h.Node, marks: dict[str, Callable[[h.Node], str]]) -> str:
+    """One child of a paragraph or entry as Markdown."""
+    if c.tag is None:
+        return c.data.strip()
+    return marks.get(c.tag, clean)(c)
+
+
+ENTRY = {"a": _linked, "br": lambda c: "\n", "table": lambda c: _shared(c) if "walllink" in c.classes() else clean(c)}
+NOTE = {
+    "img": lambda c: "", "strong": lambda c: f"**{c.text()}**" if c.text() else "", "em": lambda c: f"*{c.text()}*" if c.text() else "",
+    # addresses that only open a composer carry a quotation as their text
+    "a": lambda c: f"*{c.text()}*" if "twitter.com/intent" in c.attrs.get("href", "") else _linked(c) if c.text() else "",
+}
+
+
 def entry_markdown(n: h.Node | None) -> str:
     """Content of a wall entry with its links kept."""
-    if n is None:
-        return ""
-    parts = []
-    for c in n.children:
-        if c.tag is None:
-            parts.append(c.data.strip())
-        elif c.tag == "a":
-            href, text = c.attrs.get("href", ""), c.text()
-            parts.append(f"[{text}]({href})" if href and text else href)
-        elif c.tag == "br":
-            parts.append("\n")
-        elif c.tag == "table" and "walllink" in c.classes():
-            links = [a for a in c.find_all(h.is_tag("a")) if a.attrs.get("href")]
-            named = next((a.text() for a in reversed(links) if a.text()), "")
-            if links and named:
-                parts.append(f"\n> [{named}]({links[0].attrs['href']})")
-            desc = clean(c.find(h.is_tag("div")))
-            if links and desc:
-                parts.append(f"> {desc}")
-        else:
-            parts.append(clean(c))
-    return " ".join(p for p in parts if p).replace(" \n ", "\n").replace("  ", " ").strip()
+    words = " ".join(filter(None, (_inline(c, ENTRY) for c in n.children))) if n is not None else ""
+    return re.sub(r"[ \t]{2,}", " ", re.sub(r"[ \t]*\n[ \t]*", "\n", words)).strip()
 
 
 def rich_markdown(n: h.Node | None) -> str:
-    """Paragraphs of a note body with emphasis and links."""
+    """Paragraphs of a note body with emphasis and links; without paragraphs, its texts."""
     if n is None:
         return ""
-    marks = {"strong": "**{}**", "em": "*{}*"}
-    out = []
-    for p in n.find_all(h.is_tag("p")):
-        words = []
-        for c in p.children:
-            text = c.data.strip() if c.tag is None else c.text()
-            if not text or c.tag == "img":
-                continue
-            if c.tag == "a":
-                href = c.attrs.get("href", "")
-                text = f"*{text}*" if "twitter.com/intent" in href else f"[{text}]({href})" if href else text
-            words.append(marks.get(c.tag, "{}").format(text))
-        if " ".join(words).strip():
-            out.append(" ".join(words).strip())
-    return "\n\n".join(out) if out else n.text("\n\n")
+    spelled = (" ".join(filter(None, (_inline(c, NOTE) for c in p.children))).strip() for p in n.find_all(h.is_tag("p")))
+    return "\n\n".join(filter(None, spelled)) or n.text("\n\n")
 
 
 def _records(spark: SparkSession, path: str, mark: str) -> DataFrame:
@@ -169,24 +165,29 @@ def read_social_notes(spark: SparkSession, path: str) -> DataFrame:
     return _parsed(_records(spark, path, '<div class="note"'), f"title string, ts timestamp_ntz, body string, comments {COMMENT}", row)
 
 
+# A place as it stands behind a line break: words, perhaps with empty brackets at the end.
+PLACE = re.compile(r"^(\w\w.*?\w)\W*?\s*(?:\(\))?$", re.S)
+
+
 def read_social_events(spark: SparkSession, path: str) -> DataFrame:
+    def places(n: h.Node, skipped: h.Node | None) -> Iterator[str]:
+        """Texts that directly follow a line break, outside the description."""
+        for c, then in zip(n.children, [*n.children[1:], None]):
+            if c.tag == "br" and then is not None and then.tag is None:
+                yield then.data.strip()
+            elif c.tag and c is not skipped:
+                yield from places(c, skipped)
+
     def row(root):
         ev = root.find(h.has_class("event", "div"))
         if ev is None:
             return None
-        title, desc = ev.find(h.is_tag("h2")), ev.find(h.has_class("description", "div"))
-        host = ev.find(h.has_class("fn", "span")) or ev.find(h.has_class("page", "span"))
-        location = ""
-        for br in ev.find_all(h.is_tag("br")):
-            if desc is not None and br.inside(desc):
-                continue
-            after = br.parent.children[br.parent.children.index(br) + 1:][:1]
-            text = after[0].data.strip() if after and after[0].tag is None else ""
-            if len(text) > 3 and text != "()" and "(" not in text[:2]:
-                location = re.sub(r"\s*\(\)\s*$", "", text).strip()
-                break
-        return {"title": clean(title) if title else "Untitled Event", "host": clean(host) if host else "Unknown",
-                "description": desc.text("\n").replace("\n", "\n\n") if desc else "", "location": location}
+        named = {k: ev.find(t) for k, t in {"title": h.is_tag("h2"), "host": h.has_class("fn", "span"), "page": h.has_class("page", "span"),
+                                            "text": h.has_class("description", "div")}.items()}
+        host = named["host"] or named["page"]
+        found = next((m.group(1) for t in places(ev, named["text"]) if (m := PLACE.match(t))), "")
+        return {"title": clean(named["title"]) if named["title"] else "Untitled Event", "host": clean(host) if host else "Unknown",
+                "description": named["text"].text("\n\n") if named["text"] else "", "location": found}
     return _parsed(_records(spark, path, '<div class="event"'), "title string, host string, description string, location string", row)
 
 
