@@ -323,7 +323,7 @@ def resume_anti_join(spark, sf_dir):
 @query("page_actions", "P9 P10", f"""
 select email, case when total_emails % 7 = 0 then 'update'
   when total_emails % 2 = 0 and total_emails >= 10 and (strength >= 50 or total_emails >= 30 or emails_cc = 3) then 'create' else 'none' end as action,
-  case when emails_from > 2 then upper(substring(email, 1, 1)) || substring(replace(email, '@mail.example', '-x'), 2) end as page
+  case when emails_from > 2 then upper(substring(email, 1, 1)) || substring(replace(email, '@mail.example', '-X'), 2) end as page
 from ({STRENGTH}) s""")
 def page_actions(spark, sf_dir):
     s = strengths(spark, sf_dir)

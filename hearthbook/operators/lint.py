@@ -112,7 +112,7 @@ def leak_report(texts: DataFrame, rules: Sequence[tuple[str, ...]], path: str =
                 only: str | None = None, skip: str | None = None) -> DataFrame:
     """(category, pattern, path, line_no, line) of every line that matches a private pattern.
 
-    A rule is (category, pattern) or (category, pattern, allowed): a line that also matches ``allowed`` is no
+    A rule is (pattern, category) or (pattern, category, allowed): a line that also matches ``allowed`` is no
     hit. Rules see one line at a time, so that ``^`` and ``$`` mean its ends. ``only`` and ``skip`` are
     patterns of paths to look at and to leave out.
     """
@@ -124,7 +124,7 @@ def leak_report(texts: DataFrame, rules: Sequence[tuple[str, ...]], path: str =
     tested = F.filter(F.array(*[
         F.when(occurs(F.col("line"), p) & (~occurs(F.col("line"), allowed[0]) if allowed else F.lit(True)),
                F.struct(F.lit(c).alias("category"), F.lit(p).alias("pattern")))
-        for c, p, *allowed in rules]), lambda x: x.isNotNull())
+        for p, c, *allowed in rules]), lambda x: x.isNotNull())
     return lines.select(F.inline(tested), "path", (F.col("_no") + 1).alias("line_no"), "line")
 
 

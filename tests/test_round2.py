@@ -33,7 +33,7 @@ def test_pieces_never_hide_a_match(parts, text):
 
 def test_leak_rules_see_one_line(spark):
     texts = spark.createDataFrame([("a.md", "a\nsecret one\nz"), ("b.txt", "secret one"), ("c.md", "secret ok")], "path string, body string")
-    rules = [("x", "^secret"), ("y", "secret one$"), ("z", "(?i)SECRET", "ok$")]
+    rules = [("^secret", "x"), ("secret one$", "y"), ("(?i)SECRET", "z", "ok$")]
     got = {(r.category, r.path, r.line_no) for r in lint.leak_report(texts, rules, only=r"\.md$").collect()}
     assert got == {("x", "a.md", 2), ("y", "a.md", 2), ("z", "a.md", 2), ("x", "c.md", 1)}
     assert lint.leak_report(texts, rules, skip=r"\.md$").count() == 3
