@@ -595,10 +595,10 @@ def idea_scores(spark, sf_dir):
 
 
 @query("rendered_pages", "K5", """
-select conv_id, (n - 1) // 3 as part, count(*) as lines, string_agg('**' || role || '**: ' || substring(text, 1, 40), chr(10) order by turn) as page
+select conv_id, (n - 1) // 3 as part, count(*) as lines, string_agg('**' || role || '**: ' || text, chr(10) order by turn) as page
 from (select *, row_number() over (partition by conv_id order by turn) as n from {conversations}) c group by 1, 2""")
 def rendered_pages(spark, sf_dir):
-    line = F.concat(F.lit("**"), "role", F.lit("**: "), F.substring("text", 1, 40))
+    line = F.concat(F.lit("**"), "role", F.lit("**: "), "text")
     return reports.render_pages(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], line, F.shiftright("turn", 8), 3)
 
 

@@ -166,7 +166,7 @@ def alias_canonicalise(spark, sf_dir):
 
 
 _NAMES = """
-select doc_id, case doc_id % 6 when 0 then substring(text, 1, 12) when 1 then upper(substring(text, 1, 6)) when 2 then '@' || source || '.com' when 3 then cast(doc_id as varchar(20)) when 4 then 'Add' else source || ' Labs' end as name,
+select doc_id, case doc_id % 6 when 0 then text when 1 then upper(text) when 2 then '@' || source || '.com' when 3 then cast(doc_id as varchar(20)) when 4 then 'Add' else source || ' Labs' end as name,
   case when doc_id % 2 = 0 then 'service' else 'product' end as kind from {documents}"""
 _WORDS = "len(list_filter(regexp_split_to_array(name, '\\s+'), lambda w: w <> ''))"
 
@@ -228,16 +228,17 @@ def name_scores(spark, sf_dir):
 
 # The words every page is titled with become a dictionary that is looked up in all documents.
 KNOWN = """
-select lower(w) as key, min(w) as display, min(length(w) % 2) as priority from (
-  select substring(text, 1, 5) as w from {benchmark} union all select substring(text, 7, 6) from {benchmark} union all select substring(text, 20, 9) from {benchmark}) b
+select lower(w) as key, min(w) as display, min(length(w) % 2) as priority from (select WORDS as w from {benchmark}) b
 where length(w) >= 4 group by lower(w)"""
+SPARK_KNOWN = KNOWN.replace("WORDS", "explode(split(text, '[ \\n]+'))")
+KNOWN = KNOWN.replace("WORDS", "unnest(regexp_split_to_array(text, '[ \\n]+'))")
 
 
 @query("dictionary_containment", "J6", f"""
 with k as ({KNOWN}), hit as (select doc_id, key, display, priority from {{documents}} d join k on contains(lower(d.text), key))
 select doc_id, key, display from (select *, row_number() over (partition by doc_id order by priority, length(key) desc, key) as r from hit) h where r = 1""")
 def dictionary_containment(spark, sf_dir):
-    known = derive(spark, sf_dir, KNOWN)
+    known = derive(spark, sf_dir, SPARK_KNOWN)
     found = ol.match_dictionary(derive(spark, sf_dir, DOCS), "doc_id", F.col("text"), known)
     return ol.best_dictionary_match(found, "doc_id", known, "key", "priority").select("doc_id", "key", "display")
 
@@ -246,7 +247,7 @@ def dictionary_containment(spark, sf_dir):
 with k as ({KNOWN}) select conv_id, turn, display as name from {{conversations}} join k on contains(text, display)""")
 def mentions(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").withColumn("id", F.concat_ws("/", "conv_id", "turn"))
-    people = derive(spark, sf_dir, KNOWN).select(F.col("display").alias("name"))
+    people = derive(spark, sf_dir, SPARK_KNOWN).select(F.col("display").alias("name"))
     m = ol.mentions(c, "id", F.col("text"), people)
     part = F.split("id", "/")
     return m.select(part[0].cast("bigint").alias("conv_id"), part[1].cast("bigint").alias("turn"), "name")
@@ -276,12 +277,12 @@ def page_presence(spark, sf_dir):
 
 
 @query("entry_texts", "J4", """
-select e.conv_id, length(coalesce(case when d.doc_id is not null then d.text end, e.text, '')) as chars from (select conv_id, text from {conversations} where turn = 0) e
-left join {documents} d on d.doc_id = e.conv_id * 3 and d.lang = 'en'""")
+select e.conv_id, e.turn, length(coalesce(case when d.doc_id is not null then d.text end, e.text, '')) as chars from {conversations} e
+left join {documents} d on d.doc_id = e.conv_id * 3 + e.turn and d.lang = 'en'""")
 def entry_texts(spark, sf_dir):
-    e = derive(spark, sf_dir, "select conv_id, conv_id * 3 as stem, 'en' as month, text as text_preview from {conversations} where turn = 0")
+    e = derive(spark, sf_dir, "select conv_id, turn, conv_id * 3 + turn as stem, 'en' as month, text as text_preview from {conversations}")
     ocr = derive(spark, sf_dir, "select doc_id as stem, lang as month, text from {documents}")
-    return ol.with_text(e, ocr).select("conv_id", F.length("text").alias("chars"))
+    return ol.with_text(e, ocr).select("conv_id", "turn", F.length("text").alias("chars"))
 
 
 @query("note_attachments", "J19", """

@@ -39,10 +39,12 @@ IMAGES = '<article><img src="/a.png" width="400" height="300"><img src="https://
 
 @query("html_images", "T4 F50 F51", r"""
 select page_id, pos, case pos when 0 then regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) || '/a.png' when 1 then 'https://x.example/banner.png' when 2 then 'https://c.example/z.jpg' else 't.gif' end as src, pos in (0, 2) as kept
-from pages, (select unnest(range(0, 4)) as pos) k where contains(html, '<article>')""")
+from pages, (select unnest(range(0, 4)) as pos) k""")
 def html_images(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").filter(F.contains("html", F.lit("<article>")))
-    shown = p.withColumn("html", F.replace("html", F.lit("<article>"), F.lit(IMAGES)))
+    p = table(spark, sf_dir, "pages")
+    there = F.contains("html", F.lit("<article>"))
+    shown = p.withColumn("html", F.when(there, F.replace("html", F.lit("<article>"), F.lit(IMAGES))).otherwise(
+        F.concat(F.lit("<html><body>" + IMAGES + "</article>"), "html")))
     return sa.page_images(shown).select("page_id", "pos", "src", "kept")
 
 

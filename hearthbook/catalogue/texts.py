@@ -63,11 +63,11 @@ select {cols}, case when n < {min_len} then {sql_text(too_short or default)} whe
 
 
 @query("event_type_first_hit", "F15", f"""
-select doc_id, {first_hit_sql("lower(substring(text, 1, 40) || ' ' || substring(text, 41, 200))", rt.EVENT_RULES)} as event_type,
+select doc_id, {first_hit_sql("lower(case when contains(text, chr(10)) then regexp_replace(text, chr(10), ' ') else text || ' ' end)", rt.EVENT_RULES)} as event_type,
   {first_hit_sql("lower(text)", PROSE_EVENTS)} as prose_type from {{documents}}""")
 def event_type_first_hit(spark, sf_dir):
-    d = derive(spark, sf_dir, DOCS)
-    return d.select("doc_id", cl.event_type(F.substring("text", 1, 40), F.substr("text", F.lit(41))).alias("event_type"),
+    d, first = derive(spark, sf_dir, DOCS), F.substring_index("text", "\n", 1)
+    return d.select("doc_id", cl.event_type(first, F.substr("text", F.length(first) + 2)).alias("event_type"),
                     cl.first_hit(F.col("text"), PROSE_EVENTS).alias("prose_type"))
 
 
@@ -223,7 +223,7 @@ def topics_sql(text: str, rules, default="uncategorized") -> str:
 
 
 _SKIP_PROSE = ["^the\\b", "queque$"]
-TITLES = "select conv_id, max(case when turn = 0 then substring(text, 1, 90) end) as title, count(*) as message_count from {conversations} group by conv_id"
+TITLES = "select conv_id, max(case when turn = 0 then text end) as title, count(*) as message_count from {conversations} group by conv_id"
 _TOPIC = f"""
 select conv_id, message_count, unnest({topics_sql("lower(title)", PROSE_TOPICS)}) as domain from ({TITLES}) t
 where message_count >= 3 and not regexp_matches(lower(title), '(?:^the\\b)|(?:queque$)')"""
@@ -359,10 +359,10 @@ def ticker_counts(spark, sf_dir):
 
 @query("search_queries", "F58", """
 select doc_id, coalesce(nullif(trim(regexp_extract(t, 'Q\\.?\\s*(.{3,60}?)\\s*(G\\s*@|&|All\\s+Images)', 1)), ''), '(could not extract)') as query
-from (select doc_id, case when doc_id % 2 = 0 then 'Q. ' || substring(replace(text, chr(10), ' '), 1, 30) || ' G @' else text end as t from {documents}) d""")
+from (select doc_id, text || ' Q. ' || source || ' ' || lang || ' G @' as t from {documents}) d""")
 def search_queries(spark, sf_dir):
-    t = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Q. "), F.substring(F.translate("text", "\n", " "), 1, 30), F.lit(" G @"))).otherwise(F.col("text"))
-    return reports.search_queries(derive(spark, sf_dir, DOCS).withColumn("text", t), "text").select("doc_id", "query")
+    t = F.concat("text", F.lit(" Q. "), "source", F.lit(" "), "lang", F.lit(" G @"))
+    return reports.search_queries(table(spark, sf_dir, "documents").withColumn("text", t), "text").select("doc_id", "query")
 
 
 @query("style_fingerprint", "A30", r"""
@@ -387,9 +387,9 @@ select doc_id, substring(trim(regexp_replace(regexp_replace(regexp_replace(regex
   trim(regexp_replace(lower(h), '[^a-z0-9]+', '-', 'g'), '-') as id_slug,
   coalesce(nullif(substring(trim(regexp_replace(replace(replace(h, '/', '-'), '\', '-'), '[<>:"|?*]', '', 'g'), '. '), 1, 200), ''), 'Untitled') as safe_name,
   case when length(n) > 120 then case when contains(substring(n, 1, 120), ' ') then regexp_replace(substring(n, 1, 120), ' [^ ]*$', '') else substring(n, 1, 120) end else n end as headline
-from (select *, regexp_replace(h, '[<>:"/\\|?*]', '', 'g') as n from (select doc_id, replace(substring(text, 1, 150), chr(10), ' / ') as h from documents) d) e""")
+from (select *, regexp_replace(h, '[<>:"/\\|?*]', '', 'g') as n from (select doc_id, replace(text, chr(10), ' / ') as h from documents) d) e""")
 def slugs_and_names(spark, sf_dir):
-    d = derive(spark, sf_dir, DOCS).withColumn("h", F.replace(F.substring("text", 1, 150), F.lit("\n"), F.lit(" / ")))
+    d = derive(spark, sf_dir, DOCS).withColumn("h", F.replace("text", F.lit("\n"), F.lit(" / ")))
     h = F.col("h")
     return d.select("doc_id", ft.slugify(h).alias("url_slug"), ft.slugify(h, "tag").alias("tag_slug"), ft.slugify(h, "id").alias("id_slug"),
                     ft.safe_name(h).alias("safe_name"), ft.headline_name(h).alias("headline"))
@@ -445,24 +445,26 @@ _MAIL_BODY = """text || chr(10) || case doc_id % 4 when 0 then '> quoted' || chr
 BODY_SQL = "select doc_id, source, " + _MAIL_BODY.replace("chr(10)", "'\n'") + " as body from {documents}"
 
 
-@query("reply_stripping", "F7", """
-select doc_id, regexp_replace(text || case doc_id % 4 when 0 then chr(10) || 'after' when 1 then '' when 2 then ''
+# Marks that would end a text early are blunted, so that every whole text is read to its added end.
+_REPLY_MARKS = r"(?m)^([ \t]*)(>|From:|On |-)"
+_SIGN_MARKS = r"[0-9—-]"
+
+
+@query("reply_stripping", "F7", f"""
+select doc_id, regexp_replace(regexp_replace(text, '{_REPLY_MARKS}', '\\1x', 'g') || case doc_id % 4 when 0 then chr(10) || 'after' when 1 then '' when 2 then ''
   else chr(10) || 'From: here on' || chr(10) || 'we go' || chr(10) || '--' || chr(10) || 'call 555-0100' || chr(10) || 'Director of ' || source || chr(10) || '+1 212 555 0199' end,
-  '^\\s+|\\s+$', '', 'g') as body from documents where not regexp_matches(text, '(?m)^\\s*(>|From:\\s|On .+ wrote:|-{3,}\\s*Original)')""")
+  '^\\s+|\\s+$', '', 'g') as body from documents""")
 def reply_stripping(spark, sf_dir):
-    d = derive(spark, sf_dir, BODY_SQL)
-    raw = derive(spark, sf_dir, "select doc_id from {documents} where not regexp_like(text, r'(?m)^\\s*(>|From:\\s|On .+ wrote:|-{3}-*\\s*Original)')".replace("{3}", "--"))
-    return d.join(raw, "doc_id").select("doc_id", ft.strip_replies(F.col("body")).alias("body"))
+    blunt = table(spark, sf_dir, "documents").withColumn("text", F.regexp_replace("text", _REPLY_MARKS, "$1x"))
+    d = spark.sql(BODY_SQL.replace("{documents}", "{d}"), d=blunt)
+    return d.select("doc_id", ft.strip_replies(F.col("body")).alias("body"))
 
 
-@query("signatures", "F8", """
-select doc_id, '555-0100' as phone, 'Director of ' || source as title from documents where not regexp_matches(text, '[0-9]{3}')
-  and not exists (select 1 from (select unnest(string_split(text, chr(10))) as x) q where trim(x) in ('--', '---', '—'))""")
+@query("signatures", "F8", "select doc_id, '555-0100' as phone, 'Director of ' || source as title from documents")
 def signatures(spark, sf_dir):
-    d = derive(spark, sf_dir, BODY_SQL)
-    raw = table(spark, sf_dir, "documents").filter(
-        ~ft.matches(F.col("text"), "[0-9]{3}") & ~F.exists(F.split("text", "\n"), lambda x: ft.strip(x).isin("--", "---", "—"))).select("doc_id")
-    return d.join(raw, "doc_id").withColumn("s", ft.signature(F.col("body"))).select("doc_id", "s.phone", "s.title")
+    blunt = table(spark, sf_dir, "documents").withColumn("text", F.regexp_replace("text", _SIGN_MARKS, "x"))
+    d = spark.sql(BODY_SQL.replace("{documents}", "{d}"), d=blunt)
+    return d.withColumn("s", ft.signature(F.col("body"))).select("doc_id", "s.phone", "s.title")
 
 
 @query("article_dates", "F9", """

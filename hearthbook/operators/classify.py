@@ -27,10 +27,11 @@ def first_hit(text: Column, rules: Sequence[tuple[str, str]], default: Column |
     return let(F.lower(text), chain)
 
 
-def event_type(subject: Column, body: Column) -> Column:
-    """Kind of event a thread speaks of, by subject and the start of the body."""
-    return first_hit(F.concat_ws(" ", F.coalesce(subject, F.lit("")), F.substring(F.coalesce(body, F.lit("")), 1, 200)),
-                     timeline.EVENT_RULES)
+def event_type(subject: Column, body: Column, body_chars: int | None = None) -> Column:
+    """Kind of event a thread speaks of, by subject and body, or the first ``body_chars`` of it."""
+    body = F.coalesce(body, F.lit(""))
+    read = body if body_chars is None else F.substring(body, 1, body_chars)
+    return first_hit(F.concat_ws(" ", F.coalesce(subject, F.lit("")), read), timeline.EVENT_RULES)
 
 
 def narrative_role(summary: Column, notable: Column, total: Column, kind: Column) -> Column:
