@@ -98,9 +98,9 @@ def disclosing(docs: DataFrame, near: DataFrame, text: str, alpha: float, suppor
     joint = once.groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support)
     entities = near.select("entity", "around").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     pairs = materialise(joint.join(entities, "entity"), "pairs")
-    wanted = pairs.select("term").distinct()
     words = F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}]+"))
-    seen = docs.select(F.explode(words).alias("term")).join(wanted, "term").groupBy("term").agg(F.count("*").alias("n_term"))
+    # counted before they are joined: a term makes one row, however many documents hold it
+    seen = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     total = docs.agg(F.count("*").alias("n"))
     known = pairs.join(seen, "term").join(F.broadcast(total))  # one row
     pmi = F.log(F.col("n") * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
