@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hearthbook.functions.names import edit_score, match_status, normalize_name, title_case
-from hearthbook.functions.text import all_matches, word_overlap
+from hearthbook.functions.text import all_matches, let, word_overlap
 from hearthbook.operators.ordering import cap_per_group
-from hearthbook.session import fits, materialise
+from hearthbook.session import materialise
 
 # Score bands of the edit-distance search, strictest first.
 BANDS = (90, 75, 60)
@@ -154,70 +151,42 @@ def review_list(matches: DataFrame) -> DataFrame:
 
 # -- dictionary containment ---------------------------------------------------------------------
 
-DICTIONARY_ROWS = 50_000
-
-
-def _scan_small(docs: DataFrame, id_col: str, text: Column, words: list[str]) -> DataFrame:
-    """(id, key) for every word found anywhere in the text, one pass over each text."""
-    payload = docs.sparkSession.sparkContext.broadcast(json.dumps(words))
-    id_type = docs.schema[id_col].dataType.simpleString()
-
-    def scan(frames):
-        known = json.loads(payload.value)
-        try:
-            import ahocorasick
-        except ImportError:
-            ahocorasick = None
-        if ahocorasick is not None and known:
-            automaton = ahocorasick.Automaton()
-            for w in known:
-                automaton.add_word(w, w)
-            automaton.make_automaton()
-
-            def find(t: str) -> set[str]:
-                return {w for _, w in automaton.iter(t)}
-        else:
-            def find(t: str) -> set[str]:
-                return {w for w in known if w in t}
-        for pdf in frames:
-            rows, keys = [], []
-            for i, t in enumerate(pdf["text"]):
-                for w in find(t or ""):
-                    rows.append(i)
-                    keys.append(w)
-            yield pd.DataFrame({"id": pdf["id"].to_numpy()[rows], "key": np.array(keys, dtype=object)})
-
-    source = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    return source.mapInPandas(scan, f"id {id_type}, key string")
-
-
-def _scan_large(docs: DataFrame, id_col: str, text: Column, dictionary: DataFrame, anchor: int) -> DataFrame:
-    """Same result for a dictionary of any size: texts meet keys on their first letters."""
-    widest = dictionary.agg(F.max(F.length("key"))).first()[0] or anchor
-    placed = docs.select(F.col(id_col).alias("id"), text.alias("_t")).filter(F.length("_t") >= anchor)
-    starts = placed.select("id", F.explode(F.transform(
-        F.sequence(F.lit(1), F.length("_t") - (anchor - 1)), lambda i: F.substr("_t", i, F.lit(widest))
-    )).alias("_w")).distinct()
-    keyed = dictionary.select("key", F.substring("key", 1, anchor).alias("_a"))
-    hit = starts.withColumn("_a", F.substring("_w", 1, anchor)).join(keyed, "_a")
-    return hit.filter(F.startswith("_w", F.col("key"))).select("id", "key").distinct()
+ANCHOR = 4
+
+
+def _grams(c: Column, n: Column | int) -> Column:
+    """Distinct pieces of n letters."""
+    n = F.lit(n) if isinstance(n, int) else n
+    starts = F.when(F.length(c) >= n, F.sequence(F.lit(1), F.length(c) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substr(c, i, n)))
+
+
+def _contained(docs: DataFrame, id_col: str, text: Column, keys: DataFrame, shortest: int) -> DataFrame:
+    """(id, key) for every key found anywhere in a text of that id, each pair once.
+
+    A key is looked up by one of its pieces of ANCHOR letters, the one that fewest keys hold; shorter keys
+    by themselves. Texts give their distinct pieces, so a piece meets a text once however often it stands
+    there, and only pairs that share it are compared.
+    """
+    size = F.least(F.lit(ANCHOR), F.length("key"))
+    pieces = keys.filter(F.length("key") > 0).select("key", F.explode(_grams(F.col("key"), size)).alias("gram"))
+    rarity = pieces.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    anchors = pieces.join(rarity, "gram").groupBy("key").agg(F.min(F.struct("n", "gram")).alias("a")).select("key", F.col("a.gram").alias("gram"))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("_t"))
+    lengths = range(max(1, min(shortest, ANCHOR)), ANCHOR + 1)
+    there = rows.select("id", F.explode(let(F.col("_t"), lambda t: F.flatten(F.array(*[_grams(t, n) for n in lengths])))).alias("gram"))
+    close = there.join(anchors, "gram").select("id", "key").distinct()
+    return close.join(rows, "id").filter(F.contains("_t", F.col("key"))).select("id", "key").distinct()
 
 
 def match_dictionary(
     docs: DataFrame, id_col: str, text: Column, dictionary: DataFrame, key: str = "key", min_len: int = 4,
-    max_chars: int | None = None, max_rows: int = DICTIONARY_ROWS,
+    max_chars: int | None = None,
 ) -> DataFrame:
-    """(id, key) for every dictionary key that occurs in the lower-cased text.
-
-    A dictionary of checked size travels to the tasks; a larger one is joined on its first letters.
-    """
+    """(id, key) for every dictionary key of ``min_len`` letters or more that occurs in the lower-cased text."""
     whole = F.lower(text if max_chars is None else F.substring(text, 1, max_chars))
     keys = dictionary.select(F.lower(F.col(key)).alias("key")).filter(F.length("key") >= min_len).distinct()
-    if fits(keys, max_rows):
-        found = _scan_small(docs, id_col, whole, [r["key"] for r in keys.collect()])
-    else:
-        found = _scan_large(docs, id_col, whole, keys, min(4, min_len))
-    return found.withColumnRenamed("id", id_col)
+    return _contained(docs, id_col, whole, keys, min_len).withColumnRenamed("id", id_col)
 
 
 def best_dictionary_match(found: DataFrame, id_col: str, dictionary: DataFrame, key: str = "key",
@@ -228,15 +197,10 @@ def best_dictionary_match(found: DataFrame, id_col: str, dictionary: DataFrame,
     return cap_per_group(found.join(entries, "key"), [id_col], order, 1)
 
 
-def mentions(texts: DataFrame, id_col: str, text: Column, people: DataFrame, name: str = "name") -> DataFrame:
-    """(id, name) for each known person named in a text, case included."""
-    keys = people.select(F.col(name).alias("key")).distinct()
-    if fits(keys, DICTIONARY_ROWS):
-        found = _scan_small(texts, id_col, text, [r["key"] for r in keys.collect()])
-    else:
-        shortest = keys.agg(F.min(F.length("key"))).first()[0] or 1
-        found = _scan_large(texts, id_col, text, keys, max(1, min(4, shortest)))
-    return found.select(F.col("id").alias(id_col), F.col("key").alias(name))
+def mentions(texts: DataFrame, id_col: str, text: Column, people: DataFrame, name: str = "name", min_len: int = 1) -> DataFrame:
+    """(id, name) for each known person of ``min_len`` letters or more named in a text, case included."""
+    keys = people.select(F.col(name).alias("key")).filter(F.length("key") >= min_len).distinct()
+    return _contained(texts, id_col, text, keys, min_len).select(F.col("id").alias(id_col), F.col("key").alias(name))
 
 
 # -- articles and notes -------------------------------------------------------------------------

@@ -121,15 +121,19 @@ def test_name_score(spark, a, b, score):
     assert spark.range(1).select(fn.name_match_score(F.lit(a), F.lit(b)).alias("s")).first()["s"] == score
 
 
-def test_dictionary_small_and_large_agree(spark):
+def test_dictionary_finds_what_texts_contain(spark):
     rng = random.Random(5)
     texts = [("".join(rng.choice("abcd ") for _ in range(200)),) for _ in range(60)]
-    docs = spark.createDataFrame([(i, t) for i, (t,) in enumerate(texts)], "id long, text string")
+    rows = [(i % 50, t) for i, (t,) in enumerate(texts)] + [(90, None), (91, "")]  # ten ids stand for two texts
+    docs = spark.createDataFrame(rows, "id long, text string")
     keys = sorted({t[0][i:i + n].strip() for t in texts[:20] for i, n in ((3, 5), (50, 7)) if len(t[0][i:i + n].strip()) >= 4} | {"zzzz"})
     known = spark.createDataFrame([(k,) for k in keys], "key string")
-    small = {(r["id"], r["key"]) for r in ol.match_dictionary(docs, "id", F.col("text"), known).collect()}
-    large = {(r["id"], r["key"]) for r in ol.match_dictionary(docs, "id", F.col("text"), known, max_rows=1).collect()}
-    assert small == large == {(i, k) for i, (t,) in enumerate(texts) for k in keys if k in t}
+    found = ol.match_dictionary(docs, "id", F.col("text"), known).collect()
+    assert len(found) == len(set(found)) and {tuple(r) for r in found} == {(i, k) for i, t in rows for k in keys if t and k in t}
+    names = ["Bo", "A", "Ann Lee", "aé"]
+    said = spark.createDataFrame([(1, "Bo met Ann Lee"), (2, "bo aé"), (3, "A")], "id long, text string")
+    got = ol.mentions(said, "id", F.col("text"), spark.createDataFrame([(n,) for n in names], "name string")).collect()
+    assert sorted(map(tuple, got)) == [(1, "A"), (1, "Ann Lee"), (1, "Bo"), (2, "aé"), (3, "A")]
 
 
 PATTERNS = ([p for r in ocr.DETAILED_RULES.values() for _, p in r] + [p for _, ps in ocr.REFINED_RULES.values() for p in ps]
