@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -53,6 +55,28 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, str], position:
     return out.drop("_range", "_n_before", *[f"_{n}_before" for n in sums])
 
 
+def release(spark: SparkSession, *stored: DataFrame) -> None:
+    """Give back the disk of finished steps: their shuffle files, and stored tables that nothing reads any more."""
+    for df in stored:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    # Spark drops shuffle files when the driver has collected what refers to them, by itself only every half hour
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def slices(batch: pa.RecordBatch, sizes: pa.Array, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``most`` bytes by the ``sizes`` of rows, or of one row where that is larger."""
+    upto = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64)) if batch.num_rows else np.empty(0, np.int64)
+    low = 0
+    while low < batch.num_rows:
+        before = upto[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(upto, before + most, "right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected links: (node, component), component being the least node.
 

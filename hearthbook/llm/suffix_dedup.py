@@ -38,10 +38,12 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from hearthbook.llm.common import release, slices
 from hearthbook.session import materialise
 
 GRAM = 32
 SLAB = 4096
+MOST = 2 << 20  # bytes of text, or compressed text, looked at together
 WIDE = 1 << 16  # a piece's place and its number of strings travel as one number
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -172,14 +174,15 @@ def compare(pieces: pa.Table, length: int) -> pa.Table:
 
 
 def mapped(df: DataFrame, fn, schema: str | T.StructType) -> DataFrame:
-    """``fn(batch) -> list of Arrow arrays`` over Arrow batches."""
+    """``fn(batch) -> list of Arrow arrays`` over parts of Arrow batches; the third column holds their bulk."""
     out = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(out)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [c if isinstance(c, pa.Array) else pa.array(c) for c in fn(batch)]
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+            for part in slices(batch, pc.binary_length(batch.column(2)), MOST):
+                columns = [c if isinstance(c, pa.Array) else pa.array(c) for c in fn(part)]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     return df.mapInArrow(scan, out)
 
@@ -187,7 +190,7 @@ def mapped(df: DataFrame, fn, schema: str | T.StructType) -> DataFrame:
 def packed_texts(docs: DataFrame, kind: str) -> DataFrame:
     """(k, h, z): texts as compressed bytes, as they travel."""
     def pack(batch: pa.RecordBatch) -> list:
-        z = zstandard.ZstdCompressor(level=1)
+        z = zstandard.ZstdCompressor(level=6)
         texts = [z.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(2).to_pylist()]
         return [batch.column(0), batch.column(1), pa.array(texts, pa.binary())]
 
@@ -200,6 +203,8 @@ def unpack(z: bytes, tool: zstandard.ZstdDecompressor) -> bytes:
 
 def repeats(docs: DataFrame, firsts: DataFrame, kind: str, length: int, crowd: int) -> DataFrame:
     """(k, h, at, n): n strings from byte ``at`` on start earlier too; of texts (k, h, t) those in ``firsts``."""
+    spark = docs.sparkSession
+
     def places(batch: pa.RecordBatch) -> list:
         rows, keys, ats = [], [], []
         for i, t in enumerate(batch.column(2).to_pylist()):
@@ -213,21 +218,17 @@ def repeats(docs: DataFrame, firsts: DataFrame, kind: str, length: int, crowd: i
             np.concatenate(x) if x else np.empty(0, np.int64) for x in (keys, ats)]]
 
     found = mapped(docs, places, f"k {kind}, h long, anchor long, at long")
-    # equal texts have equal pieces in equal places: they do not make an anchor worth a look
-    spot = F.struct("h", "at")
-    often = found.groupBy("anchor").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).filter("a != b").select("anchor")
-    often = materialise(often, "anchors")
+    often = materialise(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "anchors")
+    release(spark)
     wanted = found.join(often, "anchor").groupBy("k", "h").agg(F.collect_set("at").alias("ats"))
     wanted = wanted.join(firsts, wanted["k"].eqNullSafe(firsts["k"]) & (wanted["h"] == firsts["h"]), "left_semi")
-
     texts = packed_texts(docs, kind)
-    same = texts["k"].eqNullSafe(wanted["k"]) & (texts["h"] == wanted["h"])
-    chosen = texts.join(wanted, same).select(texts["k"], texts["h"], "z", "ats")
+    mine = lambda other: texts["k"].eqNullSafe(other["k"]) & (texts["h"] == other["h"])
     half = (length - GRAM) // 2
 
-    def cut(batch: pa.RecordBatch) -> list:
+    def look(batch: pa.RecordBatch) -> list:
         tool = zstandard.ZstdDecompressor()
-        rows, part, at, left, raws = [], [], [], [], []
+        rows, out = [], []
         for i, (z, ats) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
             raw = unpack(z, tool)
             start, n, place, _ = anchors(raw, length)
@@ -235,42 +236,50 @@ def repeats(docs: DataFrame, firsts: DataFrame, kind: str, length: int, crowd: i
             for a, m, p in zip(start[keep].tolist(), n[keep].tolist(), place[keep].tolist(), strict=True):
                 # strings that hold `half` bytes or more right of the anchor, and the others
                 middle = min(max(a, p - half), a + m)
-                if middle < a + m:
-                    rows.append(i)
-                    at.append(middle)
-                    raws.append(raw[middle:a + m + length - 1])
-                    left.append(p - middle)
-                    part.append(signed(xxhash.xxh3_64_intdigest(raw[p:p + GRAM + half])))
-                if middle > a:
-                    rows.append(i)
-                    at.append(a)
-                    raws.append(raw[a:middle + length - 1])
-                    left.append(p - a)
-                    part.append(signed(xxhash.xxh3_64_intdigest(raw[p - half:p + GRAM])))
-        same = [xxhash.xxh3_128_digest(r) for r in raws]
-        rows = pa.array(rows, pa.int64())
-        return [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(part, pa.int64()), pa.array(same, pa.binary()),
-                pa.array(at, pa.int64()), pa.array(left, pa.int64()), pa.array(raws, pa.binary())]
+                for low, high, shared in ((middle, a + m, raw[p:p + GRAM + half]), (a, middle, raw[p - half:p + GRAM])):
+                    if low < high:
+                        rows.append(i)
+                        same = xxhash.xxh3_64_intdigest(raw[low:high + length - 1], p - low)
+                        out.append((signed(xxhash.xxh3_64_intdigest(shared)), signed(same), low, p - low, high - low))
+        at = pa.array(rows, pa.int64())
+        return [batch.column(0).take(at), batch.column(1).take(at), *[
+            pa.array([o[c] for o in out], pa.int64()) for c in range(5)]]
 
-    pieces = mapped(chosen, cut, f"k {kind}, h long, part long, same binary, at long, left long, bytes binary")
-    pieces = materialise(pieces, "pieces")
+    chosen = texts.join(wanted, mine(wanted)).select(texts["k"], texts["h"], "z", "ats")
+    pieces = materialise(mapped(chosen, look, f"k {kind}, h long, part long, same long, at long, left long, n long"), "pieces")
+    release(spark, often)
     # equal pieces: all but the first repeat as a whole
-    place = F.struct("k", "h", "at")
-    heads = pieces.groupBy("part", "same", "left").agg(F.min(place).alias("head"))
-    heads = materialise(heads, "heads")
-    again = pieces.join(heads, ["part", "same", "left"]).filter(place != F.col("head"))
-    again = again.select("k", "h", "at", (F.octet_length("bytes") - length + 1).cast("long").alias("n"))
-    # different pieces of one part
+    place = F.struct("k", "h", "at", "left", "n")
+    heads = materialise(pieces.groupBy("part", "same").agg(F.min(place).alias("head")), "heads")
+    again = pieces.join(heads, ["part", "same"]).filter(place != F.col("head")).select("k", "h", "at", "n")
+    # different pieces of one part, cut out of their texts
     parts = heads.groupBy("part").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    apart = heads.join(parts, "part").select("part", "same", "left", "head", "kinds")
-    apart = pieces.join(apart, ["part", "same", "left"]).filter(place == F.col("head"))
-    apart = materialise(apart.select("k", "h", "part", "at", "left", "bytes", "kinds").dropDuplicates(["k", "h", "part", "at"]), "apart")
-    some = apart.filter(F.col("kinds") <= crowd)
+    apart = materialise(heads.join(parts, "part").select("head.*", "part", "kinds"), "apart")
+    release(spark)
+    listed = apart.groupBy("k", "h").agg(F.collect_set(F.struct("part", "at", "left", "n", "kinds")).alias("cuts"))
+
+    def cut(batch: pa.RecordBatch) -> list:
+        tool = zstandard.ZstdDecompressor()
+        rows, out, raws = [], [], []
+        for i, (z, cuts) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            raw = unpack(z, tool)
+            for c in cuts:
+                rows.append(i)
+                out.append((c["part"], c["at"], c["left"], c["kinds"]))
+                raws.append(raw[c["at"]:c["at"] + c["n"] + length - 1])
+        at = pa.array(rows, pa.int64())
+        return [batch.column(0).take(at), batch.column(1).take(at), pa.array(raws, pa.binary()), *[
+            pa.array([o[c] for o in out], pa.int64()) for c in range(4)]]
+
+    chosen = texts.join(listed, mine(listed)).select(texts["k"], texts["h"], "z", "cuts")
+    bare = materialise(mapped(chosen, cut, f"k {kind}, h long, bytes binary, part long, at long, left long, kinds long"), "cuts")
+    release(spark, apart)
+    some = bare.filter(F.col("kinds") <= crowd)
     buckets = max(1, -(-some.count() // 20_000))
     schema = f"k {kind}, h long, at long, n long"
     close = some.select("k", "h", "part", "at", "left", "bytes", F.pmod(F.xxhash64("part"), F.lit(buckets)).alias("bucket"))
     found = close.groupBy("bucket").applyInArrow(comparing(length), schema)
-    return again.unionAll(found).unionAll(one_by_one(apart.filter(F.col("kinds") > crowd), kind, length))
+    return again.unionAll(found).unionAll(one_by_one(bare.filter(F.col("kinds") > crowd), kind, length))
 
 
 def comparing(length: int):
@@ -283,7 +292,7 @@ def one_by_one(pieces: DataFrame, kind: str, length: int) -> DataFrame:
     """Repeats among pieces of crowded anchors: every string by its hash."""
     def strings(batch: pa.RecordBatch) -> list:
         rows, at, hashes = [], [], []
-        for i, (a, raw) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+        for i, (a, raw) in enumerate(zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True)):
             for o in range(len(raw) - length + 1):
                 rows.append(i)
                 at.append(a + o)
@@ -291,7 +300,7 @@ def one_by_one(pieces: DataFrame, kind: str, length: int) -> DataFrame:
         rows = pa.array(rows, pa.int64())
         return [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at, pa.int64()), pa.array(hashes, pa.binary())]
 
-    each = mapped(pieces.select("k", "h", "at", "bytes"), strings, f"k {kind}, h long, at long, string binary")
+    each = mapped(pieces.select("k", "h", "bytes", "at"), strings, f"k {kind}, h long, at long, string binary")
     place = F.struct("k", "h", "at")
     heads = each.groupBy("string").agg(F.min(place).alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
     return each.join(heads, "string").filter(place != F.col("head")).select("k", "h", "at", F.lit(1).cast("long").alias("n"))
@@ -332,12 +341,13 @@ def drop_repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text"
     found = found.groupBy("k", "h").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
     found = materialise(found.select("k", "h", "runs.at", "runs.n"), "runs")
     texts = packed_texts(rows, kind)
-    joined = texts.join(found, texts["k"].eqNullSafe(found["k"]) & (texts["h"] == found["h"]), "left").select(texts["k"], "z", "at", "n")
+    release(docs.sparkSession)
+    joined = texts.join(found, texts["k"].eqNullSafe(found["k"]) & (texts["h"] == found["h"]), "left").select(texts["k"], "at", "z", "n")
 
     def cut(batch: pa.RecordBatch) -> list:
         tool = zstandard.ZstdDecompressor()
         sizes, gone, spans, kept = [], [], [], []
-        for z, at, n in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3)], strict=True):
+        for z, at, n in zip(*[batch.column(i).to_pylist() for i in (2, 1, 3)], strict=True):
             raw = unpack(z, tool)
             g, s, left = remove(raw, at or [], n or [], length)
             sizes.append(len(raw))
