@@ -3,9 +3,9 @@
 A batch's different chunks - a word with the spaces before it - are put into one text. Its suffixes are
 sorted to the depth of the longest piece by prefix doubling; every piece of the vocabulary finds its
 range of suffixes by binary search, one character after the other, all pieces at once. The ranges give
-the edges (start, end, piece) of the batch, sorted by position. Each chunk is then relaxed over its
-edges: of the edges that join two neighbours the best-scored, leftmost one is taken, until none is left,
-and what no piece covers becomes bytes. This is the order in which the model itself merges.
+the edges (start, end, piece) of the batch, sorted by position. The chunks are then relaxed over their
+edges: of the edges that join two neighbours a chunk takes the best-scored, leftmost one, until none is
+left, and what no piece covers becomes bytes. This is the order in which the model itself merges.
 
 Chunks may be treated alone if no piece has a space mark behind another character; for other
 vocabularies the whole text is one chunk. Models without byte fallback or with a normaliser that
@@ -23,13 +23,16 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from hearthbook.llm.common import slices
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 BREAK = "\0"  # between chunks; in no piece
-CACHE = 200_000  # chunks remembered by a task
+CACHE = 600_000  # chunks remembered by a task
 
 
 class Vocabulary:
@@ -54,12 +57,15 @@ class Vocabulary:
         for row, i in enumerate(normal):
             self.points[row, :len(text[i])] = [ord(c) for c in text[i]]
         scores = np.array([p.get_score(i) for i in normal])
-        self.turn = dict(zip(normal, np.unique(-scores, return_inverse=True)[1].tolist(), strict=True))
+        self.turns = np.zeros(len(text), np.int64)  # order in which pieces are made, best first
+        self.turns[normal] = np.unique(-scores, return_inverse=True)[1]
         self.apart = not any(SPACE in text[i].lstrip(SPACE) for i in normal)
         self.raw = [b"" if p.is_control(i) or p.is_unknown(i) else text[i].encode() for i in ids]
         for value, i in self.byte.items():
             self.raw[i] = bytes([value])
-        self.chunk = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+", re.S) if self.apart else re.compile(".+", re.S)
+        # characters that no piece holds stand alone
+        alone = "".join(c for c in "\n\t\r" if not any(c in text[i] for i in normal))
+        self.chunk = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|[{alone or BREAK}]" if self.apart else "(?s).+")
 
 
 @lru_cache(maxsize=2)
@@ -93,13 +99,13 @@ def bound(column: np.ndarray, lo: np.ndarray, hi: np.ndarray, value: np.ndarray,
         hi = np.where(todo & ~up, mid, hi)
 
 
-def edges(points: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, length, piece) of every occurrence of every piece, by start, then length."""
+def edges(points: np.ndarray, v: Vocabulary) -> np.ndarray:
+    """Every occurrence of every piece, by position: [start, length] holds the piece, or -1."""
     order = suffix_array(points, v.depth)
     padded = np.concatenate([points, np.zeros(v.depth, np.uint32)])
+    edge = np.full((len(points), v.depth + 1), -1, np.int32)
     rows = np.arange(len(v.ids))
     lo, hi = np.zeros(len(rows), np.int64), np.full(len(rows), len(points), np.int64)
-    starts, lengths, pieces = [], [], []
     for d in range(v.depth):
         column, want = padded[order + d], v.points[rows, d]
         lo, hi = bound(column, lo, hi, want, False), bound(column, lo, hi, want, True)
@@ -108,83 +114,140 @@ def edges(points: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np
         done = v.length[rows] == d + 1
         n = (hi - lo)[done]
         at = np.repeat(lo[done] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        starts.append(order[at])
-        lengths.append(np.full(len(at), d + 1))
-        pieces.append(np.repeat(v.ids[rows[done]], n))
+        edge[order[at], d + 1] = np.repeat(v.ids[rows[done]], n)  # put in its place: sorted by position
         rows, lo, hi = rows[~done], lo[~done], hi[~done]
-    start, length, piece = (np.concatenate(x) for x in (starts, lengths, pieces))
-    by = np.lexsort((length, start))
-    return start[by], length[by], piece[by]
+    return edge
+
+
+def relax(starts: np.ndarray, ends: np.ndarray, edge: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(start, length) of the pieces that the stretches end up in, all stretches at once.
+
+    ``edge[start, length]`` is the piece there, or -1. In a round every stretch takes its best edge between
+    neighbours; stretches without one are done and leave.
+    """
+    at = np.repeat(starts - np.cumsum(ends - starts) + (ends - starts), ends - starts) + np.arange((ends - starts).sum())
+    size = np.ones(len(at), np.int64)
+    owner = np.repeat(np.arange(len(starts)), ends - starts)
+    done_at, done_size = [], []
+    while len(at):
+        both = np.append(size[:-1] + size[1:], 0)
+        fits = np.append(owner[:-1] == owner[1:], False) & (both <= v.depth)
+        piece = np.where(fits, edge[at, np.where(fits, both, 0)], -1)
+        turn = np.where(piece >= 0, v.turns[piece], NEVER)
+        first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        best = np.minimum.reduceat(turn << PLACE_BITS | np.arange(len(at)), first)
+        stuck = best >> PLACE_BITS >= NEVER
+        take = (best & PLACES)[~stuck]
+        size[take] += size[take + 1]
+        over = np.repeat(stuck, np.diff(np.append(first, len(at))))
+        done_at.append(at[over])
+        done_size.append(size[over])
+        over[take + 1] = True
+        at, size, owner = at[~over], size[~over], owner[~over]
+    at, size = np.concatenate(done_at), np.concatenate(done_size)
+    order = np.argsort(at)
+    return at[order], size[order]
+
+
+NEVER, PLACE_BITS = np.int64(1 << 30), np.int64(32)
+PLACES = np.int64((1 << 32) - 1)
+
+
+def relax_long(text: str, at: int, edge: np.ndarray, v: Vocabulary) -> list[tuple[int, int]]:
+    """The same for one long stretch, its edges in a heap: work grows with n log n, not with rounds."""
+    n = len(text)
+    size, before, heap = [1] * n, list(range(-1, n - 1)), []
 
+    def offer(i: int, length: int) -> None:
+        piece = edge[at + i, length] if length <= v.depth else -1
+        if piece >= 0:
+            heapq.heappush(heap, (int(v.turns[piece]), i, length))
 
-def relax(text: str, at: int, edge: dict[int, int], width: int, v: Vocabulary) -> tuple[int, ...]:
-    """Ids of the chunk ``text`` that begins at ``at`` in the batch; ``edge`` maps start * width + length to a piece."""
-    n = len(text)
-    size, before = [1] * n, list(range(-1, n - 1))
-    heap = []
-    turn, get = v.turn, edge.get
     for i in range(n - 1):
-        piece = get((at + i) * width + 2)
-        if piece is not None:
-            heap.append((turn[piece], i, 2))
-    heapq.heapify(heap)
+        offer(i, 2)
     while heap:
         _, i, length = heapq.heappop(heap)
         j = i + size[i]
         if not size[i] or j >= n or size[i] + size[j] != length:
             continue
-        size[i] = length
-        size[j] = 0
-        after = i + length
+        size[i], size[j], after = length, 0, i + length
         if after < n:
             before[after] = i
-            piece = get((at + i) * width + length + size[after]) if length + size[after] < width else None
-            if piece is not None:
-                heapq.heappush(heap, (turn[piece], i, length + size[after]))
-        left = before[i]
-        if left >= 0:
-            piece = get((at + left) * width + size[left] + length) if length + size[left] < width else None
-            if piece is not None:
-                heapq.heappush(heap, (turn[piece], left, size[left] + length))
-    out, i = [], 0
-    while i < n:
-        piece = get((at + i) * width + size[i])
-        if piece is None:
-            out += [v.byte[b] for b in text[i].encode()]
-        else:
-            out.append(piece)
-        i += size[i]
-    return tuple(out)
-
-
-def encode_chunks(chunks: list[str], v: Vocabulary) -> dict[str, tuple[int, ...]]:
-    """The ids of different chunks, matched together."""
+            offer(i, length + size[after])
+        if before[i] >= 0:
+            offer(before[i], size[before[i]] + length)
+    return [(at + i, m) for i, m in enumerate(size) if m]
+
+
+def encode_chunks(chunks: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of different chunks, matched together: all ids after each other, and how many each chunk has."""
     text = BREAK.join(chunks)
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    start, length, piece = edges(points, v)
-    width = v.depth + 1
-    edge = dict(zip((start * width + length).tolist(), piece.tolist(), strict=True))
-    out, at = {}, 0
-    for c in chunks:
-        out[c] = relax(c, at, edge, width, v)
-        at += len(c) + 1
-    return out
-
-
-def encode_batch(texts: list[str | None], v: Vocabulary, known: dict[str, tuple[int, ...]]) -> list[list[int] | None]:
-    parts = [None if t is None else v.chunk.findall(SPACE * (v.prefix and t != "") + t.replace(" ", SPACE)) for t in texts]
-    new = list({c for p in parts if p for c in p if c not in known})
-    # matched in blocks of about a million characters, so that the index stays small
-    block, held = [], 0
-    for c in new:
-        block.append(c)
-        held += len(c)
-        if held > 1_000_000:
-            known.update(encode_chunks(block, v))
-            block, held = [], 0
-    if block:
-        known.update(encode_chunks(block, v))
-    return [None if p is None else list(chain.from_iterable(map(known.__getitem__, p))) for p in parts]
+    edge = edges(points, v)
+    lengths = np.array([len(c) for c in chunks])
+    starts = np.cumsum(lengths + 1) - lengths - 1
+    short = lengths <= LONG
+    at, size = relax(starts[short], (starts + lengths)[short], edge, v) if short.any() else (np.empty(0, np.int64),) * 2
+    rest = [x for i in np.flatnonzero(~short) for x in relax_long(chunks[i], int(starts[i]), edge, v)]
+    if rest:
+        at, size = np.append(at, [a for a, _ in rest]), np.append(size, [n for _, n in rest])
+        order = np.argsort(at)
+        at, size = at[order], size[order]
+    ids, copies = edge[at, size], np.ones(len(at), np.int64)
+    # a character without a piece is its bytes
+    bare = np.flatnonzero(ids < 0)
+    raw = [text[a].encode() for a in at[bare].tolist()]
+    copies[bare] = [len(r) for r in raw]
+    begin = np.cumsum(copies) - copies
+    out = np.repeat(ids, copies)
+    for a, r in zip(begin[bare].tolist(), raw, strict=True):
+        out[a:a + len(r)] = [v.byte[b] for b in r]
+    firsts = np.append(begin, len(out))[np.searchsorted(at, starts)]
+    return out, np.diff(np.append(firsts, len(out)))
+
+
+class Known:
+    """Chunks met so far with their ids, the ids in one array."""
+
+    def __init__(self) -> None:
+        self.place: dict[str, int] = {}
+        self.first, self.ids = np.zeros(1, np.int64), np.empty(0, np.int32)
+
+    def add(self, chunks: list[str], v: Vocabulary) -> None:
+        # matched in blocks, so that the index stays small
+        blocks, block, held = [], [], 0
+        for c in chunks:
+            block.append(c)
+            held += len(c) + 1
+            if held > BLOCK:
+                blocks.append(block)
+                block, held = [], 0
+        found = [encode_chunks(b, v) for b in [*blocks, block] if b]
+        self.place.update(zip(chunks, range(len(self.place), len(self.place) + len(chunks)), strict=True))
+        self.ids = np.concatenate([self.ids, *[i for i, _ in found]])
+        counts = np.concatenate([np.diff(self.first), *[n for _, n in found]])
+        self.first = np.r_[0, np.cumsum(counts)]
+
+
+LONG = 48  # characters up to which stretches are relaxed together
+BLOCK = 250_000  # characters indexed together
+
+
+def encode_batch(texts: list[str | None], v: Vocabulary, known: Known) -> pa.ListArray:
+    """The ids of every text; null for null."""
+    parts = [[] if t is None else v.chunk.findall(SPACE * (v.prefix and t != "") + t.replace(" ", SPACE)) for t in texts]
+    every = list(chain.from_iterable(parts))
+    if len(known.place) > CACHE:
+        known.__init__()
+    new = [c for c in dict.fromkeys(every) if c not in known.place]
+    if new:
+        known.add(new, v)
+    which = np.fromiter(map(known.place.__getitem__, every), np.int64, len(every))
+    counts = known.first[which + 1] - known.first[which]
+    upto = np.r_[0, np.cumsum(counts)]
+    ids = known.ids[np.repeat(known.first[which] - upto[:-1], counts) + np.arange(upto[-1])]
+    ends = upto[np.cumsum([0, *map(len, parts)])]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids), mask=pa.array([t is None for t in texts]))
 
 
 def decode_ids(ids: list[int], v: Vocabulary) -> str:
@@ -192,6 +255,9 @@ def decode_ids(ids: list[int], v: Vocabulary) -> str:
     return text[1:] if v.prefix and text.startswith(" ") else text
 
 
+STEP = 4 << 20  # bytes of text encoded together
+
+
 def load_model(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -205,22 +271,16 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", model: str = M
     at = docs.columns.index(text)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, known = vocabulary(sent.value), {}
+        v, known = vocabulary(sent.value), Known()
         for batch in batches:
-            for low in range(0, batch.num_rows, STEP):
-                part = batch.slice(low, STEP)
-                if len(known) > CACHE:
-                    known.clear()
-                got = pa.array(encode_batch(part.column(at).to_pylist(), v, known), pa.list_(pa.int32()))
+            for part in slices(batch, pc.binary_length(batch.column(at)), STEP):
+                got = encode_batch(part.column(at).to_pylist(), v, known)
                 columns = [c.cast(f.type) for c, f in zip(part.columns, arrow, strict=False)]
                 yield pa.RecordBatch.from_arrays([*columns, got.cast(arrow.field(ids).type)], schema=arrow)
 
     return docs.mapInArrow(scan, schema)
 
 
-STEP = 2000  # rows encoded together
-
-
 def decode(tokens: DataFrame, ids: str = "ids", text: str = "decoded", model: str = MODEL) -> DataFrame:
     """``tokens`` with the text that ``ids`` stand for in a further column."""
     sent = tokens.sparkSession.sparkContext.broadcast(load_model(model))
@@ -231,8 +291,7 @@ def decode(tokens: DataFrame, ids: str = "ids", text: str = "decoded", model: st
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(sent.value)
         for batch in batches:
-            for low in range(0, batch.num_rows, STEP):
-                part = batch.slice(low, STEP)
+            for part in slices(batch, pc.multiply(pc.list_value_length(batch.column(at)), 4), STEP):
                 got = pa.array([None if x is None else decode_ids(x, v) for x in part.column(at).to_pylist()], pa.string())
                 columns = [c.cast(f.type) for c, f in zip(part.columns, arrow, strict=False)]
                 yield pa.RecordBatch.from_arrays([*columns, got.cast(arrow.field(text).type)], schema=arrow)
