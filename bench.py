@@ -19,7 +19,8 @@ HEADLINE = [
     "entity_score25", "fuzzy_name_match", "dictionary_containment", "cooccurrence_edges", "cooccurrence_skewed",
     "degree_bridge", "people_counts", "contact_score8", "chat_path_walk", "sessionize", "event_summary",
     "media_category", "directory_plan", "project_tokens", "collision_names", "hero_ranking", "leak_report",
-    "broken_links", "style_fingerprint", "source_authority", "html_articles", "html_markdown", "stream_sessionize",
+    "broken_links", "style_fingerprint", "source_authority", "html_articles", "html_markdown", "stream_sessionize", "document_placement", "top_connectors",
+    "press_links", "article_matches", "mentions", "note_lint", "html_archived",
 ]
 
 
