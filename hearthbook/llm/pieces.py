@@ -263,10 +263,14 @@ def load_model(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, text: str = "text", ids: str = "ids", model: str = MODEL) -> DataFrame:
-    """``docs`` with the ids of ``text`` in a further column. The model file, a few MB at most, is sent to the tasks."""
+def encode(docs: DataFrame, text: str = "text", ids: str = "ids", model: str = MODEL, round_trip: str | None = None) -> DataFrame:
+    """``docs`` with the ids of ``text`` in a further column. The model file, a few MB at most, is sent to the tasks.
+
+    With ``round_trip`` a column of that name says whether the ids, decoded in the same task, give the text back.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(load_model(model))
-    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    more = [T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(round_trip, T.BooleanType())] if round_trip else [])]
+    schema = T.StructType([*docs.schema.fields, *more])
     arrow = to_arrow_schema(schema)
     at = docs.columns.index(text)
 
@@ -274,9 +278,14 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", model: str = M
         v, known = vocabulary(sent.value), Known()
         for batch in batches:
             for part in slices(batch, pc.binary_length(batch.column(at)), STEP):
-                got = encode_batch(part.column(at).to_pylist(), v, known)
-                columns = [c.cast(f.type) for c, f in zip(part.columns, arrow, strict=False)]
-                yield pa.RecordBatch.from_arrays([*columns, got.cast(arrow.field(ids).type)], schema=arrow)
+                texts = part.column(at).to_pylist()
+                got = encode_batch(texts, v, known)
+                columns = [c.cast(f.type) for c, f in zip(part.columns, arrow, strict=False)] + [got.cast(arrow.field(ids).type)]
+                if round_trip:
+                    ends, flat = got.offsets.to_pylist(), got.values.to_numpy()
+                    columns.append(pa.array([t is None or decode_ids(flat[a:b].tolist(), v) == t
+                                             for t, a, b in zip(texts, ends, ends[1:], strict=False)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return docs.mapInArrow(scan, schema)
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hearthbook.llm import licences, line_dedup, mixing, near_dedup, pieces, pii, quality, secrets, suffix_dedup, topk
 from hearthbook.llm.common import table
+from hearthbook.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,10 +20,15 @@ DUCK_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 def query(name: str, sql: str | None = None):
     def wrap(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql:
             ORACLES[name] = sql
-        return fn
+        return run
     return wrap
 
 
@@ -119,11 +126,10 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_sentencepiece")
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and digest of every document's ids, and whether decoding gives the text back."""
-    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    back = pieces.decode(coded)
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), round_trip="round_trip")
     listed = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
-    return back.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
-                       F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
+    return coded.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
+                        F.sha2(listed, 256).alias("ids_sha256"), "round_trip")
 
 
 @query("op7_license_scans")
