@@ -12,10 +12,11 @@ windows allow. With m windows in the chain, two texts of n and k windows are nea
 m >= threshold * (n + k - m).
 
 Equal word sequences are one text from the start, whatever their number. In a band's bucket each text
-is paired with the bucket's ``LEADERS`` first members by as many random orders, so that a bucket makes
-pairs in proportion to its members. Each text's most promising pair is verified first; of the others
-only those between texts that no verified chain joins yet. A document's class is the least key that
-verified links lead to. Null texts and texts without a word stay alone. Rows repeated with key and
+is first paired with the bucket's ``LEADERS`` first members by as many random orders and with its
+hub, the member whose buckets are the largest, so that a bucket makes pairs in proportion to its
+members. Each text's most promising pair is verified first; of the others only those between texts
+that no verified chain joins yet. Buckets that still hold texts of several groups are settled exactly
+(``prefix_pairs``). A document's class is the least key that verified links lead to. Null texts and texts without a word stay alone. Rows repeated with key and
 text have one class; null keys come first.
 """
 
@@ -172,6 +173,44 @@ def verified(pairs: DataFrame, entries: DataFrame, threshold: float) -> DataFram
     return both.select("a", "b", "x", "y").mapInArrow(scan, schema)
 
 
+def window_rows(texts: DataFrame) -> DataFrame:
+    """(rid, part, n, w): every window of the texts (rid, part, entries), n of them in its text."""
+    schema = T._parse_datatype_string("rid long, part long, n int, w int")
+    arrow = to_arrow_schema(schema)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rid, part, value in zip(*(batch.column(i) for i in range(3)), strict=True):
+                w = np.frombuffer(value.as_buffer(), np.int32)
+                fixed = [np.full(len(w), x, t) for x, t in ((rid.as_py(), np.int64), (part.as_py(), np.int64), (len(w), np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in [*fixed, w]], schema=arrow)
+
+    return texts.select("rid", "part", "entries").mapInArrow(scan, schema)
+
+
+def prefix_pairs(texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of texts (rid, part, entries) of different parts: all that can reach the threshold are among them.
+
+    Near copies share a window among the n - ceil(threshold * n) + 1 rarest of each. Members of a window's
+    largest part meet only those of other parts.
+    """
+    rows = materialise(window_rows(texts), "windows")
+    held = rows.groupBy("w").agg(F.count("*").alias("texts"))
+    rank = F.row_number().over(Window.partitionBy("rid").orderBy("texts", "w"))
+    least = F.ceil(threshold * F.col("n") - 1e-9)
+    rare = rows.join(held, "w").withColumn("at", rank).filter((F.col("at") <= F.col("n") - least + 1) & (F.col("texts") > 1))
+    rare = materialise(rare.select("rid", "part", "n", "w", "at"), "rare")
+    parts = rare.groupBy("w", "part").agg(F.count("*").alias("c")).groupBy("w").agg(
+        F.count("*").alias("parts"), F.max_by("part", F.struct("c", "part")).alias("major"))
+    mixed = rare.join(parts.filter("parts > 1").select("w", "major"), "w")
+    x = mixed.filter("part != major").select("w", *[F.col(c).alias(f"{c}_x") for c in ("rid", "part", "n", "at")])
+    both = x.join(mixed, "w").filter((F.col("part_x") != F.col("part")) & ((F.col("part") == F.col("major")) | (F.col("rid_x") < F.col("rid"))))
+    # windows from the shared one on are all that can match, at the first that is shared
+    need = F.ceil(threshold * (F.col("n_x") + F.col("n")) / (1 + threshold) - 1e-9)
+    both = both.filter(1 + F.least(F.col("n_x") - F.col("at_x"), F.col("n") - F.col("at")) >= need)
+    return both.select(F.least("rid_x", "rid").alias("a"), F.greatest("rid_x", "rid").alias("b")).distinct()
+
+
 LEADERS = 4
 
 
@@ -191,8 +230,15 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     heads = members.groupBy("band", "bucket").agg(
         F.count("*").alias("n"), *[F.min(F.struct(F.xxhash64("rid", F.lit(i)), "rid")).alias(f"h{i}") for i in range(LEADERS)])
     heads = heads.filter("n > 1").select("band", "bucket", F.array_distinct(
-        F.array(*[f"h{i}.rid" for i in range(LEADERS)])).alias("leaders"))
+        F.array(*[f"h{i}.rid" for i in range(LEADERS)])).alias("leaders"), "n")
+    heads = materialise(heads, "heads")
     pairs = members.join(heads, ["band", "bucket"]).select("rid", F.explode("leaders").alias("leader"))
+    # in buckets of up to LEADERS + 1 members the leaders meet all others
+    crowded = members.join(heads.filter(F.col("n") > LEADERS + 1).select("band", "bucket", "n"), ["band", "bucket"])
+    crowded = materialise(crowded, "crowded")
+    weights = crowded.groupBy("rid").agg(F.sum("n").alias("weight"))
+    hubs = crowded.join(weights, "rid").groupBy("band", "bucket").agg(F.max_by("rid", F.struct("weight", "rid")).alias("leader"))
+    pairs = pairs.unionAll(crowded.join(hubs, ["band", "bucket"]).select("rid", "leader"))
     pairs = pairs.filter("rid != leader").groupBy(
         F.least("rid", "leader").alias("a"), F.greatest("rid", "leader").alias("b")).agg(F.count("*").alias("shared"))
     pairs = materialise(pairs, "pairs")
@@ -205,7 +251,16 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
     rest = rest.filter("of_a is null or of_b is null or of_a != of_b").select("a", "b")
     more = materialise(verified(rest, entries, threshold), "links")
-    groups = components(links.unionAll(more)).withColumnRenamed("node", "rid")
+    links = links.unionAll(more)
+    groups = components(links).withColumnRenamed("node", "rid")
+
+    parted = crowded.join(groups, "rid", "left").withColumn("part", F.coalesce("component", "rid"))
+    unsettled = parted.groupBy("band", "bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high")
+    unsettled = parted.join(unsettled, ["band", "bucket"]).select("rid", "part").distinct()
+    left = prefix_pairs(unsettled.join(entries, "rid"), threshold).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    last = materialise(verified(left, entries, threshold), "links")
+    if not last.isEmpty():
+        groups = components(links.unionAll(last)).withColumnRenamed("node", "rid")
 
     named = texts.join(groups, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     named = materialise(named.select("same", "rid", "component", "k", "mark"), "named")

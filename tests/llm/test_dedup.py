@@ -196,3 +196,55 @@ def test_near_copies_of_edges(edges, nothing):
     assert kept.columns == edges.columns
     ids = sorted((r.doc_id for r in kept.collect()), key=str)
     assert 1 not in ids and 2 not in ids and 7 not in ids and ids.count(9) == 2 and ids.count(None) == 2
+
+
+def plain_classes(texts):
+    least = list(range(len(texts)))
+    for a, b in sorted(jaccard_links(texts)):
+        low, high = sorted((least[a], least[b]))
+        least = [low if x == high else x for x in least]
+    return least
+
+
+def variant(rng, base, cuts):
+    out = list(base)
+    for at in cuts:
+        out[at] = f"v{rng.randrange(10 ** 9)}"
+    return " ".join(out)
+
+
+def test_a_star_of_variants_is_one_class(spark):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(300)]
+    texts = [variant(rng, base, [i + rng.randrange(60) for i in (0, 75, 150, 225)]) for _ in range(500)]
+    texts.insert(250, " ".join(base))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = plain_classes(texts)
+    assert set(want) == {0}
+    assert {r["class"] for r in near_dedup.near_classes(docs).collect()} == {0}
+
+
+def test_near_copies_under_hot_boilerplate(spark):
+    rng = random.Random(9)
+    hot = [f"h{i}" for i in range(80)]
+    texts = []
+    for n in range(60):
+        own = [f"o{n}_{i}" for i in range(rng.choice([18, 24, 40]))]
+        texts.append(" ".join(hot + own))
+        if n % 4 == 0:
+            texts.append(variant(rng, hot + own, [90]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r["class"] for r in near_dedup.near_classes(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_classes(texts)
+
+
+def test_prefix_pairs_hold_all_near_copies(spark):
+    rng = random.Random(10)
+    base = [f"w{i}" for i in range(100)]
+    texts = [variant(rng, base[:rng.choice([60, 80, 100])], rng.sample(range(60), rng.randrange(4))) for _ in range(80)]
+    entries = [(near_dedup.windows(near_dedup.word_hashes(t)) >> np.uint64(32)).astype(np.uint32) for t in texts]
+    rows = [(i, i // 3, bytearray(e.tobytes())) for i, e in enumerate(entries)]
+    got = near_dedup.prefix_pairs(spark.createDataFrame(rows, "rid long, part long, entries binary"), 0.8)
+    got = {(r.a, r.b) for r in got.collect()}
+    links = {(a, b) for a, b in jaccard_links(texts) if a // 3 != b // 3}
+    assert links and links <= got and all(a // 3 != b // 3 for a, b in got)
