@@ -1,11 +1,12 @@
 """Personal data, and the terms that give it away.
 
-Addresses, numbers and cards are found by pattern. What stands around them can name the same person:
-over the whole corpus, the information that a term t carries about a protected value c is
-PMI(c; t) = log(N n(c,t) / (n(c) n(t))), and c itself holds IC(c) = log(N / n(c)); N and n(t) count
-documents, n(c) and n(c,t) different surroundings, so a page copied a thousand times is one witness.
-A term with PMI >= IC / alpha in ``support`` surroundings or more discloses c wherever it stands near
-c: it is removed if PMI >= IC, else generalised to the shape of its letters.
+Addresses, numbers and cards are found by pattern. What stands in the same document can name the same
+person: over the whole corpus, the information that a term t carries about a protected value c is
+PMI(c; t) = log(N n(c,t) / (n(c) n(t))), and c itself holds IC(c) = log(N / n(c)). All four count
+documents, copies included. A term with PMI >= IC / alpha that meets c in ``support`` different texts
+or more discloses c in every document that holds c, wherever it stands: it is removed if PMI >= IC,
+else generalised to the shape of its letters. A page copied a thousand times is one text: whatever
+stands only there is no evidence.
 
 Null texts are empty; repeated rows give repeated results; columns beside key and text are not read.
 """
@@ -14,8 +15,8 @@ from __future__ import annotations
 
 import bisect
 import re
-from itertools import islice
 
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from hearthbook.llm.common import digest, per_text
@@ -23,16 +24,12 @@ from hearthbook.llm.spans import private_spans
 from hearthbook.session import materialise
 
 KINDS = ("email", "ip", "card", "phone")
-REACH = 8
 NEAR = re.compile(r"[^\W\d_]+")
 
 
-def surroundings(text: str, spans: list[tuple[int, int]], window: int) -> list[list[tuple[str, int, int]]]:
-    """For each span the terms among the ``window`` words to either side, not inside any span.
-
-    Words are looked for in ``window`` times 40 code points to either side.
-    """
-    out, merged = [], []
+def free_words(text: str, spans: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    """All terms of a text with their places, those outside of every span."""
+    merged = []
     for a, b in sorted(spans):
         if merged and a <= merged[-1][1]:
             merged[-1][1] = max(b, merged[-1][1])
@@ -44,42 +41,38 @@ def surroundings(text: str, spans: list[tuple[int, int]], window: int) -> list[l
         i = bisect.bisect_left(starts, b)
         return i == 0 or merged[i - 1][1] <= a
 
-    for a, b in spans:
-        start = max(0, a - window * 40)
-        before = [(m.group().lower(), m.start(), m.end()) for m in NEAR.finditer(text, start, a)][-window:]
-        after = list(islice(((m.group().lower(), m.start(), m.end()) for m in NEAR.finditer(text, b, b + window * 40)), window))
-        out.append([w for w in before + after if free(w[1], w[2])])
-    return out
+    return [(m.group().lower(), *m.span()) for m in NEAR.finditer(text) if free(*m.span())]
 
 
-FOUND = ("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, "
-         "near array<struct<entity:string,around:string,term:string,at:int,to:int>>")
+FOUND = ("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, same binary, "
+         "entities array<string>, words array<struct<term:string,at:int,to:int>>")
 
 
-def find(text: str, window: int) -> tuple:
+def find(text: str) -> tuple:
+    """Counts and spans of a text; its hash, entities and terms if it has spans."""
     kinds = private_spans(text)
-    base = [f"{k}:{a}:{b}" for k in KINDS for a, b in kinds[k]]
-    near = []
     spans = [(k, a, b) for k in KINDS for a, b in kinds[k]]
+    base = [f"{k}:{a}:{b}" for k, a, b in spans]
+    same, entities, words = None, [], []
     if spans:
-        for (k, a, b), words in zip(spans, surroundings(text, [(a, b) for _, a, b in spans], window), strict=True):
-            entity = f"{k}:{text[a:b].lower()}"
-            around = digest(w for w, _, _ in words)[:16]
-            near += [{"entity": entity, "around": around, "term": w, "at": x, "to": y} for w, x, y in words]
-    return (*[len(kinds[k]) for k in KINDS], digest(base), ",".join(base), near)
+        same = xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+        entities = sorted({f"{k}:{text[a:b].lower()}" for k, a, b in spans})
+        words = [{"term": w, "at": x, "to": y} for w, x, y in free_words(text, [(a, b) for _, a, b in spans])]
+    return (*[len(kinds[k]) for k in KINDS], digest(base), ",".join(base), same, entities, words)
 
 
-def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = REACH, alpha: float = 1.5,
-             support: int = 3) -> DataFrame:
+def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: float = 1.5, support: int = 3) -> DataFrame:
     """One row per document: counts, the digest of the found spans, and all spans with disclosing terms.
 
     Spans read ``kind:start:end`` in code points, end exclusive, by kind - email, ip, card, phone,
     generalised, removed - then start.
     """
-    found = per_text(docs, lambda t: find(t, window), FOUND, key, text)
+    found = per_text(docs, find, FOUND, key, text)
     found = materialise(found.withColumn("row", F.monotonically_increasing_id()), "found")
-    near = found.select("row", F.explode("near").alias("n")).select("row", "n.*")
-    terms = disclosing(docs, near, text, alpha, support)
+    held = found.filter("same is not null").select("row", "same", "entities", "words")
+    terms = materialise(disclosing(docs, held, text, alpha, support), "terms")
+    near = held.withColumn("entity", F.explode("entities")).join(terms.select("entity").distinct(), "entity", "left_semi")
+    near = near.select("row", "entity", F.explode("words").alias("w")).select("row", "entity", "w.*")
     spans = near.join(terms, ["entity", "term"]).groupBy("row", "at", "to").agg(F.max("removed").alias("removed"))
     spans = spans.groupBy("row").agg(
         F.sort_array(F.collect_list(F.struct("removed", "at", "to"))).alias("s"), F.count("*").alias("n_terms"))
@@ -91,13 +84,18 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", window: i
                       F.coalesce("n_terms", F.lit(0)).cast("long").alias("n_terms"))
 
 
-def disclosing(docs: DataFrame, near: DataFrame, text: str, alpha: float, support: int) -> DataFrame:
+def disclosing(docs: DataFrame, held: DataFrame, text: str, alpha: float, support: int) -> DataFrame:
     """(entity, term, removed) for the terms that disclose an entity; all counts cover the whole corpus."""
-    # a surrounding counts once however often it is copied: the sets are made distinct before they are counted
-    once = near.select("entity", "term", "around").distinct()
-    joint = once.groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support)
-    entities = near.select("entity", "around").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    pairs = materialise(joint.join(entities, "entity"), "pairs")
+    texts = held.groupBy("same").agg(F.count("*").alias("copies"), F.min("row").alias("row"))
+    texts = held.drop("same").join(texts.select("row", "copies"), "row")
+    each = texts.select("row", "copies", F.explode("entities").alias("entity"))
+    # no term meets an entity in more texts than hold the entity
+    entities = each.groupBy("entity").agg(F.count("*").alias("n_texts"), F.sum("copies").alias("n_entity"))
+    entities = materialise(entities.filter(F.col("n_texts") >= support).drop("n_texts"), "entities")
+    each = each.join(entities.select("entity"), "entity").join(texts.select("row", "words"), "row")
+    each = each.select("entity", "copies", F.explode(F.array_distinct("words.term")).alias("term"))
+    joint = each.groupBy("entity", "term").agg(F.count("*").alias("n_texts"), F.sum("copies").alias("n_both"))
+    pairs = materialise(joint.filter(F.col("n_texts") >= support).join(entities, "entity"), "pairs")
     words = F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}]+"))
     # counted before they are joined: a term makes one row, however many documents hold it
     seen = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))

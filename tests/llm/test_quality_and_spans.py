@@ -97,6 +97,25 @@ def test_terms_that_disclose(spark, edges, nothing):
     assert pii.sanitise(edges).count() == 16 and pii.sanitise(nothing).count() == 0
 
 
+def test_terms_are_counted_in_documents_and_found_in_the_whole_text(spark):
+    rng = random.Random(12)
+    def filler(n):
+        return " ".join(rng.choice("lorem ipsum dolor sit amet magna aliqua erat".split()) for _ in range(n))
+    signed = "kind regards from Zorblatt of the office jane@mail.example.org call or write to us any day"
+    rows = [(i, f"{filler(20)} {i} {signed}") for i in range(6)]  # the same words to either side of the address
+    # a term that stands beside the address in four texts, one of them with many copies
+    page = f"{filler(9)} quuxword {filler(2)} bob@mail.example.com {filler(9)}"
+    rows += [(i, page) for i in range(6, 46)] + [(i, f"{filler(9)} {i} quuxword {filler(1)} bob@mail.example.com") for i in range(46, 49)]
+    # far from the address
+    rows += [(i, f"Farwell {filler(300)} {i} ann@mail.example.com") for i in range(49, 53)]
+    rows += [(i, f"{filler(30)} {i}") for i in range(53, 300)]
+    got = {r.doc_id: r.spans for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, term in [*[(i, "Zorblatt") for i in range(6)], *[(i, "quuxword") for i in range(6, 49)], *[(i, "Farwell") for i in range(49, 53)]]:
+        a = rows[i][1].index(term)
+        assert f"removed:{a}:{a + len(term)}" in got[i].split(","), (i, term)
+    assert not any(got[i] for i in range(53, 300))
+
+
 def plain_secrets(text):
     out = []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
