@@ -145,6 +145,18 @@ def test_weak_parts_count_only_together(edges, nothing):
     assert secrets.scan_secrets(edges).count() == 16 and secrets.scan_secrets(nothing).count() == 0
 
 
+def test_faint_parts_count_with_identifier_and_endpoint():
+    key, end = "3f2a9c1e-77b4-4d1a-9e0b-5a6c7d8e9f00", "https://api.example.com/v1"
+    for text, value in ((f"key_id: svc1 then {key} at {end}", key), (f"user: bob pwd: hunter2-Blue9 {end}", "hunter2-Blue9"),
+                        (f"login=bob pass: 'tr0ub4dor&3x' {end}", "tr0ub4dor&3x"), (f"user: bob auth: abcdefgh {end}", "abcdefgh")):
+        _, linked = secrets.link(text, 200)
+        assert [(k, text[a:b]) for a, b, k in linked if k == "value"] == [("value", value)], text
+        assert {k for *_, k in linked} == {"identifier", "value", "endpoint"}, text
+        for part in (text.replace(end, ""), text.replace("key_id: svc1", "").replace("user: bob", "").replace("login=bob", "")):
+            assert not secrets.link(part, 200)[1], part
+    assert secrets.link(f"user: bob {'pad ' * 100} pwd: hunter2-Blue9 {end}", 200) == ([], [])
+
+
 def test_interval_join_equals_all_pairs():
     rng = random.Random(5)
     for _ in range(200):
