@@ -3,6 +3,6 @@
 
 def registry():
     """Queries by name, and the SQL twins of those that have one."""
-    from hearthbook.llm import queries
+    from hearthbook.llm import queries, queries_corpus  # noqa: F401
 
     return dict(queries.QUERIES), dict(queries.ORACLES)
