@@ -7,7 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
-from hearthbook.llm import conversation_trie
+from hearthbook.llm import conversation_trie, source_audit
 from hearthbook.llm.queries_corpus import grafted
 
 
@@ -72,3 +72,44 @@ def test_trie_of_nothing_and_of_one_long_conversation(spark):
     rows = [(c, t, "user", f"t{t if t < 140 else (t, c)}") for c in (40, 60) for t in range(300)]
     convs, turns = grafted(conversation_trie.ordered_turns(spark.createDataFrame(rows, schema)))
     assert listed(conversation_trie.prefix_trie(convs, turns, shards=2)) == brute_trie(rows)
+
+
+def brute_audit(rows, top=200):
+    docs = [(lang or "", source or "", text or "") for lang, source, text in rows]
+    found = [Counter(re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))) for _, _, t in docs]
+    out = []
+    for lang in {d[0] for d in docs}:
+        here = [(d[1], f) for d, f in zip(docs, found) if d[0] == lang]
+        df, total, groups = Counter(), Counter(), {s: Counter() for s, _ in here}
+        for s, f in here:
+            df.update(f.keys())
+        kept = {t for t, n in df.items() if n >= 3}
+        for s, f in here:
+            for t, n in f.items():
+                if t in kept:
+                    total[t] += n
+                    groups[s][t] += n
+        def share(c, t):
+            return 1 + 1_000_000_000 * (c[t] + 1) // (sum(c.values()) + len(kept))
+        f = lambda p, q: (p - q) ** 2 // q
+        for s, c in groups.items():
+            pairs = [(-sum(f(share(c, t), share(o, t)) for t in kept), x) for x, o in groups.items() if x != s]
+            terms = [(-f(share(c, t), share(total, t)), t.encode()) for t in c if share(c, t) > share(total, t)]
+            out += [(lang, s, "pair", x, -v, i + 1) for i, (v, x) in enumerate(sorted(pairs))]
+            out += [(lang, s, "term", t.decode(), -v, i + 1) for i, (v, t) in enumerate(sorted(terms)) if i < top]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("slice_rows,block_sources,top", [(500_000, 128, 200), (40, 2, 5), (7, 1, 200)])
+def test_audit_equals_brute_force(spark, edge_rows, slice_rows, block_sources, top):
+    rng = random.Random(slice_rows)
+    words = ["Alpha", "beta", "ÉTÉ", "été", "gamma9delta", "x", "漢字", "of", "the", "zz", "q-r", "naïve"]
+    rows = [(rng.choice(["en", "en", "de", None]), rng.choice(["a", "a", "b", "c", None, "d"]), " ".join(rng.choice(words) for _ in range(rng.randrange(12))))
+            for _ in range(120)]
+    rows += [("en", rng.choice("abc"), "one text with many copies and Words") for _ in range(70)]
+    rows += [("fr", "a", None), ("fr", "b", "only once"), ("fr", None, ""), ("xx", "a", "\t\n 123")]
+    rows += [("en", source, text) for _, text, source in edge_rows]
+    df = spark.createDataFrame([(*r, "z", 1, 2) for r in rows], "lang string, source string, text string, term string, n int, p int")
+    got = source_audit.audit(df, top=top, slice_rows=slice_rows, block_sources=block_sources)
+    assert sorted(tuple(r) for r in got.collect()) == brute_audit(rows, top)
+    assert source_audit.audit(df.limit(0)).count() == 0
