@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hearthbook.llm import conversation_trie, source_audit
+from hearthbook.llm import conversation_trie, lm_scoring, source_audit
 from hearthbook.llm.common import table
 from hearthbook.llm.queries import query
 from hearthbook.session import materialise
@@ -95,3 +95,9 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank F
 def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Divergence of every source from the others of its language, and the terms that tell it from the language."""
     return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op11_lm_scoring")
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smoothed frequency and network log10 probability of every document, one in ten held out of learning."""
+    return lm_scoring.lm_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
