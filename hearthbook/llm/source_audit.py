@@ -1,7 +1,8 @@
 """How far the sources of a language diverge in their words.
 
-Duplicate texts collapse first: identical texts of a language are one text with a multiplicity per
-source, tokenized once; its terms count as often as the text stands in each source. Terms in at
+Duplicate texts collapse first: identical texts of a language (128 bits of hash) are one text with a
+multiplicity per source. A task of the scan hands on each text once, all copies of a text meet in one
+place, it is tokenized once there, and its terms count as often as it stands in each source. Terms in at
 least ``min_docs`` documents of the language are kept. With count c of a term, N terms in all and V
 kept terms, p = 1 + floor(10^9 (c + 1) / (N + V)); the divergence of p from q is floor((p - q)^2 / q),
 in integers throughout.
@@ -18,13 +19,16 @@ V = 0 and pairs of value 0. Ties are ranked by the item. Only the three named co
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from hearthbook.llm.common import release
 from hearthbook.session import materialise
@@ -34,23 +38,10 @@ SCALE = 1_000_000_000
 SLICE_ROWS = 500_000
 BLOCK_SOURCES = 128
 TOP_TERMS = 200
+HELD_TERMS = 400_000
 TERM = re.compile(rb"[a-z\x80-\xff]+")
 
 
-@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("n", T.LongType())])))
-def term_counts(texts: pa.Array) -> pa.Array:
-    """Different terms of every text with their counts: runs of letters a to z, A to Z in lower case, and characters beyond ASCII."""
-    offsets, terms, counts = [0], [], []
-    for text in texts:
-        # letters, digits and marks of ASCII are single bytes, so the runs of bytes are the runs of characters
-        found = Counter(TERM.findall(text.as_buffer().to_pybytes().lower()))
-        terms += found.keys()
-        counts += found.values()
-        offsets.append(len(terms))
-    pairs = pa.StructArray.from_arrays([pa.array(terms, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], ["term", "n"])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)
-
-
 def smoothed(count: Column, total: Column, terms: Column) -> Column:
     """1 + floor(10^9 (count + 1) / (total + terms)); decimal, so that no count overflows."""
     top = (count.cast("decimal(20,0)") + F.lit(1).cast("decimal(1,0)")) * F.lit(SCALE).cast("decimal(10,0)")
@@ -61,20 +52,78 @@ def divergence(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
+def collapsed(rows: DataFrame) -> DataFrame:
+    """(lang, mark, source, copies, text): the copies of each text in each task of the scan; a task hands on a text once."""
+    schema = T._parse_datatype_string("lang string, mark binary, source string, copies long, text string")
+    arrow = to_arrow_schema(schema)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        for batch in batches:
+            copies, texts = Counter(), {}
+            for lang, source, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                key = (lang, hashlib.md5(text.encode("utf-8", "surrogatepass")).digest())
+                copies[(*key, source)] += 1
+                if key not in seen:
+                    seen.add(key)
+                    texts[(*key, source)] = text
+            rows = [(*k, n, texts.get(k)) for k, n in copies.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
+
+    return rows.mapInArrow(scan, schema)
+
+
+def term_rows(copies: DataFrame) -> DataFrame:
+    """(lang, term, source, n, docs): weighted counts and document frequencies, added up over many texts before they leave a task."""
+    schema = T._parse_datatype_string("lang string, term string, source string, n long, docs long")
+    arrow = to_arrow_schema(schema)
+
+    def drained(held: dict) -> Iterator[pa.RecordBatch]:
+        for (lang, source), (counts, docs) in held.items():
+            terms = pa.array(list(counts), pa.binary()).cast(pa.string())
+            of = [pa.array([v] * len(counts), pa.string()) for v in (lang, source)]
+            numbers = [pa.array(list(counts.values()), pa.int64()), pa.array([docs[t] for t in counts], pa.int64())]
+            yield pa.RecordBatch.from_arrays([of[0], terms, of[1], *numbers], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        at, words, kinds, size = None, [], set(), 0
+        for batch in batches:
+            for lang, mark, source, copies, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (lang, mark) != at:
+                    # the first row of a text brings the text; letters, digits and marks of ASCII are single bytes, so runs of bytes are runs of characters
+                    at, words = (lang, mark), TERM.findall(text.encode("utf-8", "surrogatepass").lower())
+                    kinds = set(words)
+                counts, docs = held.setdefault((lang, source), (Counter(), Counter()))
+                size -= len(docs)
+                if copies == 1:
+                    counts.update(words)
+                    docs.update(kinds)
+                else:
+                    for t, n in Counter(words).items():
+                        counts[t] += n * copies
+                        docs[t] += copies
+                size += len(docs)
+                if size > HELD_TERMS:
+                    yield from drained(held)
+                    held, size = {}, 0
+        yield from drained(held)
+
+    ordered = copies.repartition("lang", "mark").sortWithinPartitions("lang", "mark", F.col("text").isNull())
+    return ordered.mapInArrow(run, schema)
+
+
 def counted(docs: DataFrame, lang: str, source: str, text: str, min_docs: int) -> tuple[DataFrame, DataFrame]:
     """Groups (lang, source), and the kept terms (lang, source, term, n, all_n): counts in the group and in the language."""
     rows = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in [(lang, "lang"), (source, "source"), (text, "text")]])
-    rows = rows.withColumn("mark", F.md5("text"))
-    copies = materialise(rows.groupBy("lang", "mark", "source").agg(F.count("*").alias("copies")), "copies")
-    # one text of each kind leaves a task of the scan; its terms stay beside it until every source has taken its share
-    texts = rows.groupBy("lang", "mark").agg(F.any_value("text").alias("text")).select("lang", "mark", term_counts("text").alias("terms"))
-    shares = texts.join(copies, ["lang", "mark"]).select("lang", "source", "copies", F.inline("terms"))
-    terms = shares.groupBy("lang", "term", "source").agg(F.sum(F.col("n") * F.col("copies")).alias("n"), F.sum("copies").alias("docs"))
     everywhere = Window.partitionBy("lang", "term")
+    # dealt by term before they are added up: counts of a group and of the language then need no further shuffle
+    terms = term_rows(collapsed(rows)).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     terms = terms.select("lang", "source", "term", "n", F.sum("n").over(everywhere).alias("all_n"), F.sum("docs").over(everywhere).alias("all_docs"),
                          (F.row_number().over(everywhere.orderBy("source")) == 1).alias("first"))
     kept = materialise(terms.filter(F.col("all_docs") >= min_docs).drop("all_docs"), "terms")
-    return materialise(copies.select("lang", "source").distinct(), "groups"), kept
+    release(docs.sparkSession)
+    return materialise(rows.select("lang", "source").distinct(), "groups"), kept
 
 
 def corrections(rows: pd.DataFrame) -> pd.DataFrame:
@@ -155,8 +204,6 @@ def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
     groups = materialise(groups.withColumn("p0", F.when(F.col("v") > 0, smoothed(zero, F.col("group_n"), F.col("v")))), "groups")
     rated = kept.drop("first").join(groups.drop("p0"), ["lang", "source"]).select(
         "lang", "source", "term", smoothed(F.col("n"), F.col("group_n"), F.col("v")).alias("p"), smoothed(F.col("all_n"), F.col("lang_n"), F.col("v")).alias("q"))
-    rated = materialise(rated, "rated")
-    release(docs.sparkSession, kept)
     pairs = pair_rows(groups, rated.drop("q"), slice_rows, block_sources)
     telling = rated.filter(F.col("p") > F.col("q")).select("lang", "source", F.col("term").alias("item"), divergence(F.col("p"), F.col("q")).alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
