@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hearthbook.functions.names import edit_score, match_status, normalize_name, title_case
 from hearthbook.functions.text import all_matches, let, word_overlap
-from hearthbook.operators.ordering import cap_per_group
+from hearthbook.operators.dictionary import best_dictionary_match, match_dictionary, mentions  # noqa: F401
 from hearthbook.session import materialise
 
 # Score bands of the edit-distance search, strictest first.
@@ -149,60 +149,6 @@ def review_list(matches: DataFrame) -> DataFrame:
     return matches.filter(F.col("status") == "needs_review")
 
 
-# -- dictionary containment ---------------------------------------------------------------------
-
-ANCHOR = 4
-
-
-def _grams(c: Column, n: Column | int) -> Column:
-    """Distinct pieces of n letters."""
-    n = F.lit(n) if isinstance(n, int) else n
-    starts = F.when(F.length(c) >= n, F.sequence(F.lit(1), F.length(c) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.substr(c, i, n)))
-
-
-def _contained(docs: DataFrame, id_col: str, text: Column, keys: DataFrame, shortest: int) -> DataFrame:
-    """(id, key) for every key found anywhere in a text of that id, each pair once.
-
-    A key is looked up by one of its pieces of ANCHOR letters, the one that fewest keys hold; shorter keys
-    by themselves. Texts give their distinct pieces, so a piece meets a text once however often it stands
-    there, and only pairs that share it are compared.
-    """
-    size = F.least(F.lit(ANCHOR), F.length("key"))
-    pieces = keys.filter(F.length("key") > 0).select("key", F.explode(_grams(F.col("key"), size)).alias("gram"))
-    rarity = pieces.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    anchors = pieces.join(rarity, "gram").groupBy("key").agg(F.min(F.struct("n", "gram")).alias("a")).select("key", F.col("a.gram").alias("gram"))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("_t"))
-    lengths = range(max(1, min(shortest, ANCHOR)), ANCHOR + 1)
-    there = rows.select("id", F.explode(let(F.col("_t"), lambda t: F.flatten(F.array(*[_grams(t, n) for n in lengths])))).alias("gram"))
-    close = there.join(anchors, "gram").select("id", "key").distinct()
-    return close.join(rows, "id").filter(F.contains("_t", F.col("key"))).select("id", "key").distinct()
-
-
-def match_dictionary(
-    docs: DataFrame, id_col: str, text: Column, dictionary: DataFrame, key: str = "key", min_len: int = 4,
-    max_chars: int | None = None,
-) -> DataFrame:
-    """(id, key) for every dictionary key of ``min_len`` letters or more that occurs in the lower-cased text."""
-    whole = F.lower(text if max_chars is None else F.substring(text, 1, max_chars))
-    keys = dictionary.select(F.lower(F.col(key)).alias("key")).filter(F.length("key") >= min_len).distinct()
-    return _contained(docs, id_col, whole, keys, min_len).withColumnRenamed("id", id_col)
-
-
-def best_dictionary_match(found: DataFrame, id_col: str, dictionary: DataFrame, key: str = "key",
-                          priority: str | None = None) -> DataFrame:
-    """One entry per text: by priority, then the longest key, then the name."""
-    entries = dictionary.withColumn("key", F.lower(F.col(key)))
-    order = ([F.asc(priority)] if priority else []) + [F.desc(F.length("key")), F.asc("key")]
-    return cap_per_group(found.join(entries, "key"), [id_col], order, 1)
-
-
-def mentions(texts: DataFrame, id_col: str, text: Column, people: DataFrame, name: str = "name", min_len: int = 1) -> DataFrame:
-    """(id, name) for each known person of ``min_len`` letters or more named in a text, case included."""
-    keys = people.select(F.col(name).alias("key")).filter(F.length("key") >= min_len).distinct()
-    return _contained(texts, id_col, text, keys, min_len).select(F.col("id").alias(id_col), F.col("key").alias(name))
-
-
 # -- articles and notes -------------------------------------------------------------------------
 
 

@@ -10,7 +10,7 @@ from hearthbook.functions import media as fm, scores as sc
 from hearthbook.functions.dates import file_date, period_key
 from hearthbook.functions.names import folder_safe
 from hearthbook.operators.classify import keyword_class
-from hearthbook.operators.linkage import best_dictionary_match, match_dictionary
+from hearthbook.operators.dictionary import match_dictionaries
 from hearthbook.operators.ordering import unique_destinations
 from hearthbook.rulesets import files as fr
 
@@ -109,8 +109,8 @@ def place(
 ) -> DataFrame:
     """Target folder of every file: known folder, project folder, project token, content, category, type.
 
-    ``files``: path, text, mod_time. Dictionaries have key and display. Each step is a lookup joined
-    once; the cascade is one ``coalesce``.
+    ``files``: path, text, mod_time. Dictionaries have key and display. All lookups are one
+    pass and one join; the cascade is one ``coalesce``.
     """
     path = F.col("path")
     stem = sc.stem_of(fm.file_name(path))
@@ -126,23 +126,13 @@ def place(
     body = F.when(media, F.lit("")).otherwise(F.coalesce("text", F.lit("")))
     content = F.concat_ws(" ", F.col("_hint"), F.col("_stem"), body)
 
-    def lookup(text: Column, dictionary: DataFrame, out: str, min_len: int = 4) -> DataFrame:
-        found = match_dictionary(base, "path", text, dictionary, "key", min_len)
-        best = best_dictionary_match(found, "path", dictionary)
-        return best.select("path", F.col("display").alias(out))
-
     top = F.coalesce(F.get(fm.folder_parts(path, root), F.lit(0)), F.lit(""))
     tokens = project_tokens(base, "path", F.col("_stem"), top).select("path", "project")
-    named = (
-        base.join(lookup(F.col("_hint"), known, "_known_folder"), "path", "left")
-        .join(tokens, "path", "left")
-        .join(lookup(F.col("_folder"), people, "_person_folder", 1), "path", "left")
-        .join(lookup(F.col("_folder"), companies, "_company_folder", 1), "path", "left")
-        .join(lookup(content, known, "_known_text"), "path", "left")
-        .join(lookup(content, people, "_person_text", 1), "path", "left")
-        .join(lookup(content, companies, "_company_text", 1), "path", "left")
-    )
-    scored = keyword_class(named, content, F.col("_type"), min_score=min_score)
+    # all dictionaries are looked up in one pass over the texts, which are read beside them and never shuffled
+    names = match_dictionaries(base, "path", {"hint": F.col("_hint"), "folder": F.col("_folder"), "content": content}, {
+        "_known_folder": ("hint", known, 4), "_person_folder": ("folder", people, 1), "_company_folder": ("folder", companies, 1),
+        "_known_text": ("content", known, 4), "_person_text": ("content", people, 1), "_company_text": ("content", companies, 1)})
+    scored = keyword_class(base, content, F.col("_type"), min_score=min_score).join(tokens, "path", "left").join(names, "path", "left")
 
     def target(kind: str, name: Column, sub: Column | None = None) -> Column:
         parts = [F.lit(kind), name] + ([F.nullif(sub, F.lit(""))] if sub is not None else [])
