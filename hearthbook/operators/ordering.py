@@ -8,6 +8,7 @@ third of the table is then worked on by as many tasks as it has slices.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -198,6 +199,22 @@ def day_marker(df: DataFrame, ts: str, keys: Sequence[str], tie: Sequence[str] =
     return df.withColumn("new_day", F.row_number().over(w) == 1)
 
 
+def free_numbers(wanting: DataFrame, used: DataFrame, keys: Sequence[str], first: int, name: str = "__free_no") -> DataFrame:
+    """The j-th row of a group (``_j`` from 0) takes the j-th number from ``first`` on that ``used`` (keys, no) does not hold.
+
+    A used number has as many free ones below it as its distance from ``first`` less the used ones below. Rows and used
+    numbers are laid on that scale together, and a row's number is its place plus the used ones up to it: no rounds, and
+    neither a group nor its used numbers meet in one task.
+    """
+    block = lambda c: F.shiftright(F.col(c), ID_BLOCK_BITS)
+    held = used.select(*keys, F.col("no").cast("long").alias("no")).filter(F.col("no") >= first).distinct()
+    held = number_rows(held, keys, [F.asc("no")], block("no"), "_i")
+    marks = held.select(*keys, (F.col("no") - first - F.col("_i") + 1).alias("__free_j"), F.lit(1).alias("__free_used"))
+    rows = wanting.withColumn("__free_used", F.lit(0)).unionByName(marks, allowMissingColumns=True)
+    counted = running_before(rows, keys, [F.asc("__free_j"), F.desc("__free_used")], F.col("__free_used"), block("__free_j"), "__free_skip")
+    return counted.filter("__free_used = 0").withColumn(name, F.col("__free_j") + first + F.col("__free_skip")).drop("__free_used", "__free_skip")
+
+
 def unique_destinations(
     df: DataFrame,
     folder: str,
@@ -211,43 +228,64 @@ def unique_destinations(
 ) -> DataFrame:
     """Collision-free file names per folder: the n-th namesake gets a number, long stems are cut.
 
-    The first of a name keeps it, unless ``taken`` (folder, name) already holds it. Numbered names are
-    compared with all names given so far; those that are not free try their next number, and of several
-    that try one name the first in ``order`` gets it. Rounds end when every row has a name.
+    The first of a name keeps it, unless ``taken`` (folder, name) already holds it. The others take, in ``order``, the
+    lowest numbers that neither a name of ``taken`` nor one that a file keeps has. Names built from different stems can
+    only be alike where an extension ends as a number does; what clashes so goes into a further round. Rows without a
+    name get none.
     """
     from hearthbook.functions.scores import extension_of, stem_of
     from hearthbook.session import materialise
 
-    stem = stem_of(F.col(name))
-    ext = F.when(extension_of(F.col(name)) == "", "").otherwise(F.regexp_extract(F.col(name), r"(\.[^.]*)$", 1))
+    if not mark or mark[-1].isdigit():
+        raise ValueError("a mark must end in something other than a digit, or numbers cannot be told from stems")
+    extension = lambda c: F.when(extension_of(c) == "", "").otherwise(F.regexp_extract(c, r"(\.[^.]*)$", 1))
+    stem, ext = stem_of(F.col(name)), extension(F.col(name))
     room = F.lit(max_bytes - 5) - F.octet_length(ext)
     cut = F.make_valid_utf8(F.substr(stem.cast("binary"), F.lit(1), room).cast("string"))
     fitted = F.when(F.octet_length(stem) > room, F.regexp_replace(cut, "�+$", "")).otherwise(stem)
-    base = df.withColumn("_stem", fitted).withColumn("_ext", ext)
-    numbered = number_rows(base, [folder, "_stem", "_ext"], order, slice_by, "_nth")
-    number = lambda: F.concat("_stem", F.lit(mark), F.col("_no").cast("string"), "_ext")
-    numbered = numbered.withColumn("_no", (F.col("_nth") - 2 + first_suffix).cast("long")).withColumn("_try", F.lit(0))
-    tried = materialise(numbered.withColumn("dest_name", F.when(F.col("_nth") == 1, F.concat("_stem", "_ext")).otherwise(number())), "names")
-    used = taken.select(F.col(taken.columns[0]).alias(folder), F.col(taken.columns[1]).alias("dest_name")) if taken is not None else None
-    done = None
+    # folder, stem and extension travel as structs: they are equal also where the folder is null
+    base = df.withColumn("__free_group", F.struct(F.col(folder).alias("f"), fitted.alias("s"), ext.alias("e")))
+    whole = lambda f, n: F.struct(f.alias("f"), n.alias("n"))
+    kept = whole(F.col("__free_group.f"), F.concat("__free_group.s", "__free_group.e"))
+    numbered = number_rows(base.filter(F.col(name).isNotNull()), ["__free_group"], order, slice_by, "__free_nth").withColumn("__free_kept", kept)
+    blocked = F.lit(False)
+    if taken is not None:
+        given = taken.select(whole(F.col(taken.columns[0]), F.col(taken.columns[1])).alias("__free_kept")).distinct()
+        numbered = numbered.join(given.withColumn("__free_blocked", F.lit(True)), "__free_kept", "left")
+        blocked = F.coalesce("__free_blocked", F.lit(False))
+    numbered = numbered.withColumn("__free_j", F.col("__free_nth") - F.when(blocked, 1).otherwise(2)).drop("__free_blocked")
+    numbered = materialise(numbered, "names")
+    natural = numbered.filter("__free_j < 0").withColumn("dest_name", F.col("__free_kept.n"))
+    used = natural.select("__free_kept") if taken is None else natural.select("__free_kept").unionByName(given)
+
+    def numbers(names: DataFrame) -> DataFrame:
+        """(group, no) of the names that end in the mark and a number."""
+        parts = names.select(F.col("__free_kept.f").alias("f"), stem_of(F.col("__free_kept.n")).alias("s"), extension(F.col("__free_kept.n")).alias("e"))
+        tail = "^(?s)(.*)" + re.escape(mark) + r"(0|[1-9][0-9]{0,17})$"
+        found = parts.select("f", F.regexp_extract("s", tail, 1).alias("s"), F.regexp_extract("s", tail, 2).alias("no"), "e").filter("no <> ''")
+        return found.select(F.struct("f", "s", "e").alias("__free_group"), F.col("no").cast("long").alias("no"))
+
+    left, done = numbered.filter("__free_j >= 0"), [natural]
     while True:
-        # natural names come first; among numbered ones the lower number, then the stem: one row per name
-        rank = F.struct(((F.col("_nth") > 1) | (F.col("_try") > 0)).alias("numbered"), "_no", "_stem", "_nth")
-        winners = tried.groupBy(folder, "dest_name").agg(F.min(rank).alias("_best"))
-        if used is not None:
-            winners = winners.join(used, [folder, "dest_name"], "left_anti")
-        ranked = tried.withColumn("_rank", rank).join(winners, [folder, "dest_name"], "left")
-        ranked = materialise(ranked.withColumn("_free", F.coalesce(F.col("_rank") == F.col("_best"), F.lit(False))).drop("_rank", "_best"), "names")
-        given = ranked.filter("_free").drop("_free")
-        done = given if done is None else done.unionByName(given)
-        left = ranked.filter("not _free").drop("_free")
-        if left.isEmpty():
-            return done.drop("_stem", "_ext", "_nth", "_no", "_try")
-        names = given.select(folder, "dest_name")
-        used = names if used is None else used.unionByName(names)
-        # a natural name that was taken starts counting; the others go past the numbers of their group
-        step = F.when((F.col("_nth") == 1) & (F.col("_try") == 0), F.lit(first_suffix)).otherwise(F.col("_no") + 1)
-        tried = left.withColumn("_no", step.cast("long")).withColumn("_try", F.col("_try") + 1).withColumn("dest_name", number())
+        held = numbers(used).join(left.select("__free_group").distinct(), "__free_group", "left_semi")
+        tried = free_numbers(left, held, ["__free_group"], first_suffix)
+        tried = tried.withColumn("dest_name", F.concat("__free_group.s", F.lit(mark), F.col("__free_no").cast("string"), "__free_group.e")).drop("__free_no")
+        tried = materialise(tried.withColumn("__free_kept", whole(F.col("__free_group.f"), F.col("dest_name"))), "names")
+        best = tried.groupBy("__free_kept").agg(F.min(F.struct("__free_group", "__free_j")).alias("__free_best"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+        if best.isEmpty():
+            done.append(tried)
+            break
+        judged = materialise(tried.join(best, "__free_kept", "left").withColumn(
+            "__free_free", F.coalesce(F.struct("__free_group", "__free_j") == F.col("__free_best"), F.lit(True))).drop("__free_best"), "names")
+        done.append(judged.filter("__free_free").drop("__free_free"))
+        used = used.unionByName(done[-1].select("__free_kept"))
+        left = number_rows(judged.filter("not __free_free").drop("__free_free", "__free_j", "dest_name"), ["__free_group"], [F.asc("__free_nth")], F.shiftright("__free_nth", ID_BLOCK_BITS), "__free_j")
+        left = left.withColumn("__free_j", F.col("__free_j") - 1)
+    nameless = base.filter(F.col(name).isNull()).withColumn("dest_name", F.lit(None).cast("string"))
+    out = nameless.select(*df.columns, "dest_name")
+    for d in done:
+        out = out.unionByName(d.select(*df.columns, "dest_name"))
+    return out
 
 
 def batch(df: DataFrame, order: Sequence[Column], start: int, size: int) -> DataFrame:
