@@ -44,47 +44,27 @@ def comments_of(n: h.Node) -> list[dict]:
     ]
 
 
-def _linked(a: h.Node) -> str:
-    words, href = a.text(), a.attrs.get("href", "")
-    return f"[{words}]({href})" if words and href else href or words
+MARKS = {"strong": "**", "b": "**", "em": "*", "i": "*"}
+APART = {"p", "div", "table", "tr", "ul", "li", "blockquote"}
 
 
-def _shared(card: h.Node) -> str:
-    """A shared link: quoted title with its address, and the description."""
-    targets = [a for a in card.find_all(h.is_tag("a")) if a.attrs.get("href")]
-    titles = [t for t in (a.text() for a in targets) if t]
-    about = clean(card.find(h.is_tag("div"))) if targets else ""
-    quoted = [f"[{titles[-1]}]({targets[0].attrs['href']})"] if titles else []
-    return "".join(f"\n> {x}" for x in [*quoted, *([about] if about else [])])
+def spelled(part: h.Node | None) -> str:
+    """Markdown of any part of a page: links, emphasis and line breaks stay, blocks stand apart."""
+    def say(n: h.Node) -> str:
+        if n.tag is None:
+            return re.sub(r"\s+", " ", n.data)
+        if n.tag == "br":
+            return "\n"
+        words = "".join(map(say, n.children))
+        bare, mark, href = words.strip(), MARKS.get(n.tag), n.attrs.get("href") if n.tag == "a" else None
+        if href:
+            return f"[{bare or href}]({href})"
+        if mark and bare:
+            return f"{mark}{bare}{mark}"
+        return f"\n\n{bare}\n\n" if n.tag in APART else words
 
-
-def _inline(c: h.Node, marks: dict[str, Callable[[h.Node], str]]) -> str:
-    """One child of a paragraph or entry as Markdown."""
-    if c.tag is None:
-        return c.data.strip()
-    return marks.get(c.tag, clean)(c)
-
-
-ENTRY = {"a": _linked, "br": lambda c: "\n", "table": lambda c: _shared(c) if "walllink" in c.classes() else clean(c)}
-NOTE = {
-    "img": lambda c: "", "strong": lambda c: f"**{c.text()}**" if c.text() else "", "em": lambda c: f"*{c.text()}*" if c.text() else "",
-    # addresses that only open a composer carry a quotation as their text
-    "a": lambda c: f"*{c.text()}*" if "twitter.com/intent" in c.attrs.get("href", "") else _linked(c) if c.text() else "",
-}
-
-
-def entry_markdown(n: h.Node | None) -> str:
-    """Content of a wall entry with its links kept."""
-    words = " ".join(filter(None, (_inline(c, ENTRY) for c in n.children))) if n is not None else ""
-    return re.sub(r"[ \t]{2,}", " ", re.sub(r"[ \t]*\n[ \t]*", "\n", words)).strip()
-
-
-def rich_markdown(n: h.Node | None) -> str:
-    """Paragraphs of a note body with emphasis and links; without paragraphs, its texts."""
-    if n is None:
-        return ""
-    spelled = (" ".join(filter(None, (_inline(c, NOTE) for c in p.children))).strip() for p in n.find_all(h.is_tag("p")))
-    return "\n\n".join(filter(None, spelled)) or n.text("\n\n")
+    words = re.sub(r"[ \t]*\n[ \t]*", "\n", say(part)) if part is not None else ""
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]{2,}", " ", words)).strip()
 
 
 def _records(spark: SparkSession, path: str, mark: str) -> DataFrame:
@@ -116,7 +96,7 @@ def read_social_wall(spark: SparkSession, path: str) -> DataFrame:
         if entry is None:
             return None
         when = entry.find(h.has_class("time", "abbr"))
-        return {"author": author_of(entry), "content": entry_markdown(entry.find(h.has_class("entry-content", "span"))),
+        return {"author": author_of(entry), "content": spelled(entry.find(h.has_class("entry-content", "span"))),
                 "ts": stamp(when), "time_display": clean(when), "comments": comments_of(entry)}
     return _parsed(_records(spark, path, '<div class="feedentry'),
                    f"author string, content string, ts timestamp_ntz, time_display string, comments {COMMENT}", row)
@@ -161,7 +141,7 @@ def read_social_notes(spark: SparkSession, path: str) -> DataFrame:
             if block is not None:
                 block.drop()
         return {"title": clean(title) if title else "Untitled", "ts": stamp(when),
-                "body": rich_markdown(body) if body else clean(note), "comments": comments}
+                "body": spelled(body) if body else clean(note), "comments": comments}
     return _parsed(_records(spark, path, '<div class="note"'), f"title string, ts timestamp_ntz, body string, comments {COMMENT}", row)
 
 
