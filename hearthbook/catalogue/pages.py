@@ -108,10 +108,16 @@ select user_id, epoch_us(min(ts)) as session_start, epoch_us(max(ts)) as session
   select *, sum(case when fresh then 1 else 0 end) over (partition by user_id order by ts rows between unbounded preceding and current row) as s from (
     select user_id, ts, coalesce(epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts)) > 7200000000, true) as fresh from {events}) e) f group by user_id, s"""))
 def stream_sessionize(spark, sf_dir):
-    sessions = flows.stream_sessionize(_stream(spark, sf_dir, "events"), "ts", keys=["user_id"])
-    out = scratch_path(spark, "sessions")
-    flows.snapshot_stream(sessions, f"{out}/rows", f"{out}/log", "complete").awaitTermination()
-    return flows.last_snapshot(spark, f"{out}/rows").select("user_id", "session_start", "session_end", "members")
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
+    inbox, out = scratch_path(spark, "arrivals"), scratch_path(spark, "sessions")
+    # rows arrive up to 49 minutes late, in four files and so four batches; a last one far ahead closes what is open
+    flows.write_arrivals(events, F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("event_id") % 50).cast("int")), inbox)
+    end = events.agg((F.max("ts") + F.expr("interval 10 days")).alias("ts"))
+    end.select(F.lit(-1).cast("long").alias("user_id"), "ts", F.lit(-1).cast("long").alias("event_id")).write.mode("append").parquet(inbox)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    query = flows.append_stream(flows.stream_sessionize(stream, "ts", keys=["user_id"]), f"{out}/rows", f"{out}/log")
+    query.awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("user_id", "session_start", "session_end", "members")
 
 
 @query("stream_classify", "ST1 ST3", weighted_sql(PROSE_WEIGHTED, "Uncategorized", 5, "Unreadable", PROSE_FALLBACK, 8))
