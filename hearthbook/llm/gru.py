@@ -18,6 +18,7 @@ import numpy as np
 
 END, OTHER = 0, 1
 WINDOW = 16
+TOP = 60.0  # logits are cut here, so that no exponential overflows
 
 
 class Shape(NamedTuple):
@@ -65,9 +66,10 @@ def fresh(shape: Shape, counts: np.ndarray, seed: int = 5) -> np.ndarray:
 
 
 class Lanes(NamedTuple):
-    ids: np.ndarray  # (longest, lanes), 0 beyond a lane's end
-    lengths: np.ndarray  # of lanes, longest first
-    texts: list[list[int]]  # texts of each lane in order
+    ids: np.ndarray  # of all lanes one after the other, so that a long text costs no more room than its words
+    starts: np.ndarray
+    lengths: np.ndarray  # longest lane first
+    texts: np.ndarray  # number of each text in the order of ids
 
 
 def deal(texts: list[np.ndarray], width: int) -> Lanes:
@@ -79,29 +81,35 @@ def deal(texts: list[np.ndarray], width: int) -> Lanes:
         n, lane = heapq.heappop(heap)
         mine[lane].append(i)
         heapq.heappush(heap, (n + len(texts[i]), lane))
-    lengths = np.zeros(width, np.int64)
-    for n, lane in heap:
-        lengths[lane] = n
-    order = np.argsort(-lengths, kind="stable")
-    ids = np.zeros((int(lengths.max()), width), np.int32)
-    for column, lane in enumerate(order):
-        ids[:lengths[lane], column] = np.concatenate([texts[i] for i in mine[lane]])
-    return Lanes(ids, lengths[order], [mine[lane] for lane in order])
-
-
-def windows(lanes: Lanes) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(lanes still running, inputs, targets) of each window; the input of a place is the word before it."""
-    for t in range(0, len(lanes.ids), WINDOW):
+    by_length = sorted(heap, reverse=True)
+    order = np.array([i for _, lane in by_length for i in mine[lane]], np.int64)
+    lengths = np.array([n for n, _ in by_length], np.int64)
+    return Lanes(np.concatenate([texts[i] for i in order]), np.cumsum(lengths) - lengths, lengths, order)
+
+
+class Window(NamedTuple):
+    inputs: np.ndarray  # (steps, lanes still running); the input of a place is the word before it
+    targets: np.ndarray
+    places: np.ndarray  # of the targets in Lanes.ids
+    valid: np.ndarray  # False beyond a lane's end
+
+
+def windows(lanes: Lanes) -> Iterator[Window]:
+    longest, last = int(lanes.lengths[0]), len(lanes.ids) - 1
+    for t in range(0, longest, WINDOW):
         m = int(np.searchsorted(-lanes.lengths, -t, "left"))
-        targets = lanes.ids[t:t + WINDOW, :m]
-        before = lanes.ids[t - 1:t, :m] if t else np.zeros((1, m), np.int32)
-        yield m, np.concatenate([before, targets[:-1]]), targets
+        steps = np.arange(t, min(t + WINDOW, longest))[:, None]
+        places, valid = np.minimum(lanes.starts[:m] + steps, last), steps < lanes.lengths[:m]
+        targets = np.where(valid, lanes.ids[places], END)
+        before = lanes.ids[lanes.starts[:m] + t - 1][None] if t else np.full((1, m), END, targets.dtype)
+        yield Window(np.concatenate([before, targets[:-1]]), targets, places, valid)
 
 
 class Net:
     def __init__(self, flat: np.ndarray, shape: Shape):
         self.w, self.shape = views(flat, shape), shape
-        self.word_class = np.repeat(np.arange(len(shape.edges) - 1), np.diff(shape.edges))
+        self.word_class = np.repeat(np.arange(len(shape.edges) - 1), np.diff(shape.edges)).astype(np.int16)
+        self.ones = np.ones(shape.vocab, flat.dtype)  # sums of short rows as products
 
     def prepared(self) -> tuple[np.ndarray, np.ndarray]:
         """Recurrent weights and input gates of every word; halved where a sigmoid is taken by a tanh."""
@@ -112,41 +120,50 @@ class Net:
         u[:, :two] *= 0.5
         return u, table
 
-    def states(self, h: np.ndarray, inputs: np.ndarray, u: np.ndarray, table: np.ndarray, kept: list | None = None) -> np.ndarray:
-        """Hidden states after each input, (window, lanes, hidden); ``kept`` collects what gradients need."""
+    def states(self, h: np.ndarray, inputs: np.ndarray, u: np.ndarray, table: np.ndarray, kept: tuple | None = None) -> np.ndarray:
+        """Hidden states after each input, (window, lanes, hidden); ``kept`` takes what gradients need of each step."""
         size, two = self.shape.hidden, 2 * self.shape.hidden
-        out = np.empty((*inputs.shape, size), np.float32)
+        out = np.empty((*inputs.shape, size), h.dtype)
         bn = self.w["bn"]
         for t, words in enumerate(inputs):
             h = h * (words != END)[:, None]
             x, g = table[words], h @ u
-            rz = np.tanh(x[:, :two] + g[:, :two])
+            rz = x[:, :two]
+            rz += g[:, :two]
+            np.tanh(rz, out=rz)
             rz *= 0.5
             rz += 0.5
-            q = g[:, two:] + bn
-            n = np.tanh(x[:, two:] + rz[:, :size] * q)
+            q = g[:, two:]
+            q += bn
+            n = rz[:, :size] * q
+            n += x[:, two:]
+            np.tanh(n, out=n)
             if kept is not None:
-                kept.append((h, rz, q, n))
-            h = np.add(n, rz[:, size:] * (h - n), out=out[t])
+                for k, v in zip(kept, (h, rz, q, n), strict=True):
+                    k[t] = v
+            h = np.subtract(h, n, out=out[t])
+            h *= rz[:, size:]
+            h += n
         return out
 
     def log_probs(self, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log probability of each target after its hidden state."""
         w = self.w
-        logits = h @ w["Wc"] + w["bc"]
-        logits -= logits.max(1, keepdims=True)
         cls = self.word_class[targets]
-        out = logits[np.arange(len(h)), cls] - np.log(np.exp(logits).sum(1))
         order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(len(self.shape.edges)))
+        h, targets, cls = h[order], targets[order], cls[order]
+        edges = np.searchsorted(cls, np.arange(len(self.shape.edges)))
+        logits = np.minimum(h @ w["Wc"] + w["bc"], TOP)
+        logs = logits[np.arange(len(h)), cls] - np.log(np.exp(logits) @ self.ones[:logits.shape[1]])
         for c in np.flatnonzero(np.diff(edges)):
             low, high = self.shape.edges[c], self.shape.edges[c + 1]
             if high - low == 1:
                 continue
-            rows = order[edges[c]:edges[c + 1]]
-            inner = h[rows] @ w["Wo"][low:high].T + w["bo"][low:high]
-            inner -= inner.max(1, keepdims=True)
-            out[rows] += inner[np.arange(len(rows)), targets[rows] - low] - np.log(np.exp(inner).sum(1))
+            a, b = edges[c], edges[c + 1]
+            inner = np.minimum(h[a:b] @ w["Wo"][low:high].T + w["bo"][low:high], TOP)
+            logs[a:b] += inner[np.arange(b - a), targets[a:b] - low] - np.log(np.exp(inner) @ self.ones[:high - low])
+        out = np.empty_like(logs)
+        out[order] = logs
         return out
 
     def score(self, texts: list[np.ndarray], width: int = 256) -> np.ndarray:
@@ -155,84 +172,84 @@ class Net:
             return np.zeros(0)
         lanes = deal(texts, width)
         u, table = self.prepared()
-        h = np.zeros((lanes.ids.shape[1], self.shape.hidden), np.float32)
-        logs = np.zeros(lanes.ids.shape, np.float64)
-        for at, (m, inputs, targets) in enumerate(windows(lanes)):
-            states = self.states(h[:m], inputs, u, table)
+        h = np.zeros((len(lanes.lengths), self.shape.hidden), self.ones.dtype)
+        logs = np.zeros(len(lanes.ids), self.ones.dtype)
+        for x in windows(lanes):
+            states = self.states(h[:x.inputs.shape[1]], x.inputs, u, table)
             h = states[-1]
-            t = at * WINDOW
-            logs[t:t + len(targets), :m] = self.log_probs(states.reshape(-1, self.shape.hidden), targets.ravel()).reshape(targets.shape)
+            found = self.log_probs(states.reshape(-1, self.shape.hidden), x.targets.ravel()).reshape(x.targets.shape)
+            logs[x.places[x.valid]] = found[x.valid]
+        sizes = np.array([len(texts[i]) for i in lanes.texts])
         out = np.zeros(len(texts))
-        for lane, mine in enumerate(lanes.texts):
-            stops = np.cumsum([len(texts[i]) for i in mine])
-            out[mine] = np.add.reduceat(logs[:stops[-1], lane], np.concatenate([[0], stops[:-1]]))
+        out[lanes.texts] = np.add.reduceat(logs, np.cumsum(sizes) - sizes, dtype=np.float64)
         return out
 
-    def gradient(self, h: np.ndarray, inputs: np.ndarray, targets: np.ndarray, valid: np.ndarray, grad: dict[str, np.ndarray]) -> np.ndarray:
+    def gradient(self, h: np.ndarray, window: Window, grad: dict[str, np.ndarray]) -> np.ndarray:
         """Fill ``grad`` for one window; returns the state to carry on with."""
+        inputs, targets, _, valid = window
         w, size, two = self.w, self.shape.hidden, 2 * self.shape.hidden
         u, table = self.prepared()
-        kept: list = []
+        kept = tuple(np.empty((*inputs.shape, n), h.dtype) for n in (size, two, size, size))
         states = self.states(h, inputs, u, table, kept)
-        flat, wanted, ok = states.reshape(-1, size), targets.ravel(), valid.ravel()
-        share = np.float32(1.0 / max(1, ok.sum()))
+        flat, wanted = states.reshape(-1, size), targets.ravel()
+        # places sorted by class, those that count first
+        cls = np.where(valid.ravel(), self.word_class[wanted], len(self.shape.edges))
+        order = np.argsort(cls, kind="stable")[:int(valid.sum())]
+        here, cls, wanted = flat[order], cls[order], wanted[order]
+        share = h.dtype.type(1.0 / max(1, len(order)))
         # the softmax over classes, then the one inside each class
-        logits = flat @ w["Wc"] + w["bc"]
-        logits -= logits.max(1, keepdims=True)
-        d = np.exp(logits)
-        d /= d.sum(1, keepdims=True)
-        cls = self.word_class[wanted]
-        d[np.arange(len(d)), cls] -= 1
-        d *= (ok * share)[:, None]
-        grad["Wc"][:], grad["bc"][:] = flat.T @ d, d.sum(0)
-        dh = d @ w["Wc"].T
+        d = np.exp(np.minimum(here @ w["Wc"] + w["bc"], TOP))
+        d *= (share / (d @ self.ones[:d.shape[1]]))[:, None]
+        d[np.arange(len(d)), cls] -= share
+        grad["Wc"][:], grad["bc"][:] = here.T @ d, d.sum(0)
+        slope = d @ w["Wc"].T
         grad["Wo"][:] = grad["bo"][:] = 0
-        order = np.argsort(cls, kind="stable")
-        order = order[ok[order]]
-        edges = np.searchsorted(cls[order], np.arange(len(self.shape.edges)))
+        edges = np.searchsorted(cls, np.arange(len(self.shape.edges)))
         for c in np.flatnonzero(np.diff(edges)):
             low, high = self.shape.edges[c], self.shape.edges[c + 1]
             if high - low == 1:
                 continue
-            rows = order[edges[c]:edges[c + 1]]
-            here = flat[rows]
-            inner = here @ w["Wo"][low:high].T + w["bo"][low:high]
-            inner -= inner.max(1, keepdims=True)
-            p = np.exp(inner)
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(rows)), wanted[rows] - low] -= 1
-            p *= share
-            grad["Wo"][low:high], grad["bo"][low:high] = p.T @ here, p.sum(0)
-            dh[rows] += p @ w["Wo"][low:high]
-        # back through the window
+            a, b = edges[c], edges[c + 1]
+            p = np.exp(np.minimum(here[a:b] @ w["Wo"][low:high].T + w["bo"][low:high], TOP))
+            p *= (share / (p @ self.ones[:high - low]))[:, None]
+            p[np.arange(b - a), wanted[a:b] - low] -= share
+            grad["Wo"][low:high], grad["bo"][low:high] = p.T @ here[a:b], p.sum(0)
+            slope[a:b] += p @ w["Wo"][low:high]
+        dh = np.zeros_like(flat)
+        dh[order] = slope
         dh = dh.reshape(states.shape)
-        gx = np.empty((*inputs.shape, 3 * size), np.float32)
-        gh = np.empty_like(gx)
+        # back through the window; what needs no carried gradient is taken for all steps at once
+        before, rz, q, n = kept
+        r, z = rz[..., :size], rz[..., size:]
+        steep = rz * (1 - rz)
+        to_n = (1 - z) * (1 - n * n)
+        to_r, to_z = q * steep[..., :size], (before - n) * steep[..., size:]
+        gx = np.empty((*inputs.shape, 3 * size), h.dtype)
+        gq = np.empty_like(states)
         carry = np.zeros_like(h)
         back = np.ascontiguousarray(w["U"].T)
+        running = inputs != END
         for t in range(len(inputs) - 1, -1, -1):
-            before, rz, q, n = kept[t]
-            r, z = rz[:, :size], rz[:, size:]
-            total = dh[t] + carry
-            dn = total * (1 - z) * (1 - n * n)
-            slope = rz * (1 - rz)
-            gx[t, :, two:] = dn
-            gx[t, :, :size] = dn * q * slope[:, :size]
-            gx[t, :, size:two] = total * (before - n) * slope[:, size:]
-            gh[t, :, :two] = gx[t, :, :two]
-            gh[t, :, two:] = dn * r
-            carry = total * z + gh[t] @ back
-            carry *= (inputs[t] != END)[:, None]
-        gx, gh = gx.reshape(-1, 3 * size), gh.reshape(-1, 3 * size)
-        old = np.concatenate([k[0] for k in kept])
-        grad["U"][:], grad["bn"][:] = old.T @ gh, gh[:, two:].sum(0)
+            total = dh[t]
+            total += carry
+            dn = np.multiply(total, to_n[t], out=gx[t, :, two:])
+            np.multiply(dn, to_r[t], out=gx[t, :, :size])
+            np.multiply(total, to_z[t], out=gx[t, :, size:two])
+            np.multiply(dn, r[t], out=gq[t])
+            carry = gx[t, :, :two] @ back[:two]
+            carry += gq[t] @ back[two:]
+            carry += total * z[t]
+            carry *= running[t][:, None]
+        gx, gq, old = gx.reshape(-1, 3 * size), gq.reshape(-1, size), before.reshape(-1, size)
+        grad["U"][:, :two], grad["U"][:, two:], grad["bn"][:] = old.T @ gx[:, :two], old.T @ gq, gq.sum(0)
         words = inputs.ravel()
         grad["Wx"][:], grad["bx"][:] = w["E"][words].T @ gx, gx.sum(0)
         ge = gx @ w["Wx"].T
-        order = np.argsort(words, kind="stable")
-        found, starts = np.unique(words[order], return_index=True)
+        order = np.argsort(words.astype(np.int16) if self.shape.vocab < 1 << 15 else words, kind="stable")
+        ordered = words[order]
+        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         grad["E"][:] = 0
-        grad["E"][found] = np.add.reduceat(ge[order], starts, axis=0)
+        grad["E"][ordered[starts]] = np.add.reduceat(ge[order], starts, axis=0)
         return states[-1]
 
 
@@ -248,10 +265,9 @@ def train(flat: np.ndarray, shape: Shape, chunks: Iterator[list[np.ndarray]], ra
             continue
         # few words: narrower lanes, so that there are steps enough to learn from
         lanes = deal(texts, max(8, min(width, total // (WINDOW * 100))))
-        h = np.zeros((lanes.ids.shape[1], shape.hidden), np.float32)
-        for at, (m, inputs, targets) in enumerate(windows(lanes)):
-            valid = np.arange(at * WINDOW, at * WINDOW + len(targets))[:, None] < lanes.lengths[:m]
-            h = net.gradient(h[:m], inputs, targets, valid, parts)
+        h = np.zeros((len(lanes.lengths), shape.hidden), flat.dtype)
+        for window in windows(lanes):
+            h = net.gradient(h[:window.inputs.shape[1]], window, parts)
             norm = float(np.sqrt(np.dot(grad, grad)))
             if norm > 1.0:
                 np.multiply(grad, np.float32(1.0 / norm), out=grad)

@@ -27,15 +27,16 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from hearthbook.llm import gru
-from hearthbook.llm.common import release
+from hearthbook.llm.common import release, slices
 from hearthbook.session import materialise
 
-VOCAB = 2048
+VOCAB = 1024
 HEAD = 131_072
-HIDDEN = 32
-EMBED = 16
+HIDDEN = 16
+EMBED = 8
 RATES = (0.01, 0.005, 0.002)
-CHUNK = 1_500_000
+CHUNK = 1_000_000
+SLICE = 2 << 20  # bytes of text that a task takes up at once; a longer text comes whole
 BLOCK = 4096
 BYTES = 257  # 256 marks the start of a word as context and its end as what follows
 
@@ -60,7 +61,7 @@ def word_counts(train: DataFrame, text: str) -> DataFrame:
     schema = pa.schema([("token", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, pc.binary_length(whole.column(0)), 4 * SLICE)):
             found = pc.value_counts(words_of(pc.fill_null(batch.column(0), ""))[0])
             yield pa.RecordBatch.from_arrays([found.field(0), found.field(1)], schema=schema)
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([batch.num_rows], pa.int64())], schema=schema)
@@ -149,22 +150,22 @@ def network_texts(lexicon: Lexicon, places: np.ndarray, sizes: np.ndarray) -> li
     return np.split(closed, stops[:-1] + np.arange(1, len(sizes))) if len(sizes) else []
 
 
-def gathered(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray]]:
-    """(rows, words, sizes) of about ``CHUNK`` words, so that enough texts run side by side; a longer text comes whole."""
-    rows, words, sizes, held = [], [], [], 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+def gathered(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
+    """(first column, words, sizes) of about ``CHUNK`` words, so that enough texts run side by side; a longer text comes whole."""
+    # large arrays go back to the system at once
+    pa.set_memory_pool(pa.system_memory_pool())
+    first, words, sizes, held = [], [], [], 0
+    for batch in (part for whole in batches for part in slices(whole, pc.binary_length(whole.column(text)), SLICE)):
         found, counts = words_of(pc.fill_null(batch.column(text), ""))
-        rows.append(batch)
+        first.append(batch.column(0))
         words.append(found)
         sizes.append(counts)
         held += len(found)
         if held >= CHUNK:
-            yield pa.Table.from_batches(rows).combine_chunks(), pa.concat_arrays(words), np.concatenate(sizes)
-            rows, words, sizes, held = [], [], [], 0
-    if rows:
-        yield pa.Table.from_batches(rows).combine_chunks(), pa.concat_arrays(words), np.concatenate(sizes)
+            yield pa.concat_arrays(first), pa.concat_arrays(words), np.concatenate(sizes)
+            first, words, sizes, held = [], [], [], 0
+    if first:
+        yield pa.concat_arrays(first), pa.concat_arrays(words), np.concatenate(sizes)
 
 
 def learned(counts: DataFrame, head: int, vocab: int) -> Lexicon:
@@ -237,7 +238,7 @@ def in_head(docs: DataFrame, key: str, text: str, lexicon: Lexicon, shape: gru.S
         known.ready()
         net = gru.Net(weights, form)
         base, end = known.base(known.counts), float(known.base(np.array([known.ends]))[0])
-        for rows, words, sizes in gathered(batches, 1):
+        for keys, words, sizes in gathered(batches, 1):
             docs_, places = len(sizes), known.ids(words)
             owner = np.repeat(np.arange(docs_), sizes)
             seen = places >= 0
@@ -253,9 +254,7 @@ def in_head(docs: DataFrame, key: str, text: str, lexicon: Lexicon, shape: gru.S
             offsets = np.searchsorted(rare["doc"].to_numpy(), np.arange(docs_ + 1))
             fields = [tokens, pa.array(rare["count_all"].to_numpy(), pa.int64()), pa.array(known.spelled(tokens))]
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(item)))
-            keys = rows.column(0).combine_chunks().cast(arrow.field(0).type)
-            keys = keys.chunk(0) if isinstance(keys, pa.ChunkedArray) else keys
-            yield pa.RecordBatch.from_arrays([keys, pa.array(sizes + 1, pa.int64()), pa.array(held, pa.int64()), pa.array(based), pa.array(score),
+            yield pa.RecordBatch.from_arrays([keys.cast(arrow.field(0).type), pa.array(sizes + 1, pa.int64()), pa.array(held, pa.int64()), pa.array(based), pa.array(score),
                                               lists.cast(arrow.field(5).type)], schema=arrow)
 
     return docs.select(docs[key].alias("k"), docs[text].alias("t")).mapInArrow(run, schema)

@@ -53,16 +53,15 @@ def test_scores_carry_the_state_through_whole_texts():
 def test_gradients_equal_differences():
     shape, flat = small(4)
     lanes = gru.deal(texts(5, 6, longest=9), 4)
-    m, inputs, targets = next(gru.windows(lanes))
-    valid = np.arange(len(targets))[:, None] < lanes.lengths[:m]
-    h = np.random.default_rng(0).standard_normal((m, shape.hidden))
+    window = next(gru.windows(lanes))
+    h = np.random.default_rng(0).standard_normal((len(lanes.lengths), shape.hidden))
     grad = np.zeros_like(flat)
-    gru.Net(flat, shape).gradient(h, inputs, targets, valid, gru.views(grad, shape))
+    gru.Net(flat, shape).gradient(h, window, gru.views(grad, shape))
 
     def loss(x):
         net = gru.Net(x, shape)
-        states = net.states(h, inputs, *net.prepared())
-        return -(net.log_probs(states.reshape(-1, shape.hidden), targets.ravel()) * valid.ravel()).sum() / valid.sum()
+        states = net.states(h, window.inputs, *net.prepared())
+        return -(net.log_probs(states.reshape(-1, shape.hidden), window.targets.ravel()) * window.valid.ravel()).sum() / window.valid.sum()
 
     for i in np.random.default_rng(1).choice(len(flat), 80, replace=False):
         up, down = flat.copy(), flat.copy()
