@@ -129,7 +129,7 @@ select l_orderkey as msg_id, l_shipdate as ts, case l_linenumber % 3 when 0 then
   l_returnflag || ' note' as body, 's' || cast(l_suppkey as varchar(20)) || '@mail.example' as contact_email
 from {lineitem} join {part} on l_partkey = p_partkey"""
 _EVENTS = f"""
-select * from (select *, cast(ts as date) as day, strftime(ts, '%Y-%m') as month, row_number() over (partition by cast(ts as date), substring(trim(regexp_replace(lower(subject), '^(re:|fwd:|fw:)\\s*', '')), 1, 40)
+select * from (select *, cast(ts as date) as day, strftime(ts, '%Y-%m') as month, row_number() over (partition by cast(ts as date), trim(regexp_replace(lower(subject), '^((re|fwd|fw):\\s*)+', ''))
     order by ts, contact_email, subject) as rn
   from (select *, {first_hit_sql("lower(subject || ' ' || substring(body, 1, 200))", rt.EVENT_RULES)} as event_type from ({THREADS}) t) e where event_type is not null) d where rn = 1"""
 

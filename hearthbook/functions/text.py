@@ -196,9 +196,10 @@ def signature(c: Column) -> Column:
     )
 
 
-def normalise_subject(c: Column, width: int = 40) -> Column:
-    """One reply or forward prefix removed, lower case, cut."""
-    return F.substring(F.trim(F.regexp_replace(F.lower(c), r"^(re:|fwd:|fw:)\s*", "")), 1, width)
+def normalise_subject(c: Column, width: int | None = None) -> Column:
+    """Reply and forward prefixes removed, lower case; whole, or cut to ``width`` letters."""
+    bare = F.trim(F.regexp_replace(F.lower(c), r"^(?:(?:re|fwd|fw):\s*)+", ""))
+    return bare if width is None else F.substring(bare, 1, width)
 
 
 # -- lines, previews, lists ---------------------------------------------------------------------

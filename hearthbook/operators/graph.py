@@ -9,20 +9,50 @@ from pyspark.sql import DataFrame, functions as F
 from hearthbook.operators.ordering import cap_per_group, top_neighbours
 
 
+def subject_members(df: DataFrame, subject: str, member: str, min_chars: int = 11) -> DataFrame:
+    """(subject, member): who shares which normalised subject, each pair once."""
+    norm = df.select(F.lower(F.trim(subject)).alias("subject"), F.col(member).alias("member"))
+    norm = norm.filter(F.length("subject") >= min_chars) if min_chars else norm
+    return norm.dropna().groupBy("subject", "member").agg(F.lit(1).alias("_one")).drop("_one")
+
+
 def subject_groups(df: DataFrame, subject: str, member: str, lo: int = 2, hi: int = 20, min_chars: int = 11) -> DataFrame:
-    """Sorted member array of every subject shared by ``lo`` to ``hi`` members.
+    """Sorted member array of every subject shared by ``lo`` to ``hi`` members."""
+    return member_groups(subject_members(df, subject, member, min_chars), lo, hi)
+
+
+def member_groups(members: DataFrame, lo: int = 2, hi: int = 20) -> DataFrame:
+    """Member arrays of (subject, member) pairs.
 
     At most ``hi + 1`` members per subject leave a task: that is enough to see that a subject is a
     mass mail, so a subject that holds a third of all rows costs no more than any other.
     """
-    norm = df.select(F.lower(F.trim(subject)).alias("subject"), F.col(member).alias("member"))
-    norm = norm.filter(F.length("subject") >= min_chars) if min_chars else norm
-    pairs = norm.dropna().groupBy("subject", "member").agg(F.lit(1).alias("_one"))
-    seen = cap_per_group(pairs, ["subject"], [F.asc("member")], hi + 1)
+    seen = cap_per_group(members, ["subject"], [F.asc("member")], hi + 1)
     groups = seen.groupBy("subject").agg(F.array_sort(F.collect_list("member")).alias("members"))
     return groups.filter(F.size("members").between(lo, hi))
 
 
+def pair_changes(old: DataFrame, new: DataFrame, lo: int = 2, hi: int = 20) -> DataFrame:
+    """(source, target, weight) by which ``new`` (subject, member) pairs change the weights that ``old`` ones gave.
+
+    Only subjects with new members are looked at: their old members meet the new ones, and a subject that grows
+    beyond ``hi`` members takes its old pairs back.
+    """
+    fresh = new.select("subject", "member").distinct().join(old, ["subject", "member"], "left_anti")
+    touched = fresh.select("subject").distinct()
+    before = old.join(touched, "subject", "left_semi").select("subject", "member")
+    after = before.unionByName(fresh)
+    signed = [cooccurrence_pairs(member_groups(m, lo, hi)).select("source", "target", F.lit(v).alias("v")) for m, v in ((after, 1), (before, -1))]
+    changes = signed[0].unionByName(signed[1]).groupBy("source", "target").agg(F.sum("v").alias("weight"))
+    return changes.filter("weight <> 0")
+
+
+def changed_weights(weights: DataFrame, changes: DataFrame) -> DataFrame:
+    """Edge weights after changes; edges that nothing supports any more are gone."""
+    both = weights.select("source", "target", "weight").unionByName(changes.select("source", "target", "weight"))
+    return both.groupBy("source", "target").agg(F.sum("weight").alias("weight")).filter("weight > 0")
+
+
 def cooccurrence_pairs(groups: DataFrame) -> DataFrame:
     """(source, target, subject) for each pair of members, source before target; at most 190 per subject."""
     pairs = F.flatten(F.transform("members", lambda a, i: F.transform(

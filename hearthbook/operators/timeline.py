@@ -15,6 +15,7 @@ from hearthbook.operators.ordering import cap_per_group, dedup_first
 def timeline_events(threads: DataFrame) -> DataFrame:
     """Threads that speak of an event, one per day and subject, earliest first.
 
+    A reply chain is one subject; two subjects that merely begin alike are two events.
     Needs ts, subject, body, contact_email; other columns pass through.
     """
     dated = threads.filter(F.col("ts").isNotNull() & (F.coalesce("subject", F.lit("")) != ""))

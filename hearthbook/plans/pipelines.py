@@ -13,6 +13,7 @@ from hearthbook.operators import (
     ordering as oo, press as op, reports, sessions as os_, social as so, timeline as tl,
 )
 from hearthbook.rulesets import mail as rm
+from hearthbook.session import materialise
 
 
 # -- contacts -----------------------------------------------------------------------------------
@@ -109,22 +110,42 @@ def page_changes(contacts: DataFrame, pages: DataFrame, as_of: str, today: str,
 # -- graph, timeline, cast ----------------------------------------------------------------------
 
 
-def relationship_graph(bundles: DataFrame) -> dict[str, DataFrame]:
-    """Nodes, significant edges, connectors and statistics from contact bundles."""
+def message_table(messages: DataFrame, known: DataFrame, own: Sequence[str]) -> DataFrame:
+    """Contact messages, stored: bundles, graph and timeline all read them, and the mailbox is parsed once."""
+    return materialise(ct.contact_messages(messages, known, own), "messages")
+
+
+def relationship_graph(bundles: DataFrame, messages: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Nodes, significant edges, connectors and statistics.
+
+    ``messages`` (contact, subject) give every shared subject; without them the graph rests on the first subjects that the
+    bundles carry.
+    """
     nodes = ct.merge_graph_contacts(bundles).withColumnRenamed("email", "id")
-    subjects = bundles.select(F.lower("email").alias("contact"), F.explode("unique_subjects").alias("subject"))
+    if messages is None:
+        subjects = bundles.select(F.lower("email").alias("contact"), F.explode("unique_subjects").alias("subject"))
+    else:
+        subjects = messages.select(F.lower("contact").alias("contact"), "subject")
     pairs = og.cooccurrence_pairs(og.subject_groups(subjects, "subject", "contact"))
     edges = og.significant(og.edge_weights(pairs), nodes)
     sampled = edges.join(og.edge_samples(pairs), ["source", "target"])
     return {"nodes": nodes, "edges": sampled, "connectors": og.connectors(edges, nodes), "stats": og.graph_stats(nodes, edges)}
 
 
-def timeline(bundles: DataFrame, own: Sequence[str] = ()) -> dict[str, DataFrame]:
-    """Dated events of all threads, their counts and the rows of the rendered timeline."""
-    threads = bundles.filter(~F.col("email").isin(list(own))).select(F.col("email").alias("contact_email"), F.explode("threads").alias("t"))
-    flat = threads.select("contact_email", F.col("t.date").cast("timestamp_ntz").alias("ts"), "t.subject", "t.direction",
-                          F.coalesce("t.body_snippet", F.lit("")).alias("body"))
-    events = tl.timeline_events(flat)
+def timeline(bundles: DataFrame | None, own: Sequence[str] = (), messages: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Dated events, their counts and the rows of the rendered timeline.
+
+    ``messages`` (contact, ts, subject, direction, body) give the events of all mail; without them only the sampled threads
+    of the bundles are read.
+    """
+    if messages is None:
+        threads = bundles.select(F.col("email").alias("contact_email"), F.explode("threads").alias("t"))
+        flat = threads.select("contact_email", F.col("t.date").cast("timestamp_ntz").alias("ts"), "t.subject", "t.direction",
+                              F.coalesce("t.body_snippet", F.lit("")).alias("body"))
+    else:
+        flat = messages.select(F.col("contact").alias("contact_email"), F.col("ts").cast("timestamp_ntz").alias("ts"), "subject", "direction",
+                               F.coalesce("body", F.lit("")).alias("body"))
+    events = tl.timeline_events(flat.filter(~F.col("contact_email").isin(list(own))))
     return {"events": events, "counts": tl.timeline_counts(events), "shown": tl.events_per_month(events)}
 
 
