@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hearthbook.functions.names import edit_score, match_status, normalize_name, title_case
 from hearthbook.functions.text import all_matches, let, word_overlap
@@ -152,28 +152,48 @@ def review_list(matches: DataFrame) -> DataFrame:
 # -- articles and notes -------------------------------------------------------------------------
 
 
-def match_articles(articles: DataFrame, notes: DataFrame) -> DataFrame:
-    """First existing note that holds the year, a publisher word and two long headline words.
+def _long_words(c: Column) -> Column:
+    return F.array_distinct(F.filter(all_matches(F.lower(c), r"\w+"), lambda w: F.length(w) > 4))
 
-    ``articles``: article_id, headline, publisher, year. ``notes``: file. Articles meet notes on
-    (year, long headline word), so only pairs that already share a rare word are compared.
+
+def _keyed_words(here: DataFrame, there: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(id, year, word) of both sides without the ``least - 1`` most frequent words of each set.
+
+    Two sets that share ``least`` words share one of the others: their words are put in one order, by frequency on both
+    sides, and of the shared words the first stands before the last ``least - 1`` places of either set.
     """
-    def long_words(c: Column) -> Column:
-        return F.array_distinct(F.filter(all_matches(F.lower(c), r"\w+"), lambda w: F.length(w) > 4))
+    sides = [df.select("id", "year", F.explode("words").alias("word")) for df in (here, there)]
+    often = sides[0].unionByName(sides[1]).groupBy("year", "word").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("id", "year").orderBy(F.desc("n"), F.desc("word")))
+    return tuple(s.join(often, ["year", "word"]).withColumn("_at", place).filter(F.col("_at") >= least).select("id", "year", "word") for s in sides)
 
+
+def article_candidates(articles: DataFrame, notes: DataFrame, least: int = 2) -> DataFrame:
+    """(article_id, file, words, file_words) of articles and notes of one year that share a word other than their most frequent ones."""
     years = F.explode(F.array_distinct(F.regexp_extract_all("file", F.lit(r"(?=(\d{4}))"), F.lit(1))))
-    there = notes.select("file", years.alias("year"))
-    there = there.select("file", "year", F.explode(long_words(F.col("file"))).alias("word"))
-    here = articles.select("article_id", F.col("year").cast("string").alias("year"),
-                           F.explode(long_words(F.col("headline"))).alias("word"))
-    shared = here.join(there, ["year", "word"]).groupBy("article_id", "file").agg(F.count(F.lit(1)).alias("shared"))
-    named = shared.filter(F.col("shared") >= 2).join(articles.select("article_id", "publisher"), "article_id")
+    there = notes.select("file").distinct().select(F.col("file").alias("id"), years.alias("year"), _long_words(F.col("file")).alias("words"))
+    here = articles.select(F.col("article_id").alias("id"), F.col("year").cast("string").alias("year"), _long_words(F.col("headline")).alias("words"))
+    ours, theirs = _keyed_words(here, there, least)
+    met = ours.withColumnRenamed("id", "article_id").join(theirs.withColumnRenamed("id", "file"), ["year", "word"])
+    pairs = met.select("article_id", "file", "year").distinct()
+    with_ours = pairs.join(here.select(F.col("id").alias("article_id"), "year", "words"), ["article_id", "year"])
+    return with_ours.join(there.select(F.col("id").alias("file"), "year", F.col("words").alias("file_words")), ["file", "year"])
+
+
+def match_articles(articles: DataFrame, notes: DataFrame, least: int = 2) -> DataFrame:
+    """First existing note that holds the year, a publisher word and ``least`` long headline words.
+
+    ``articles``: article_id, headline, publisher, year. ``notes``: file. Articles meet notes on year and any shared word
+    but the most frequent, so a word in every headline brings nothing together.
+    """
+    close = article_candidates(articles, notes, least)
+    shared = close.filter(F.size(F.array_intersect("words", "file_words")) >= least).select("article_id", "file").distinct()
+    named = shared.join(articles.select("article_id", "publisher"), "article_id")
     pub_words = F.filter(F.split(F.lower("publisher"), r"\s+"), lambda w: F.length(w) > 3)
     kept = named.filter(F.exists(pub_words, lambda w: F.contains(F.lower("file"), w)))
     return kept.groupBy("article_id").agg(F.min("file").alias("file"))
 
 
-
 def display_name(df: DataFrame, slug: str, mapping: dict[str, str]) -> DataFrame:
     """Proper name of a slug; unknown slugs are spelled out."""
     lookup = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
