@@ -35,7 +35,7 @@ HEAD = 131_072
 HIDDEN = 16
 EMBED = 8
 RATES = (0.01, 0.005, 0.002)
-CHUNK = 1_000_000
+CHUNK = 2_000_000
 SLICE = 2 << 20  # bytes of text that a task takes up at once; a longer text comes whole
 BLOCK = 4096
 BYTES = 257  # 256 marks the start of a word as context and its end as what follows
