@@ -115,3 +115,80 @@ def may_match(c: Column, pattern: str) -> Column | None:
     if not found:
         return None
     return contains_any(F.lower(c) if folded else c, found)
+
+
+# -- many patterns at once ----------------------------------------------------------------------
+
+FEW = 4
+
+
+def _char(c: str) -> str:
+    return "\\" + c if not c.isalnum() and c.isascii() and not c.isspace() else f"\\x{{{ord(c):x}}}" if c.isspace() else c
+
+
+def _branches(children: dict, nested: dict[str, str]) -> str:
+    """Alternatives by first letter; many of them are halved by look-ahead, so that a place costs a few class tests."""
+    letters = sorted(children)
+    if len(letters) <= FEW:
+        return "|".join(_char(c) + nested[c] for c in letters)
+    half = len(letters) // 2
+    first, second = letters[:half], letters[half:]
+    parts = [_branches({c: children[c] for c in some}, nested) for some in (first, second)]
+    return f"(?=[{''.join(map(_char, first))}])(?:{parts[0]})|{parts[1]}"
+
+
+def trie_pattern(words: list[str]) -> str:
+    """A pattern that matches the longest of the words at a place, with common beginnings read once."""
+    trie: dict = {}
+    for w in words:
+        node = trie
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def build(node: dict) -> str:
+        children = {c: n for c, n in node.items() if c}
+        if not children:
+            return ""
+        inner = f"(?:{_branches(children, {c: build(n) for c, n in children.items()})})"
+        return inner + "?" if "" in node else inner
+
+    return build(trie)
+
+
+def occurring(c: Column, words: list[str]) -> Column:
+    """The distinct words that start somewhere in a text, the longest of each place."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=({trie_pattern(words)}))"), F.lit(1)))
+
+
+class PatternIndex:
+    """Which of many patterns may match, from one pass over a text instead of one per pattern.
+
+    The fixed pieces of all patterns form one pattern; the pieces it finds name the patterns that hold them. A piece
+    found stands for the shorter pieces it begins with as well. Patterns without fixed pieces may always match.
+    """
+
+    def __init__(self, patterns: list[str]):
+        self.known = {p: pieces(p) for p in dict.fromkeys(patterns)}
+        self.of: dict[str, set[int]] = {}
+        self.number = {p: i for i, p in enumerate(self.known)}
+        for p, (found, _) in self.known.items():
+            for piece in found or ():
+                self.of.setdefault(piece, set()).add(self.number[p])
+
+    def numbers(self, c: Column) -> Column:
+        """Numbers of the patterns with a piece in the text, as words."""
+        if not self.of:
+            return F.array().cast("array<string>")
+        named = {w: sorted(set().union(*(of for v, of in self.of.items() if w.startswith(v)))) for w in self.of}
+        lists = F.split(F.lit(MARK.join(",".join(map(str, named[w])) for w in named)), MARK)
+        keys = F.split(F.lit(MARK.join(named)), MARK)
+        found = F.transform(occurring(c, list(self.of)), lambda w: F.get(lists, F.array_position(keys, w).cast("int") - 1))
+        return F.array_distinct(F.split(F.array_join(found, ","), ","))
+
+    def need(self, pattern: str, own: Column, low: Column) -> Column | None:
+        """Condition from the numbers found in the text and in its lower-cased form."""
+        found, folded = self.known[pattern]
+        if not found:
+            return None
+        return F.array_contains(low if folded else own, str(self.number[pattern]))

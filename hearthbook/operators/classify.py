@@ -7,11 +7,12 @@ without a join between texts and rules.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hearthbook.functions.prefilter import contains_any, count_words
-from hearthbook.functions.text import hits, let, matches, occurs, strip
+from hearthbook.functions.prefilter import PatternIndex, contains_any, count_words
+from hearthbook.functions.text import let, matches, occurs, strip, unicode_words
 from hearthbook.rulesets import chat, files, ocr, timeline
 
 
@@ -86,19 +87,32 @@ def grouped_rules(rules: Mapping[str, tuple[int, Sequence[str]]]) -> dict[str, l
     return {k: [(w, p) for p in ps] for k, (w, ps) in rules.items()}
 
 
-def pattern_hits(raw: Column, low: Column, weight: int, pattern: str, as_written: int | None) -> Column:
+class Reading(NamedTuple):
+    """A text as written and in lower case, and the numbers of the patterns that may match either."""
+
+    raw: Column
+    low: Column
+    in_raw: Column
+    in_low: Column
+
+
+def pattern_hits(t: Reading, index: PatternIndex, weight: int, pattern: str, as_written: int | None) -> Column:
     """Hits of one rule: strong signals look at the text as written first, the rest at lower case."""
+    def counted(text: Column, own: Column) -> Column:
+        need, found = index.need(pattern, own, t.in_low), F.regexp_count(text, F.lit(unicode_words(pattern)))
+        return found if need is None else F.when(need, found).otherwise(0)
+
     if as_written is None or weight < as_written:
-        return hits(low, pattern)
-    return let(hits(raw, pattern), lambda exact: F.when(exact > 0, exact).otherwise(hits(low, pattern)))
+        return counted(t.low, t.in_low)
+    return let(counted(t.raw, t.in_raw), lambda exact: F.when(exact > 0, exact).otherwise(counted(t.low, t.in_low)))
 
 
-def category_scores(raw: Column, low: Column, rules: Weighted, as_written: int | None = None) -> list[tuple[str, Column]]:
+def category_scores(t: Reading, index: PatternIndex, rules: Weighted, as_written: int | None = None) -> list[tuple[str, Column]]:
     out = []
     for label, patterns in rules.items():
         total = None
         for weight, pattern in patterns:
-            term = pattern_hits(raw, low, weight, pattern, as_written) * weight
+            term = pattern_hits(t, index, weight, pattern, as_written) * weight
             total = term if total is None else total + term
         out.append((label, total))
     return out
@@ -121,9 +135,14 @@ def weighted_class(
     """
     raw = F.coalesce(F.col(text), F.lit(""))
     staged = df.withColumn("_raw", raw).withColumn("_low", F.lower(raw))
-    both = F.struct(F.col("_raw").alias("raw"), F.col("_low").alias("low"))
+    # one pass over either form of the text tells which rules can match at all
+    index = PatternIndex([p for some in (rules, fallback or {}) for ps in some.values() for _, p in ps])
+    in_raw = index.numbers(F.col("_raw")) if as_written is not None else F.array().cast("array<string>")
+    staged = staged.withColumn("_found", F.struct(in_raw.alias("raw"), index.numbers(F.col("_low")).alias("low")))
+    both = F.struct(F.col("_raw").alias("raw"), F.col("_low").alias("low"), F.col("_found").alias("found"))
+    reading = lambda t: Reading(t["raw"], t["low"], t["found"]["raw"], t["found"]["low"])
     scored = staged.withColumn("_scores", let(both, lambda t: F.array(
-        *[s for _, s in category_scores(t["raw"], t["low"], rules, as_written)])))
+        *[s for _, s in category_scores(reading(t), index, rules, as_written)])))
     names = list(rules)
     scores = F.col("_scores")
     if fallback:
@@ -132,7 +151,7 @@ def weighted_class(
         names = names + extra_names
 
         def more(t: Column) -> Column:
-            extra = dict(category_scores(t["raw"], t["low"], fallback))
+            extra = dict(category_scores(reading(t), index, fallback))
             return F.array(*[extra.get(n, F.lit(0)) for n in names])
 
         added = let(both, more)
