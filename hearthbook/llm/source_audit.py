@@ -166,18 +166,15 @@ def corrections(rows: pd.DataFrame) -> pd.DataFrame:
     return done
 
 
-def pair_rows(groups: DataFrame, kept: DataFrame, slice_rows: int, block_sources: int) -> DataFrame:
+def pair_rows(groups: DataFrame, kept: DataFrame) -> DataFrame:
     """(lang, source, item, value) of every ordered pair of a language's sources; groups carry p of absent terms, terms their p."""
-    sizes = kept.groupBy("lang").agg(F.count("*").alias("rows"))
-    blocks = groups.groupBy("lang").agg(F.count("*").alias("sources")).join(sizes, "lang", "left").select(
-        "lang", F.ceil(F.coalesce("rows", F.lit(0)) / slice_rows).alias("slices"), F.ceil(F.col("sources") / block_sources).alias("blocks"))
     block = F.pmod(F.xxhash64("source"), F.col("blocks"))
     # a row meets the rows of every block of sources once, its own block included
     partner = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    heads = groups.join(blocks, "lang").filter("slices > 0").select(
+    heads = groups.filter("slices > 0").select(
         "lang", "source", F.lit(None).cast("string").alias("term"), F.col("p0").alias("p"), block.alias("block"), "blocks",
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"))
-    body = kept.join(blocks, "lang").select("lang", "source", "term", "p", block.alias("block"), "blocks", F.pmod(F.xxhash64("term"), F.col("slices")).alias("slice"))
+    body = kept.select("lang", "source", "term", "p", block.alias("block"), "blocks", F.pmod(F.xxhash64("term"), F.col("slices")).alias("slice"))
     both = heads.unionByName(body).select("lang", "source", "term", "p", "block", "slice", partner)
     both = both.withColumn("a", F.least("block", "other")).withColumn("b", F.greatest("block", "other"))
     part = both.groupBy("lang", "slice", "a", "b").applyInPandas(corrections, "lang string, source string, item string, value long")
@@ -196,15 +193,19 @@ def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
     Part ``pair`` ranks the other sources by divergence, part ``term`` the terms more frequent in the group than in its language.
     """
     groups, kept = counted(docs, lang, source, text, min_docs)
-    langs = kept.groupBy("lang").agg(F.count_if("first").alias("v"), F.sum("n").alias("lang_n"))
+    langs = kept.groupBy("lang").agg(F.count_if("first").alias("v"), F.sum("n").alias("lang_n"), F.count("*").alias("rows"))
+    langs = groups.groupBy("lang").agg(F.count("*").alias("sources")).join(langs, "lang", "left")
     own = kept.groupBy("lang", "source").agg(F.sum("n").alias("group_n"))
     zero = F.lit(0).cast("long")
     groups = groups.join(own, ["lang", "source"], "left").join(langs, "lang", "left").select(
-        "lang", "source", F.coalesce("v", zero).alias("v"), F.coalesce("group_n", zero).alias("group_n"), F.coalesce("lang_n", zero).alias("lang_n"))
+        "lang", "source", *[F.coalesce(c, zero).alias(c) for c in ("v", "group_n", "lang_n")],
+        F.ceil(F.coalesce("rows", zero) / slice_rows).alias("slices"), F.ceil(F.col("sources") / block_sources).alias("blocks"))
+    # stored, so that its size is known: terms meet it without a shuffle where it is small, by language and source where it is not
     groups = materialise(groups.withColumn("p0", F.when(F.col("v") > 0, smoothed(zero, F.col("group_n"), F.col("v")))), "groups")
     rated = kept.drop("first").join(groups.drop("p0"), ["lang", "source"]).select(
-        "lang", "source", "term", smoothed(F.col("n"), F.col("group_n"), F.col("v")).alias("p"), smoothed(F.col("all_n"), F.col("lang_n"), F.col("v")).alias("q"))
-    pairs = pair_rows(groups, rated.drop("q"), slice_rows, block_sources)
+        "lang", "source", "term", "slices", "blocks", smoothed(F.col("n"), F.col("group_n"), F.col("v")).alias("p"),
+        smoothed(F.col("all_n"), F.col("lang_n"), F.col("v")).alias("q"))
+    pairs = pair_rows(groups, rated)
     telling = rated.filter(F.col("p") > F.col("q")).select("lang", "source", F.col("term").alias("item"), divergence(F.col("p"), F.col("q")).alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(order))
