@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hearthbook.catalogue.base import derive, query, table
-from hearthbook.operators import lint, ordering as oo
+from hearthbook.operators import chat as oc, lint, ordering as oo
 from hearthbook.session import scratch_path
 from hearthbook.sinks import writers as wr
 from hearthbook.sources import archive as ar, mail
@@ -189,3 +189,28 @@ def _placed(spark, ordered):
     before = heads.alias("a").join(heads.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy("a._part", "a.first").agg(
         F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
     return rows.join(before, "_part").withColumn("place", F.col("before") + F.col("_at") - F.col("first") + 1)
+
+
+@query("chat_export", "S9 F47 W14", r"""
+with t as (select conv_id, turn, role, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') as said from {conversations})
+select 'c' || conv_id as title, count(*) filter (said <> '') as messages, coalesce(sum(length(said)) filter (said <> ''), 0)::bigint as chars,
+  coalesce(string_agg(role, '|' order by turn) filter (said <> ''), '') as roles from t group by conv_id""")
+def chat_export(spark, sf_dir):
+    """All conversations as one JSON array in one file, read back by many tasks and walked along their current path."""
+    c = table(spark, sf_dir, "conversations")
+    key = lambda t: F.concat(F.lit("n"), t.cast("string"))
+    said = F.struct(F.struct("role").alias("author"), F.struct(F.lit("text").alias("content_type"), F.array(F.coalesce("text", F.lit(""))).alias("parts")).alias("content"))
+    node = F.struct(key(F.col("turn")).alias("id"), F.when(F.col("turn") > F.col("first"), key(F.col("turn") - 1)).alias("parent"), said.alias("message"))
+    ends = c.groupBy("conv_id").agg(F.min("turn").alias("first"), F.max("turn").alias("last"))
+    rows = c.join(ends, "conv_id").groupBy("conv_id", "last").agg(F.map_from_entries(F.collect_list(F.struct(key(F.col("turn")), node))).alias("mapping"))
+    export = F.to_json(F.struct(F.concat(F.lit("c"), "conv_id").alias("title"), key(F.col("last")).alias("current_node"), "mapping"))
+    # one file: an opening bracket, the elements with a comma before all but the first, a closing bracket
+    lines = rows.select(F.col("conv_id").alias("k"), export.alias("value"))
+    least = lines.agg(F.min("k")).first()[0]
+    lines = lines.select("k", F.when(F.col("k") > least, F.concat(F.lit(","), "value")).otherwise(F.col("value")).alias("value"))
+    frame = spark.createDataFrame([(-1, "["), (2**62, "]")], "k long, value string")
+    out = scratch_path(spark, "export")
+    lines.unionByName(frame).coalesce(1).sortWithinPartitions("k").select("value").write.text(out)
+    read = oc.current_path(ar.read_chat_export(spark, out))
+    chars = F.aggregate("messages", F.lit(0).cast("long"), lambda n, m: n + F.length(m["text"]))
+    return read.select("title", F.size("messages").alias("messages"), chars.alias("chars"), F.transform("messages", lambda m: m["role"]).alias("roles"))

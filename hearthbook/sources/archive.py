@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from hearthbook.functions.media import png_size
 from hearthbook.functions.scores import extension_of, stem_of
 from hearthbook.functions.text import strip
+from hearthbook.sources.json_array import json_elements
 
 CHAT = (
     "title string, create_time double, update_time double, current_node string, mapping map<string,struct<id:string,"
@@ -19,8 +20,8 @@ CHAT = (
 
 
 def read_chat_export(spark: SparkSession, path: str) -> DataFrame:
-    """Conversations with their node map. Structured parts become their text."""
-    rows = spark.read.schema(CHAT).option("multiLine", True).json(path)
+    """Conversations with their node map. Structured parts become their text. One big array is read by many tasks."""
+    rows = json_elements(spark, path).select(F.from_json("value", CHAT).alias("c")).select("c.*")
 
     def plain(part: Column) -> Column:
         kind = F.get_json_object(part, "$.content_type")
@@ -51,16 +52,20 @@ def read_ocr_text(spark: SparkSession, path: str) -> DataFrame:
 
 def list_media(spark: SparkSession, path: str, recursive: bool = True, with_size: bool = False,
                skip_folders: Sequence[str] = ()) -> DataFrame:
-    """Files with extension, length and time. Contents are read only for PNG sizes on request."""
+    """Files with extension, length and time. Contents are read only of PNG files, and only where sizes are asked for."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
-    size = png_size(F.col("content")) if with_size else F.lit(None).cast("struct<width:int,height:int>")
     name = F.substring_index("path", "/", -1)
     out = rows.select("path", name.alias("name"), extension_of(name).alias("ext"), stem_of(name).alias("stem"),
-                      "length", F.col("modificationTime").cast("timestamp_ntz").alias("mod_time"), size.alias("_s"))
+                      "length", F.col("modificationTime").cast("timestamp_ntz").alias("mod_time"))
     kept = out.filter(~F.startswith("name", F.lit(".")))
     for folder in skip_folders:
         kept = kept.filter(~F.contains("path", F.lit(f"/{folder}/")))
-    return kept.withColumn("width", F.col("_s.width")).withColumn("height", F.col("_s.height")).drop("_s")
+    if not with_size:
+        return kept.withColumn("width", F.lit(None).cast("int")).withColumn("height", F.lit(None).cast("int"))
+    # without its content column the listing opens no file; a second one opens the PNG files
+    images = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.[pP][nN][gG]").load(path)
+    sizes = images.select("path", png_size(F.col("content")).alias("_s"))
+    return kept.join(sizes, "path", "left").withColumn("width", F.col("_s.width")).withColumn("height", F.col("_s.height")).drop("_s")
 
 
 def read_selections(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
