@@ -35,7 +35,7 @@ from hearthbook.session import materialise
 
 MIN_DOCS = 3
 SCALE = 1_000_000_000
-SLICE_ROWS = 500_000
+SLICE_ROWS = 50_000
 BLOCK_SOURCES = 128
 TOP_TERMS = 200
 HELD_TERMS = 400_000
