@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["contacts", "texts", "links", "activity", "pages", "files", "mailbox"]
+AREAS = ["contacts", "texts", "links", "activity", "pages", "files", "mailbox", "archives"]
 
 
 def load():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hearthbook.catalogue.base import duck, query, table
+from hearthbook.catalogue.base import REGISTRY, duck, query, table
 from hearthbook.catalogue.texts import PROSE_FALLBACK, PROSE_WEIGHTED, weighted_sql
 from hearthbook.operators import classify as cl, press as op
 from hearthbook.plans import pipelines
@@ -87,7 +87,12 @@ def press_archive(spark, sf_dir):
     return out.groupBy("action").agg(F.count(F.lit(1)).alias("articles"))
 
 
-@query("note_lint", "R12", None)
+_LINT = ["broken_links", "stub_notes", "duplicate_notes", "orphan_notes", "missing_frontmatter", "status_mismatch", "concepts_without_page",
+         "stale_notes", "underlinked_notes"]
+
+
+@query("note_lint", "R12", "select \"check\", count(*) as findings from (" + " union all ".join(
+    f"select \"check\" from ({REGISTRY[c].sql}) q" for c in _LINT).replace("coalesce(o.n, 0) < 3", "coalesce(o.n, 0) < 2") + ") a group by 1")
 def note_lint(spark, sf_dir):
     from hearthbook.catalogue.activity import NOTES
     from hearthbook.catalogue.base import derive
