@@ -367,7 +367,7 @@ PEOPLE = [("ann lee", "Ann Lee")]
 COMPANIES = [("released under the mit", "MIT")]
 
 
-@query("document_placement", "F38 R9 J6 F21 S21", f"""
+@query("document_placement", "F38 R9 J6 F21", f"""
 with p as (select *, split_part(path, '/', -1) as name, ends_with(path, '.jpg') as media, lower(text) as low from ({PLACED}) f),
 tok as (select count(*) as n, count(distinct split_part(path, '/', 3)) as tops from p where contains(name, 'lighthouse')),
 c as (select p.*, (select n from tok) as tn, (select tops from tok) as tt, {{scores}} as sc from p)
@@ -495,7 +495,7 @@ def _notes(spark, sf_dir):
     return n, lint.note_links(n)
 
 
-@query("note_links", "S19", _LINKS)
+@query("note_links", "J16", _LINKS)
 def note_links(spark, sf_dir):
     return _notes(spark, sf_dir)[1]
 
@@ -547,7 +547,7 @@ def leak_report(spark, sf_dir):
     return lint.leak_report(table(spark, sf_dir, "documents"), _LEAKS, "doc_id", "text")
 
 
-@query("leak_counts", "J15 S18", f"select category, pattern, count(*) as lines from ({_LEAK}) l group by 1, 2")
+@query("leak_counts", "J15", f"select category, pattern, count(*) as lines from ({_LEAK}) l group by 1, 2")
 def leak_counts(spark, sf_dir):
     return lint.scan_patterns(table(spark, sf_dir, "documents"), _LEAKS, "doc_id", "text")
 

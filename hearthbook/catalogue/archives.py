@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hearthbook.catalogue.activity import CHOICES, HAVE, MEDIA, NOTES, NOTES_DUCK, PICKS, WORKS, _CATEGORY, _LINKS, _PICKED, _STATUS
-from hearthbook.catalogue.base import REGISTRY, derive, duck, query, table
+from hearthbook.catalogue.base import REGISTRY, derive, query, table
+from hearthbook.catalogue.mailbox import OWN, _CM, raw_messages
 from hearthbook.catalogue.texts import CAST, PROSE_TOPICS, _SKIP_PROSE, _CAST, topics_sql, weighted_sql
 from hearthbook.operators import chat as oc, lint, media as om, ordering as oo, sessions as os_
 from hearthbook.plans import pipelines
 from hearthbook.rulesets import ocr
 from hearthbook.session import scratch_path
 from hearthbook.sinks import writers as wr
-from hearthbook.sources import archive as ar, mail
+from hearthbook.sources import archive as ar, mail, social
 from hearthbook.streaming import flows
 
 # -- files --------------------------------------------------------------------------------------
@@ -205,3 +206,79 @@ _CHECKS = ["broken_links", "stub_notes", "duplicate_notes", "orphan_notes", "mis
 @query("lint_pipeline", "R12", " union all ".join(f"select \"check\", path, detail from ({REGISTRY[c].sql}) q" for c in _CHECKS).replace("coalesce(o.n, 0) < 3", "coalesce(o.n, 0) < 2"))
 def lint_pipeline(spark, sf_dir):
     return pipelines.vault_lint(derive(spark, sf_dir, NOTES), "2024-07-01", {"canon": "^N[0-4]", "output": "[02468]$"})
+
+
+@query("media_listing", "S15 S16", """
+select 'f' || p_partkey || case p_partkey % 3 when 0 then '.png' when 1 then '.PNG' else '.jpg' end as name, case p_partkey % 3 when 0 then '.png' when 1 then '.PNG' else '.jpg' end as ext,
+  24 + p_partkey % 5 as length, case when p_partkey % 3 < 2 and p_partkey % 7 > 0 then cast(p_size * 100 as bigint) end as width, case when p_partkey % 3 < 2 and p_partkey % 7 > 0 then p_partkey end as height from part""")
+def media_listing(spark, sf_dir):
+    """Files with image headers, some broken, listed with the sizes that their first bytes give."""
+    part = table(spark, sf_dir, "part")
+    hexed = lambda c, n: F.lpad(F.hex(c), n, "0")
+    head = F.when(F.col("p_partkey") % 7 > 0, F.lit("89504E470D0A1A0A")).otherwise(F.lit("0" * 16))
+    raw = F.concat(head, F.lit("0000000D49484452"), hexed(F.col("p_size") * 100, 8), hexed(F.col("p_partkey"), 8), F.repeat(F.lit("00"), (F.col("p_partkey") % 5).cast("int")))
+    ext = F.when(F.col("p_partkey") % 3 == 0, ".png").when(F.col("p_partkey") % 3 == 1, ".PNG").otherwise(".jpg")
+    name = F.concat(F.lit("b"), F.col("p_partkey") % 20, F.lit("/f"), "p_partkey", ext)
+    out = scratch_path(spark, "media")
+    wr.write_named(part.select(name.alias("name"), F.unhex(raw).alias("text")), out)
+    found = ar.list_media(spark, out, with_size=True)
+    png = F.lower("ext") == ".png"
+    return found.select("name", "ext", "length", F.when(png, F.col("width")).alias("width"), F.when(png, F.col("height")).alias("height"))
+
+
+@query("message_notes", "S11", r"""
+with t as (select conv_id, turn, role, 'm' || length(coalesce(text, '')) as said from conversations)
+select 'note ' || conv_id || '.md' as name, 'assistant|user' as participants, count(*) as message_count, string_agg(said, '|' order by turn) filter (role = 'user') as own,
+  string_agg(said, '|' order by turn) filter (role <> 'user') as others, 'March ' || (1 + conv_id % 28) || ', 2024' as day from t group by conv_id""")
+def message_notes(spark, sf_dir):
+    """Threads rendered as notes and read back: participants, counts, days and both sides' messages."""
+    c = table(spark, sf_dir, "conversations")
+    line = F.concat(F.lit("**"), F.when(F.col("role") == "user", F.col("role")).otherwise(F.concat(F.lit("[["), "role", F.lit("]]"))), F.lit("** (10:00):\n> m"), F.length(F.coalesce("text", F.lit(""))))
+    said = F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"])
+    day = F.concat(F.lit("## March "), 1 + F.col("conv_id") % 28, F.lit(", 2024"))
+    notes = c.groupBy("conv_id").agg(said.alias("said")).select(
+        F.concat(F.lit("note "), "conv_id", F.lit(".md")).alias("name"),
+        F.concat(F.lit('---\nparticipants: ["assistant", "user"]\nmessage_count: '), F.size("said"), F.lit("\n---\n# T\n\n"), day, F.lit("\n\n"), F.array_join("said", "\n\n"), F.lit("\n")).alias("text"))
+    out = scratch_path(spark, "threads")
+    wr.write_named(notes, out)
+    n = social.read_message_notes(spark, out, "user")
+    return n.select(F.try_url_decode(F.substring_index("path", "/", -1)).alias("name"), "participants", "message_count", F.when(F.size("owner_messages") > 0, F.col("owner_messages")).alias("own"),
+                    F.when(F.size("other_messages") > 0, F.col("other_messages")).alias("others"), F.col("first_date").alias("day"))
+
+
+_DETAILED = weighted_sql(ocr.DETAILED_RULES, "Uncategorized", 5, "Unreadable", ocr.FALLBACK_RULES, ocr.AS_WRITTEN_WEIGHT)
+
+
+@query("ocr_pipeline", "R7 A10 F20", f"select category, count(*) as n, round(count(*) * 100 / (sum(count(*)) over ())::double, 1) as percent from ({_DETAILED}) p group by category")
+def ocr_pipeline(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("stem"), F.col("lang").alias("month"), F.coalesce("text", F.lit("")).alias("text"))
+    merge = spark.createDataFrame([], "alias string, canonical string")
+    return pipelines.ocr_knowledge(d, merge, "2024-01-01")["share"]
+
+
+_MASTER = f"""
+with cm as {_CM}, c as (select contact as email, count(*) as total_emails, count(*) filter (direction = 'from') as emails_from, count(*) filter (direction = 'to') as emails_to,
+  min(ts) as first_contact, max(ts) as last_contact from cm group by contact),
+names as (select contact as email, shown, row_number() over (partition by contact order by length(shown) desc, shown) as k from (select distinct contact, shown from cm) d)
+select c.email, case when s_suppkey % 2 = 0 then 'Book ' || s_suppkey else shown end as name, total_emails, emails_from, emails_to, epoch_us(first_contact) as first_contact, epoch_us(last_contact) as last_contact,
+  date_diff('day', last_contact, timestamp '2002-01-01') as communication_gap_days, cast(round_even(least(100, greatest(0, least(15, log2(total_emails) * 15 / log2(500))
+   + least(1, greatest(0, 1 - date_diff('day', last_contact, timestamp '2002-01-01') / 730.0)) * 40 + case when emails_from > 0 and emails_to > 0
+     then least(emails_from, emails_to) / greatest(emails_from, emails_to) * 45 when emails_from > 0 or emails_to > 0 then 10 else 0 end)), 0) as bigint) as relationship_strength,
+  s_suppkey % 3 = 0 as has_enrichment, case when s_suppkey % 3 = 0 then 'press' end as relationship_type
+from c join names using (email) join supplier on email = 's' || s_suppkey || '@mail.example' where k = 1"""
+
+
+@query("master_pipeline", "R1 A1 J1 J2 J3 F25 F26 F46", _MASTER)
+def master_pipeline(spark, sf_dir):
+    """Messages to master rows: bundles, page match, address book, customer list, enrichment, strength."""
+    shaped, known = raw_messages(spark, sf_dir)
+    who = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.concat(F.lit("s"), "s_suppkey", F.lit("@mail.example")).alias("email"))
+    none = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
+    book = who.filter("k % 2 = 0").select("email", F.concat(F.lit("Book "), "k").alias("gc_name"), *none(
+        "gc_phone", "gc_org", "gc_title", "gc_city", "gc_region", "gc_website", "gc_birthday"))
+    crm = who.filter("k % 5 = 1").select("email", *none("crm_name", "crm_phone", "crm_city", "crm_state", "crm_collector_type", "crm_priority", "crm_net_sales", "crm_products"))
+    results = who.filter("k % 3 = 0").select("email", F.lit("press").alias("relationship_type"), *none(
+        "role_title", "relationship_summary", "notable_context", "communication_style", "error"), *[F.array().cast("array<string>").alias(n) for n in ("key_topics", "projects_in_common")])
+    pages = spark.createDataFrame([("Nobody Known", "Nobody Known", 0)], "page string, name string, rank int")
+    m = pipelines.contact_360(shaped, known, [OWN], book, crm, pages, results, "2002-01-01", "a")
+    return m.select("email", "name", "total_emails", "emails_from", "emails_to", "first_contact", "last_contact", "communication_gap_days", "relationship_strength", "has_enrichment", "relationship_type")

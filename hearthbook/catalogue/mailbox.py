@@ -29,8 +29,8 @@ _CM = f"""
    case when direction = 'from' then phone end as phone, case when direction = 'from' then 'Manager of Sales' end as title from c)"""
 
 
-def messages(spark, sf_dir):
-    """The stored message table of the three queries below."""
+def raw_messages(spark, sf_dir):
+    """Messages as a mailbox gives them, and the known addresses."""
     mail = derive(spark, sf_dir, MESSAGES)
     addr = F.concat(F.lit("s"), F.col("who").cast("string"), F.lit("@mail.example"))
     people = derive(spark, sf_dir, PEOPLE).groupBy("msg_id").agg(F.array_sort(F.collect_list("who")).alias("who"))
@@ -44,7 +44,12 @@ def messages(spark, sf_dir):
         F.transform("who", lambda w: F.struct(F.concat("called", w.cast("string")).alias("name"), address(w).alias("addr"))).alias("recipients"),
         F.when(F.col("theirs"), signed).otherwise(F.col("body")).alias("body"), F.lit("").alias("list_unsub"), F.lit("").alias("precedence"))
     known = table(spark, sf_dir, "supplier").filter("s_suppkey % 5 <> 0").select(F.col("s_suppkey").alias("who")).select(addr.alias("email"))
-    return pipelines.message_table(shaped, known, [OWN])
+    return shaped, known
+
+
+def messages(spark, sf_dir):
+    """The stored message table of the queries below."""
+    return pipelines.message_table(*raw_messages(spark, sf_dir), [OWN])
 
 
 @query("contact_bundle", "A1 W1 W2 U6", f"""

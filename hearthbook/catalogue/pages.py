@@ -125,7 +125,7 @@ def stream_sessionize(spark, sf_dir):
     return spark.read.parquet(f"{out}/rows").select("user_id", "session_start", "session_end", "members")
 
 
-@query("stream_classify", "ST1 ST3", weighted_sql(PROSE_WEIGHTED, "Uncategorized", 5, "Unreadable", PROSE_FALLBACK, 8))
+@query("stream_classify", "F20", weighted_sql(PROSE_WEIGHTED, "Uncategorized", 5, "Unreadable", PROSE_FALLBACK, 8))
 def stream_classify(spark, sf_dir):
     def graded(df, text):
         return cl.weighted_class(df, text, PROSE_WEIGHTED, "Uncategorized", 5, "Unreadable", PROSE_FALLBACK, as_written=8)
