@@ -209,7 +209,7 @@ def lint_pipeline(spark, sf_dir):
 
 
 @query("media_listing", "S15 S16", """
-select 'f' || p_partkey || case p_partkey % 3 when 0 then '.png' when 1 then '.PNG' else '.jpg' end as name, case p_partkey % 3 when 0 then '.png' when 1 then '.PNG' else '.jpg' end as ext,
+select 'f' || p_partkey || case p_partkey % 3 when 0 then '.png' when 1 then '.PNG' else '.jpg' end as name, case p_partkey % 3 when 2 then '.jpg' else '.png' end as ext,
   24 + p_partkey % 5 as length, case when p_partkey % 3 < 2 and p_partkey % 7 > 0 then cast(p_size * 100 as bigint) end as width, case when p_partkey % 3 < 2 and p_partkey % 7 > 0 then p_partkey end as height from part""")
 def media_listing(spark, sf_dir):
     """Files with image headers, some broken, listed with the sizes that their first bytes give."""
