@@ -44,23 +44,24 @@ def current_path(conversations: DataFrame) -> DataFrame:
 def path_rows(nodes: DataFrame, conv: str, node: str, parent: str, current: DataFrame) -> DataFrame:
     """Flat form of the walk: (conv, node, pos) on the current path, root first, for trees of any size.
 
-    ``current`` has (conv, node). Ancestors double in reach each round, so a path of n nodes takes
-    log2(n) equi-joins on (conv, node); no tree is gathered in one place.
+    ``current`` has (conv, node). Ancestors double in reach each round, so a path of n nodes takes log2(n) equi-joins on
+    (conv, node); no tree is gathered in one place. Trees without a current node and leaves that are none take no part, and
+    a node leaves the table of jumps when its jump passes the root: each round carries only nodes as deep as its reach.
     """
     base = nodes.select(F.col(conv).alias("c"), F.col(node).alias("n"), F.col(parent).alias("up"))
-    deepest = base.groupBy("c").agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 1
-    jump = base
     marked = current.select(F.col(conv).alias("c"), F.col(node).alias("n"), F.lit(0).cast("bigint").alias("dist"))
+    deepest = base.groupBy("c").agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 1
+    inner = base.select("c", F.col("up").alias("n")).unionByName(marked.select("c", "n")).distinct()
+    jump = base.filter("up IS NOT NULL").join(marked.select("c").distinct(), "c", "left_semi").join(inner, ["c", "n"], "left_semi")
+    jump = materialise(jump, "path")
     reach = 1
     while reach < deepest:
-        hop = jump.select(F.col("c").alias("jc"), F.col("n").alias("jn"), "up")
-        above = marked.join(hop, (F.col("c") == F.col("jc")) & (F.col("n") == F.col("jn"))).filter(
-            F.col("up").isNotNull()).select("c", F.col("up").alias("n"), (F.col("dist") + reach).alias("dist"))
-        marked = materialise(marked.unionByName(above), "path")
-        far = jump.select(F.col("c").alias("jc"), F.col("n").alias("jn"), F.col("up").alias("far"))
-        jump = materialise(
-            jump.join(far, (F.col("c") == F.col("jc")) & (F.col("up") == F.col("jn")), "left")
-            .select("c", "n", F.col("far").alias("up")), "path")
+        above = materialise(marked.join(jump, ["c", "n"]).select("c", F.col("up").alias("n"), (F.col("dist") + reach).alias("dist")), "path")
+        if above.isEmpty():
+            break
+        marked = marked.unionByName(above)
+        far = jump.select("c", F.col("n").alias("up"), F.col("up").alias("far"))
+        jump = materialise(jump.join(far, ["c", "up"]).select("c", "n", F.col("far").alias("up")), "path")
         reach *= 2
     known = marked.join(base.select("c", "n"), ["c", "n"], "left_semi")
     length = known.groupBy("c").agg(F.max("dist").alias("_deep"))
