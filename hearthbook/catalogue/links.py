@@ -73,6 +73,45 @@ f as (select doc_id, i, regexp_extract(substring(text, i, 30), '^({_PHONE})(?:[^
 k as (select *, coalesce(max(i + length(value)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as busy from f where value <> '')
 select doc_id, value, row_number() over (partition by doc_id order by i) - 1 as pos from k where i >= busy""")
 
+# Lines of screens around the given texts: a chat partner above, people, shops and quotations below.
+SCREEN = (
+    "case doc_id % 7 when 0 then 'Liked by annlee and others' when 1 then 'BILLED TO: Anna Bell' when 2 then 'Harbour Light Gallery' || {nl} || 'ordered from Blue Door bakery today' "
+    "when 3 then '\"This is a quoted passage of some forty letters\"' when 4 then 'Mary Poppins called' || {nl} || '@shop_one Following' when 5 then 'Followed by Zoë' else 'nothing here' end")
+SCREENS = ("select doc_id, case doc_id % 3 when 0 then 'Anna Bell' || {nl} when 1 then 'Send Message' || {nl} || 'Bob Stone Junior' || {nl} else '' end || coalesce(text, '') || {nl} || "
+           + SCREEN + " as text, source, lang from {documents}")
+SCREENS_SPARK, SCREENS_DUCK = SCREENS.replace("{nl}", "'\\n'"), SCREENS.replace("{nl}", "chr(10)").replace("{documents}", "documents")
+
+
+def groups_sql(pattern: str, n: int) -> str:
+    """Groups of every match, stripped, those that took part, in text order; \\w of any script."""
+    p = ft.unicode_words(pattern)
+    each = ", ".join(f"regexp_extract_all(text, {sql_text(p)}, {g})" for g in range(1, n + 1))
+    return f"""list_filter(list_transform(flatten(list_transform(list_zip({each}), lambda z: [{', '.join(f'z[{g}]' for g in range(1, n + 1))}])),
+  lambda x: regexp_replace(coalesce(x, ''), '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"""
+
+
+def _screen_kind(name, covers, kind, found, category=None, cap=None):
+    sql = dedup_sql(f"select doc_id, {found} as v from ({_cleaned_sql(SCREENS_DUCK)}) c")
+
+    @query(name, covers, sql if cap is None else f"select * from ({sql}) q where pos < {cap}")
+    def run(spark, sf_dir):
+        d = derive(spark, sf_dir, SCREENS_SPARK)
+        if category:
+            d = d.withColumn("category", F.lit(category))
+        return oe.entities_long(d, "doc_id", "text", "category" if category else None, [kind]).select("doc_id", "value", "pos")
+    return run
+
+
+_NOISY = f"not list_contains({sql_list(ent.NAME_NOISE)}, split_part(lower(x), ' ', 1)) and length(x) > 2 and not regexp_matches(x, '^({'|'.join(ent.PROVIDER_HANDLES)})')"
+_HANDLES = f"""list_transform(list_filter(regexp_extract_all(text, {sql_text(ft.unicode_words(ent.HANDLE))}, 1), lambda h: not list_contains({sql_list(ent.HANDLE_SKIP)}, lower(h))), lambda h: '@' || h)"""
+# each handle once in its first spelling, the first five
+_FIVE = f"list_filter({_HANDLES}, lambda h, i: list_position(list_transform({_HANDLES}, lambda y: lower(y)), lower(h)) = i)[1:5]"
+_screen_kind("entity_people", "F23m F24", "people", f"list_filter(list_concat(list_filter({groups_sql(ent.PERSON, 5)}, lambda x: length(x) > 2), {_FIVE}), lambda x: {_NOISY})", cap=15)
+_screen_kind("entity_services", "F23l F24", "services", f"""list_filter({groups_sql(ent.BUSINESS, 3)}, lambda x: length(x) > 2 and not list_contains({sql_list(ent.SERVICE_NOISE)}, lower(x)) and not regexp_matches(x, '^[0-9]'))""", cap=10)
+_screen_kind("entity_quotes", "F23j F24", "quotes", f"regexp_extract_all(text, {sql_text(ent.QUOTE)}, 1)", cap=5)
+_screen_kind("entity_contacts", "F23n", "contacts", f"""list_filter(list_transform(string_split(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10))[1:3], lambda l: regexp_extract(l, {sql_text(ent.CONTACT_NAME)}, 1)),
+  lambda x: length(x) > 3 and not list_contains({sql_list(ent.NAME_NOISE)}, lower(x)))[1:1]""", category="WhatsApp")
+
 # Kinds that need look-around or category hints run on every text without a twin; fixtures test them.
 @query("entity_mixed_kinds", "F23j F23k F23l F23m F23n A17")
 def entity_mixed_kinds(spark, sf_dir):
