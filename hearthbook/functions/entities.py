@@ -18,6 +18,10 @@ def _capped(arr: Column, kind: str, caps: dict[str, int] | None) -> Column:
     return F.slice(arr, 1, caps[kind]) if caps and kind in caps else arr
 
 
+def _head(lines: Column, n: int | None) -> Column:
+    return lines if n is None else F.slice(lines, 1, n)
+
+
 def _nonempty(arr: Column) -> Column:
     return F.filter(arr, lambda x: F.coalesce(x, F.lit("")) != "")
 
@@ -105,13 +109,14 @@ def extract_products(text: Column, caps=ent.KIND_CAPS) -> Column:
     return _capped(dedup_ci(kept), "products", caps)
 
 
-def extract_services(text: Column, category: Column | None = None, caps=ent.KIND_CAPS) -> Column:
+def extract_services(text: Column, category: Column | None = None, caps=ent.KIND_CAPS, head_lines: int | None = 10) -> Column:
+    """Named businesses and, where the category speaks of places, names that open one of the first ``head_lines`` lines (all if None)."""
     named = F.filter(
         _groups(text, ent.BUSINESS, 3),
         lambda s: (F.length(s) > 2) & ~F.lower(s).isin(ent.SERVICE_NOISE) & ~matches(s, r"^\d"),
     )
     head = F.transform(
-        F.slice(F.split(text, "\n"), 1, 10),
+        _head(F.split(text, "\n"), head_lines),
         lambda x: strip(F.regexp_extract(strip(x), ent.BUSINESS_LINE.replace(r"\w", r"\p{L}\p{N}_"), 1)),
     )
     venues = F.filter(head, lambda s: (F.length(s) > 3) & ~F.lower(s).isin(ent.SERVICE_LINE_NOISE))
@@ -131,9 +136,9 @@ def extract_people(text: Column, caps=ent.KIND_CAPS) -> Column:
     return _capped(dedup_ci(kept), "people", caps)
 
 
-def extract_contacts(text: Column, category: Column | None = None) -> Column:
-    """Name of the other side at the head of a messaging screen."""
-    head = F.slice(F.split(strip(text), "\n"), 1, 3)
+def extract_contacts(text: Column, category: Column | None = None, head_lines: int | None = 3) -> Column:
+    """Name of the other side at the head of a messaging screen: the first ``head_lines`` lines, all if None."""
+    head = _head(F.split(strip(text), "\n"), head_lines)
     names = F.filter(
         F.transform(head, lambda x: F.regexp_extract(x, ent.CONTACT_NAME, 1)),
         lambda n: (F.length(n) > 3) & ~F.lower(n).isin(ent.NAME_NOISE),

@@ -69,19 +69,21 @@ def path_rows(nodes: DataFrame, conv: str, node: str, parent: str, current: Data
         F.col("c").alias(conv), F.col("n").alias(node), (F.col("_deep") - F.col("dist")).alias("pos"))
 
 
-def summarise(messages: Column) -> dict[str, Column]:
-    """Columns of a chat summary from an ordered array of (role, text)."""
-    def cut(t: Column, n: int) -> Column:
-        return F.when(F.length(t) > n, F.concat(F.substring(t, 1, n), F.lit("..."))).otherwise(t)
+def _cut(t: Column, n: int | None) -> Column:
+    """A text cut to ``n`` letters with a mark, or whole if None."""
+    return t if n is None else F.when(F.length(t) > n, F.concat(F.substring(t, 1, n), F.lit("..."))).otherwise(t)
 
+
+def summarise(messages: Column, said: int | None = chat.USER_TEXT_CUT, replied: int | None = chat.REPLY_TEXT_CUT) -> dict[str, Column]:
+    """Columns of a chat summary from an ordered array of (role, text); texts are cut to ``said`` and ``replied`` letters, None keeps them whole."""
     def of(role: str) -> Column:
         return F.transform(F.filter(messages, lambda m: m["role"] == role), lambda m: m["text"])
 
     replies = of("assistant")
     ends = F.when(F.size(replies) > 1, F.array(F.get(replies, F.lit(0)), F.element_at(replies, -1))).otherwise(replies)
     return {
-        "user_messages": F.transform(of("user"), lambda t: cut(t, chat.USER_TEXT_CUT)),
-        "key_responses": F.transform(ends, lambda t: cut(t, chat.REPLY_TEXT_CUT)),
+        "user_messages": F.transform(of("user"), lambda t: _cut(t, said)),
+        "key_responses": F.transform(ends, lambda t: _cut(t, replied)),
         "message_count": F.size(messages),
     }
 
@@ -96,23 +98,19 @@ def summarise_chat(conversations: DataFrame) -> DataFrame:
         *[c.alias(k) for k, c in cols.items()])
 
 
-def summarise_rows(messages: DataFrame, conv: str, pos: str) -> DataFrame:
-    """Summary facts of message rows: counts, cut texts sizes, first and last reply, by map-side aggregates."""
+def summarise_rows(messages: DataFrame, conv: str, pos: str, said: int | None = chat.USER_TEXT_CUT, replied: int | None = chat.REPLY_TEXT_CUT) -> DataFrame:
+    """Summary facts of message rows: counts, sizes of texts cut to ``said``, first and last reply cut to ``replied``, by map-side aggregates."""
     reply = F.col("role") == "assistant"
     at = F.struct(F.col(pos).alias("p"), F.col("text").alias("t"))
-
-    def cut(t: Column, n: int) -> Column:
-        return F.when(F.length(t) > n, F.concat(F.substring(t, 1, n), F.lit("..."))).otherwise(t)
-
     out = messages.groupBy(conv).agg(
         F.count(F.lit(1)).alias("message_count"),
         F.count_if(F.col("role") == "user").alias("user_messages"),
-        F.sum(F.when(F.col("role") == "user", F.length(cut(F.col("text"), chat.USER_TEXT_CUT))).otherwise(0)).alias("user_chars"),
+        F.sum(F.when(F.col("role") == "user", F.length(_cut(F.col("text"), said))).otherwise(0)).alias("user_chars"),
         F.min(F.when(reply, at)).alias("_first"), F.max(F.when(reply, at)).alias("_last"), F.count_if(reply).alias("replies"))
     return out.select(
         conv, "message_count", "user_messages", "user_chars",
-        cut(F.col("_first.t"), chat.REPLY_TEXT_CUT).alias("first_reply"),
-        F.when(F.col("replies") > 1, cut(F.col("_last.t"), chat.REPLY_TEXT_CUT)).alias("last_reply"))
+        _cut(F.col("_first.t"), replied).alias("first_reply"),
+        F.when(F.col("replies") > 1, _cut(F.col("_last.t"), replied)).alias("last_reply"))
 
 
 def topic_index(conversations: DataFrame, rules=chat.DOMAIN_RULES, skip=tuple(chat.SKIP_PATTERNS), least: int = 3) -> DataFrame:
