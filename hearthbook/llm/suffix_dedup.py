@@ -44,6 +44,7 @@ from hearthbook.session import materialise
 GRAM = 32
 SLAB = 4096
 MOST = 2 << 20  # bytes of text, or compressed text, looked at together
+TOGETHER = 1 << 16  # bytes of short texts that are anchored in one go
 WIDE = 1 << 16  # a piece's place and its number of strings travel as one number
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -65,28 +66,94 @@ class Powers:
 POWERS = Powers()
 
 
-def anchors(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pieces of a text: first string, number of strings, place of the anchor, its hash."""
-    count = len(raw) - length + 1
-    if count < 1:
-        none = np.empty(0, np.int64)
-        return none, none, none, np.empty(0, np.uint64)
-    POWERS.upto(len(raw) + 1)
-    data = np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)
-    sums = np.r_[np.uint64(0), np.cumsum(data * POWERS.down[:len(raw)])]
-    value = (sums[GRAM:] - sums[:-GRAM]) * POWERS.up[:len(raw) - GRAM + 1]
-    value = (value ^ (value >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of every gram of some bytes, by differences of running sums."""
+    POWERS.upto(len(data) + 1)
+    wide = data.astype(np.uint64)
+    wide += np.uint64(1)
+    wide *= POWERS.down[:len(wide)]
+    sums = np.zeros(len(wide) + 1, np.uint64)
+    np.cumsum(wide, out=sums[1:])
+    value = sums[GRAM:] - sums[:-GRAM]
+    value *= POWERS.up[:len(value)]
+    value ^= value >> np.uint64(29)
+    value *= np.uint64(0xBF58476D1CE4E5B9)
     value ^= value >> np.uint64(32)
-    # least gram of every string, leftmost of equals: minima over stretches that double in width
-    width, span = length - GRAM + 1, 1
-    least, place = value, np.arange(len(value))
+    return value
+
+
+def anchored(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of some texts: number of the text, first string, number of strings, place of the anchor, its hash.
+
+    The texts are read as one run of bytes; strings that would cross from one to the next are left out. Grams are
+    compared by the upper half of their hashes, the leftmost of equals counts.
+    """
+    width = length - GRAM + 1
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    begins, counts = np.cumsum(sizes) - sizes, np.maximum(sizes - length + 1, 0)
+    total = int(counts.sum())
+    if not total:
+        none = np.empty(0, np.int64)
+        return none, none, none, none, np.empty(0, np.uint64)
+    value = gram_hashes(np.frombuffer(b"".join(texts), np.uint8))
+    brief = (value >> np.uint64(32)).astype(np.uint32)
+    least, span = brief, 1
     while span < width:
         step = min(span, width - span)
-        right = least[step:] < least[:-step]
-        least, place = np.where(right, least[step:], least[:-step]), np.where(right, place[step:], place[:-step])
+        least = np.minimum(least[step:], least[:-step])
         span += step
-    new = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    return new, np.diff(np.r_[new, count]), place[new], value[place[new]]
+    # the strings inside texts, and where another least gram or another text begins among them
+    owner = np.repeat(np.arange(len(texts)), counts)
+    at = np.arange(total) + (begins - (np.cumsum(counts) - counts))[owner]
+    inside = least[at]
+    fresh = np.ones(total, bool)
+    np.not_equal(inside[1:], inside[:-1], out=fresh[1:])
+    other = np.zeros(total, bool)
+    other[np.cumsum(counts)[counts > 0] - counts[counts > 0]] = True
+    fresh |= other
+    first = np.flatnonzero(fresh)
+    # a smaller least gram has come in on the right; of a greater one the place is looked for
+    came = np.zeros(len(first), bool)
+    came[1:] = (inside[first[1:]] < inside[first[1:] - 1]) & ~other[first[1:]]
+    stop = np.append(first[1:], total)
+    found, ahead = [], np.arange(width)
+    while len(first):
+        start = at[first]
+        place = start + (width - 1)
+        seek = np.flatnonzero(~came)
+        for i in range(0, len(seek), SLAB):
+            rows = seek[i:i + SLAB]
+            near = brief[start[rows, None] + ahead] == inside[first[rows], None]
+            place[rows] = start[rows] + near.argmax(1)
+        found.append((first, place))
+        # strings beyond the anchor that have the same least gram once more
+        beyond = first + (place + 1 - start)
+        more = beyond < stop
+        first, stop = beyond[more], stop[more]
+        came = np.zeros(len(first), bool)
+    first, place = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(first, kind="stable")
+    first, place = first[order], place[order]
+    whose = owner[first]
+    n = np.diff(np.append(first, total))
+    return whose, at[first] - begins[whose], n, place - begins[whose], value[place]
+
+
+def anchors(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of a text: first string, number of strings, place of the anchor, its hash."""
+    return anchored([raw], length)[1:]
+
+
+def together(texts: list[bytes], most: int = TOGETHER) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first, texts): short texts in groups of about ``most`` bytes, long ones alone."""
+    low, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= most:
+            yield low, texts[low:i + 1]
+            low, held = i + 1, 0
+    if low < len(texts):
+        yield low, texts[low:]
 
 
 def sorted_rounds(columns, count: int, group: np.ndarray, age: np.ndarray, low: np.ndarray, high: np.ndarray,
@@ -190,7 +257,7 @@ def mapped(df: DataFrame, fn, schema: str | T.StructType) -> DataFrame:
 def packed_texts(docs: DataFrame, kind: str) -> DataFrame:
     """(k, h, z): texts as compressed bytes, as they travel."""
     def pack(batch: pa.RecordBatch) -> list:
-        z = zstandard.ZstdCompressor(level=6)
+        z = zstandard.ZstdCompressor(level=2)
         texts = [z.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(2).to_pylist()]
         return [batch.column(0), batch.column(1), pa.array(texts, pa.binary())]
 
@@ -207,9 +274,9 @@ def repeats(docs: DataFrame, firsts: DataFrame, kind: str, length: int, crowd: i
 
     def places(batch: pa.RecordBatch) -> list:
         rows, keys, ats = [], [], []
-        for i, t in enumerate(batch.column(2).to_pylist()):
-            start, n, _, key = anchors(t.encode("utf-8", "surrogatepass"), length)
-            rows.append(np.full(len(start), i))
+        for low, texts in together([t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]):
+            row, start, n, _, key = anchored(texts, length)
+            rows.append(low + row)
             keys.append(key.view(np.int64))
             ats.append(start * WIDE + n)
         rows = np.concatenate(rows) if rows else np.empty(0, np.int64)
@@ -229,16 +296,18 @@ def repeats(docs: DataFrame, firsts: DataFrame, kind: str, length: int, crowd: i
     def look(batch: pa.RecordBatch) -> list:
         tool = zstandard.ZstdDecompressor()
         rows, out = [], []
-        for i, (z, ats) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-            raw = unpack(z, tool)
-            start, n, place, _ = anchors(raw, length)
-            keep = np.isin(start * WIDE + n, np.array(ats))
-            for a, m, p in zip(start[keep].tolist(), n[keep].tolist(), place[keep].tolist(), strict=True):
+        wanted = batch.column(3).to_pylist()
+        for first, raws in together([unpack(z, tool) for z in batch.column(2).to_pylist()]):
+            row, start, n, place, _ = anchored(raws, length)
+            mine = np.array([i << 48 | at for i in range(len(raws)) for at in wanted[first + i]], np.int64)
+            keep = np.isin((row << 48) | (start * WIDE + n), mine)
+            for i, a, m, p in zip(row[keep].tolist(), start[keep].tolist(), n[keep].tolist(), place[keep].tolist(), strict=True):
+                raw = raws[i]
                 # strings that hold `half` bytes or more right of the anchor, and the others
                 middle = min(max(a, p - half), a + m)
                 for low, high, shared in ((middle, a + m, raw[p:p + GRAM + half]), (a, middle, raw[p - half:p + GRAM])):
                     if low < high:
-                        rows.append(i)
+                        rows.append(first + i)
                         same = xxhash.xxh3_64_intdigest(raw[low:high + length - 1], p - low)
                         out.append((signed(xxhash.xxh3_64_intdigest(shared)), signed(same), low, p - low, high - low))
         at = pa.array(rows, pa.int64())
