@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import gc
 import hashlib
 from collections.abc import Iterable, Iterator
@@ -24,6 +25,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def keeps_names(fn):
+    """For ``fn(docs, ...) -> DataFrame`` that hands on the caller's columns: none of their names can meet one it works with.
+
+    Columns that begin with an underscore, as all working names do, have others while ``fn`` runs; arguments that
+    name them follow. Without such columns nothing changes.
+    """
+    @functools.wraps(fn)
+    def run(docs: DataFrame, *args, **more) -> DataFrame:
+        odd = {c: f"column{i}_of_caller" for i, c in enumerate(docs.columns) if c.startswith("_")}
+        if not odd:
+            return fn(docs, *args, **more)
+        named = lambda v: odd.get(v, v) if isinstance(v, str) else v
+        out = fn(docs.withColumnsRenamed(odd), *map(named, args), **{k: named(v) for k, v in more.items()})
+        return out.withColumnsRenamed({new: old for old, new in odd.items()})
+    return run
+
+
 def word_count(text: Column) -> Column:
     """Words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from hearthbook.llm.common import keeps_names
 from hearthbook.session import materialise
 
 MIN_WORDS = 20
@@ -158,8 +159,13 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
                         marks: str = "_lines") -> DataFrame:
     """``docs`` with the repeated runs cut out of ``text``; other columns as they were.
 
-    ``marks`` gets (n_lines, n_removed, n_runs).
+    ``marks`` gets (n_lines, n_removed, n_runs), in place of a column that has this name.
     """
+    return without_repeats(docs.drop(marks), key, text, min_words, marks)
+
+
+@keeps_names
+def without_repeats(docs: DataFrame, key: str, text: str, min_words: int, marks: str) -> DataFrame:
     gone = repeated_runs(docs, key, text, min_words).groupBy("doc").agg(
         F.sort_array(F.collect_list(F.struct("i", "n"))).alias("_gone"))
     named = docs.withColumn("_doc", F.struct(F.col(key).alias("k"), F.xxhash64(text).alias("h")))

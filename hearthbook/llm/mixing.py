@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from hearthbook.llm.common import GAP, WORD, running, word_count
+from hearthbook.llm.common import GAP, WORD, keeps_names, running, word_count
 from hearthbook.session import materialise
 
 MAX_DRAWS = 500_000_000  # numpy draws hypergeometric numbers from populations below 10^9
@@ -160,16 +160,17 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 DRAWS = "array<struct<shard:bigint,place:bigint,words:bigint>>"
 
 
+@keeps_names
 def mixed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mix itself: each document as often as it is drawn, by shard, in each shard's own random order.
 
     The one document where a source's target ends gives its first words; documents without words are not drawn.
     """
     drawn = mix(docs, key, text, source, **options).select(
-        F.col(key).alias("_k"), F.col("mark").alias("_m"), F.col("source").alias("_s"), F.col("size").alias("_size"), "draws")
+        F.col(key).alias("_k"), F.col("mark").alias("_m"), F.col("source").alias("_s"), F.col("size").alias("_size"), F.col("draws").alias("_draws"))
     rows = docs.withColumn("_m", F.xxhash64(text))
     on = rows[key].eqNullSafe(drawn["_k"]) & (rows["_m"] == drawn["_m"]) & rows[source].eqNullSafe(drawn["_s"])
-    rows = rows.join(drawn.filter(F.size("draws") > 0), on).withColumn("_d", F.explode("draws"))
+    rows = rows.join(drawn.filter(F.size("_draws") > 0), on).withColumn("_d", F.explode("_draws"))
     worded = F.regexp_extract_all(F.col(text), F.lit(f"({GAP}*{WORD})"), F.lit(1))
     head = F.array_join(F.slice(worded, F.lit(1), F.col("_d.words").cast("int")), "")
     rows = rows.withColumn(text, F.when(F.col("_d.words") == F.col("_size"), F.col(text)).otherwise(head))

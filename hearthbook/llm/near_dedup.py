@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from hearthbook.llm.common import components
+from hearthbook.llm.common import components, keeps_names
 from hearthbook.session import materialise
 
 SHINGLE = 5
@@ -273,6 +273,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
         (alone | (F.struct("k", "mark") == F.col("least"))).alias("kept"))
 
 
+@keeps_names
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One document of each class, with its columns as they were; rows repeated with key and text leave one."""
     kept = near_classes(docs, key, text, **options).filter("kept").select(F.col(key).alias("_k"), F.col("mark").alias("_m"))

@@ -267,7 +267,9 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", model: str = M
     """``docs`` with the ids of ``text`` in a further column. The model file, a few MB at most, is sent to the tasks.
 
     With ``round_trip`` a column of that name says whether the ids, decoded in the same task, give the text back.
+    Columns that have these names already are replaced.
     """
+    docs = docs.drop(ids, *([round_trip] if round_trip else []))
     sent = docs.sparkSession.sparkContext.broadcast(load_model(model))
     more = [T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(round_trip, T.BooleanType())] if round_trip else [])]
     schema = T.StructType([*docs.schema.fields, *more])
@@ -291,7 +293,8 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", model: str = M
 
 
 def decode(tokens: DataFrame, ids: str = "ids", text: str = "decoded", model: str = MODEL) -> DataFrame:
-    """``tokens`` with the text that ``ids`` stand for in a further column."""
+    """``tokens`` with the text that ``ids`` stand for in a further column, in place of one that has its name."""
+    tokens = tokens.drop(text)
     sent = tokens.sparkSession.sparkContext.broadcast(load_model(model))
     schema = T.StructType([*tokens.schema.fields, T.StructField(text, T.StringType())])
     arrow = to_arrow_schema(schema)
