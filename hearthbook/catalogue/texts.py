@@ -10,7 +10,7 @@ from hearthbook.catalogue.base import derive, query, sql_list, sql_text, table
 from hearthbook.functions import dates as fd, text as ft
 from hearthbook.functions.text import unicode_words
 from hearthbook.operators import classify as cl, reports, timeline as tl
-from hearthbook.rulesets import chat, files as fr, ocr, timeline as rt
+from hearthbook.rulesets import chat, files as fr, mail as rm, ocr, timeline as rt
 
 DOCS = "select doc_id, text, lang, source from {documents}"
 
@@ -445,25 +445,31 @@ _MAIL_BODY = """text || chr(10) || case doc_id % 4 when 0 then '> quoted' || chr
 BODY_SQL = "select doc_id, source, " + _MAIL_BODY.replace("chr(10)", "'\n'") + " as body from {documents}"
 
 
-# Marks that would end a text early are blunted, so that every whole text is read to its added end.
-_REPLY_MARKS = r"(?m)^([ \t]*)(>|From:|On |-)"
-_SIGN_MARKS = r"[0-9—-]"
+_STRIP = r"regexp_replace({0}, '^[\s\x0B]+|[\s\x0B]+$', '', 'g')"
+_BODIES = "(select doc_id, source, " + _MAIL_BODY + " as body from documents)"
 
 
 @query("reply_stripping", "F7", f"""
-select doc_id, regexp_replace(regexp_replace(text, '{_REPLY_MARKS}', '\\1x', 'g') || case doc_id % 4 when 0 then chr(10) || 'after' when 1 then '' when 2 then ''
-  else chr(10) || 'From: here on' || chr(10) || 'we go' || chr(10) || '--' || chr(10) || 'call 555-0100' || chr(10) || 'Director of ' || source || chr(10) || '+1 212 555 0199' end,
-  '^\\s+|\\s+$', '', 'g') as body from documents""")
+with l as (select doc_id, string_split(body, chr(10)) as ls, list_transform(string_split(body, chr(10)), lambda x: {_STRIP.format('x')}) as st from {_BODIES} b),
+m as (select *, list_filter(range(1, len(st) + 1), lambda i: regexp_matches(st[i], '^On .+ wrote:$') or regexp_matches(st[i], '(?i)^-{{3,}}\\s*Original Message\\s*-{{3,}}')
+  or (regexp_matches(st[i], '^From:\\s+') and len(list_filter(st[i + 1:i + 3], lambda y: regexp_matches(y, '^(Sent|Date|To|Subject):\\s+'))) > 0))[1] as stop from l),
+k as (select doc_id, coalesce(ls[1:stop - 1], ls) as ls, coalesce(st[1:stop - 1], st) as st from m)
+select doc_id, {_STRIP.format("coalesce(array_to_string(list_filter(ls, lambda x, i: not (starts_with(st[i], '>') or (st[i] = '' and starts_with(coalesce(list_filter(st[1:i], lambda y: y <> '')[-1], ''), '>')))), chr(10)), '')")} as body from k""")
 def reply_stripping(spark, sf_dir):
-    blunt = table(spark, sf_dir, "documents").withColumn("text", F.regexp_replace("text", _REPLY_MARKS, "$1x"))
-    d = spark.sql(BODY_SQL.replace("{documents}", "{d}"), d=blunt)
+    d = derive(spark, sf_dir, BODY_SQL)
     return d.select("doc_id", ft.strip_replies(F.col("body")).alias("body"))
 
 
-@query("signatures", "F8", "select doc_id, '555-0100' as phone, 'Director of ' || source as title from documents")
+_TITLE = "(?i)^(?:" + "|".join(rm.TITLE_WORDS) + r")[\p{L}\p{N}_\s,/&-]*"
+
+
+@query("signatures", "F8", f"""
+with l as (select doc_id, body, string_split({_STRIP.format('body')}, chr(10)) as ls from {_BODIES} b),
+a as (select *, case when len(ls) > 15 then array_to_string(ls[-15:], chr(10)) else body end as area, list_filter(range(1, len(ls) + 1), lambda i: list_contains({sql_list(rm.SIGNATURE_MARKS)}, {_STRIP.format('ls[i]')}))[1] as mark from l)
+select doc_id, {_STRIP.format(f"list_filter(regexp_extract_all(area, {sql_text(rm.SIGNATURE_PHONE)}), lambda p: length(regexp_replace(p, '[^0-9]', '', 'g')) >= 7)[1]")} as phone,
+  nullif({_STRIP.format(f"regexp_extract(list_filter(list_transform(ls[mark + 1:], lambda x: {_STRIP.format('x')}), lambda x: regexp_matches(x, {sql_text(_TITLE)}) and not regexp_matches(x, {sql_text(rm.SIGNATURE_PHONE)}) and not contains(x, '@'))[1], {sql_text(_TITLE)})")}, '') as title from a""")
 def signatures(spark, sf_dir):
-    blunt = table(spark, sf_dir, "documents").withColumn("text", F.regexp_replace("text", _SIGN_MARKS, "x"))
-    d = spark.sql(BODY_SQL.replace("{documents}", "{d}"), d=blunt)
+    d = derive(spark, sf_dir, BODY_SQL)
     return d.withColumn("s", ft.signature(F.col("body"))).select("doc_id", "s.phone", "s.title")
 
 

@@ -160,18 +160,9 @@ def strip_replies(c: Column) -> Column:
 
     stop = F.array_position(F.transform(lines, is_mark), True)
     kept = F.when(stop > 0, F.slice(lines, 1, F.greatest(stop - 1, F.lit(0)).cast("int"))).otherwise(lines)
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("quoted"))
-
-    def step(acc: Column, line: Column) -> Column:
-        s = strip(line)
-        is_quote = F.startswith(s, F.lit(">"))
-        skip = is_quote | (acc["quoted"] & (s == ""))
-        return F.struct(
-            F.when(skip, acc["out"]).otherwise(F.concat(acc["out"], F.array(line))).alias("out"),
-            skip.alias("quoted"),
-        )
-
-    return F.aggregate(kept, start, step, lambda acc: strip(F.array_join(acc["out"], "\n")))
+    # a quoted line and the blank ones behind it go in one pass over the text
+    quoted = r"(?m)^[^\S\n]*>[^\n]*(?:\n|\z)(?:[^\S\n]*\n)*"
+    return strip(F.regexp_replace(F.array_join(kept, "\n"), quoted, ""))
 
 
 def signature(c: Column) -> Column:
