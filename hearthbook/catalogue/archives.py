@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hearthbook.catalogue.activity import CHOICES, HAVE, MEDIA, NOTES, NOTES_DUCK, PICKS, WORKS, _CATEGORY, _LINKS, _PICKED, _STATUS
+from hearthbook.catalogue.activity import CHOICES, HAVE, MEDIA, NOTES, NOTES_DUCK, PICKS, WORKS, _CATEGORY, _FOLLOW, _PICKED, _PRO, _SCORE8, _TAGS, _WARM
 from hearthbook.catalogue.base import REGISTRY, derive, query, table
 from hearthbook.catalogue.mailbox import OWN, _CM, raw_messages
 from hearthbook.catalogue.texts import CAST, PROSE_TOPICS, _SKIP_PROSE, _CAST, topics_sql, weighted_sql
@@ -282,3 +282,18 @@ def master_pipeline(spark, sf_dir):
     pages = spark.createDataFrame([("Nobody Known", "Nobody Known", 0)], "page string, name string, rank int")
     m = pipelines.contact_360(shaped, known, [OWN], book, crm, pages, results, "2002-01-01", "a")
     return m.select("email", "name", "total_emails", "emails_from", "emails_to", "first_contact", "last_contact", "communication_gap_days", "relationship_strength", "has_enrichment", "relationship_type")
+
+
+@query("social_pipeline", "R5 W8 P13", f"""
+select 'n' || conv_id as name, score, rank, cast(case when rank <= 25 then 1 when rank <= 60 then 2 else 3 end as bigint) as tier
+from (select conv_id, score, row_number() over (order by score desc, 'n' || conv_id) as rank from ({_SCORE8}) s where conv_id % 5 <> 0) r where rank <= 100""")
+def social_pipeline(spark, sf_dir):
+    """Ranking of contacts from threads of up to three people, known from their pages."""
+    c = table(spark, sf_dir, "conversations")
+    name = F.concat(F.lit("n"), "conv_id")
+    people = F.when(F.col("conv_id") % 5 == 0, F.array(*[F.lit(x) for x in "abcd"])).otherwise(F.array(name))
+    m = c.select(name.alias("name"), F.when(F.col("role") == "assistant", "me").otherwise("them").alias("author"), F.col("text").alias("body"),
+                 F.col("conv_id").alias("thread_id"), F.col("turn").alias("pos"), F.lit(None).cast("timestamp_ntz").alias("ts"), people.alias("participants"))
+    pages = c.filter("conv_id % 3 = 0").select(name.alias("title"))
+    out = pipelines.social_ranking(m, "me", pages, professional=_PRO, warmth=_WARM, followup=_FOLLOW, tags=_TAGS)
+    return out["ranking"].select("name", "score", "rank", "tier")

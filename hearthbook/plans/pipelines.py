@@ -157,14 +157,17 @@ def cast(contacts: DataFrame, own: Sequence[str] = ()) -> dict[str, DataFrame]:
 # -- social and chat ----------------------------------------------------------------------------
 
 
-def social_ranking(messages: DataFrame, owner: str, pages: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Best contacts of a message archive with tiers and tag counts. Threads of the same people are one."""
+def social_ranking(messages: DataFrame, owner: str, pages: DataFrame | None = None, **words) -> dict[str, DataFrame]:
+    """Best contacts of a message archive with tiers and tag counts. Threads of the same people are one.
+
+    ``words`` replace the word lists of the scores (professional, warmth, followup, tags).
+    """
     few = messages.filter((F.size("participants") > 0) & (F.size("participants") <= 3))
     present = None
     if pages is not None:
         people = few.select("name", F.explode("participants").alias("title")).distinct()
         present = people.join(pages.select("title").distinct(), "title", "left_semi").select("name").distinct()
-    scored = so.contact_score(few, "name", F.col("author") == owner, "body", ["thread_id", "pos"], "ts", present)
+    scored = so.contact_score(few, "name", F.col("author") == owner, "body", ["thread_id", "pos"], "ts", present, **words)
     ranked = so.contact_ranking(scored, "name")
     return {"scores": scored, "ranking": ranked, "tags": so.tag_counts(ranked)}
 
