@@ -8,6 +8,7 @@ from hearthbook.catalogue.base import derive, query, sql_list, sql_text, table
 from hearthbook.functions import names as fn, text as ft
 from hearthbook.operators import entities as oe, graph as og, linkage as ol
 from hearthbook.rulesets import entities as ent, files as fr
+from hearthbook.session import materialise
 
 DOCS = "select doc_id, text, lang, source from {documents}"
 
@@ -400,7 +401,7 @@ def significant_edges(spark, sf_dir):
 @query("degree_bridge", "A5 A6 W9", f"""
 select d.node, d.connections, b.bridge_score from (select node, count(*) as connections from ({_BOTH}) b group by node) d join ({_BRIDGE}) b using (node)""")
 def degree_bridge(spark, sf_dir):
-    e = _sig(spark, sf_dir)
+    e = materialise(_sig(spark, sf_dir), "edges")
     return og.degree(e).join(og.bridge_score(e, derive(spark, sf_dir, NODES)), "node")
 
 

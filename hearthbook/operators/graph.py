@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from hearthbook.operators.ordering import cap_per_group, top_neighbours
+from hearthbook.session import materialise
 
 
 def subject_members(df: DataFrame, subject: str, member: str, min_chars: int = 11) -> DataFrame:
@@ -74,12 +75,12 @@ def edge_samples(pairs: DataFrame, samples: int = 5, width: int = 80) -> DataFra
 
 def significant(edges: DataFrame, nodes: DataFrame, min_weight: int = 2, busy: int = 20) -> DataFrame:
     """Edges of weight two and more, and single ones between two busy contacts."""
-    many = nodes.filter(F.col("total_emails") >= busy).select("id")
-    strong = edges.filter(F.col("weight") >= min_weight)
-    weak = edges.filter(F.col("weight") < min_weight)
-    kept = weak.join(many.withColumnRenamed("id", "source"), "source", "left_semi").join(
-        many.withColumnRenamed("id", "target"), "target", "left_semi")
-    return strong.unionByName(kept.select(*edges.columns))
+    many = nodes.filter(F.col("total_emails") >= busy).select("id").distinct()
+    ends = [many.select(F.col("id").alias(end), F.lit(True).alias(f"_busy_{end}")) for end in ("source", "target")]
+    # one pass over the edges: both ends are looked up, strong edges pass anyway
+    seen = edges.join(ends[0], "source", "left").join(ends[1], "target", "left")
+    kept = seen.filter((F.col("weight") >= min_weight) | (F.col("_busy_source") & F.col("_busy_target")))
+    return kept.select(*edges.columns)
 
 
 def degree(edges: DataFrame) -> DataFrame:
@@ -106,7 +107,8 @@ def bridge_score(edges: DataFrame, nodes: DataFrame, top: int = 20) -> DataFrame
 
 
 def connectors(edges: DataFrame, nodes: DataFrame, k: int = 500, shown: int = 5) -> DataFrame:
-    """Best connected contacts with bridge score and their strongest neighbours."""
+    """Best connected contacts with bridge score and their strongest neighbours. The edges are stored once and read four times."""
+    edges = materialise(edges, "edges")
     top = degree(edges).orderBy(F.desc("connections"), F.asc("node")).limit(k)
     wanted = top.select("node")
     both = top_neighbours(edges, shown).join(F.broadcast(wanted), "node", "left_semi")

@@ -127,7 +127,7 @@ def relationship_graph(bundles: DataFrame, messages: DataFrame | None = None) ->
     else:
         subjects = messages.select(F.lower("contact").alias("contact"), "subject")
     pairs = og.cooccurrence_pairs(og.subject_groups(subjects, "subject", "contact"))
-    edges = og.significant(og.edge_weights(pairs), nodes)
+    edges = materialise(og.significant(og.edge_weights(pairs), nodes), "edges")
     sampled = edges.join(og.edge_samples(pairs), ["source", "target"])
     return {"nodes": nodes, "edges": sampled, "connectors": og.connectors(edges, nodes), "stats": og.graph_stats(nodes, edges)}
 
