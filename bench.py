@@ -21,6 +21,7 @@ HEADLINE = [
     "media_category", "directory_plan", "project_tokens", "collision_names", "hero_ranking", "leak_report",
     "broken_links", "style_fingerprint", "source_authority", "html_articles", "html_markdown", "stream_sessionize", "document_placement", "top_connectors",
     "press_links", "article_matches", "mentions", "note_lint", "html_archived",
+    "contact_bundle", "graph_pipeline", "timeline_pipeline", "chat_export",
 ]
 
 
