@@ -531,7 +531,7 @@ _lint_query("concepts_without_page", "Q8", f"select 'concept_without_page' as ch
             lambda n, links: lint.concepts(links, n))
 _lint_query("stale_notes", "Q9", f"select 'stale' as check, path, cast(date_diff('day', last_updated, date '2024-07-01') as varchar) as detail from ({NOTES_DUCK}) n where date_diff('day', last_updated, date '2024-07-01') > 90",
             lambda n, links: lint.stale(n, "2024-07-01"))
-_lint_query("underlinked_notes", "Q10", f"with o as (select src, count(*) as n from ({_LINKS}) l group by src) select 'underlinked' as check, path, cast(coalesce(o.n, 0) as varchar) as detail from ({NOTES_DUCK}) t left join o on o.src = path where type = 'canon' and coalesce(o.n, 0) < 3",
+_lint_query("underlinked_notes", "Q10 X3", f"with o as (select src, count(*) as n from ({_LINKS}) l group by src) select 'underlinked' as check, path, cast(coalesce(o.n, 0) as varchar) as detail from ({NOTES_DUCK}) t left join o on o.src = path where type = 'canon' and coalesce(o.n, 0) < 3",
             lambda n, links: lint.underlinked(n, links, 3))
 _lint_query("folders_not_empty", "Q11", f"select 'not_empty' as check, split_part(path, '/', 1) as path, cast(count(*) as varchar) as detail from ({NOTES_DUCK}) n where split_part(path, '/', 1) in ('04_CANON', '05_PROJECTS', '06_OUTPUTS') group by 2",
             lambda n, links: lint.not_empty(n.select("path")))

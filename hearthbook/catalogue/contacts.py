@@ -334,6 +334,26 @@ def page_actions(spark, sf_dir):
     return s.select("email", act.alias("action"), page_name(raw).alias("page"))
 
 
+@query("person_pages", "T8", f"""
+select email, '---' || chr(10) || 'type: person' || chr(10) || 'status: working' || chr(10) || 'last_updated: 2024-01-01' || chr(10) || 'aliases:' || chr(10) || '  - ' || email || chr(10) || 'email_contact: ' || email || chr(10) ||
+  'related_projects:' || case when emails_cc % 2 = 0 then chr(10) || '  - Dome' else ' []' end || chr(10) || '---' || chr(10) || chr(10) || '# N' || email || chr(10) || chr(10) || '## Who they are' || chr(10) ||
+  case when emails_to % 3 = 0 and emails_from % 2 = 0 then 'Curator. Relationship type: press.' when emails_to % 3 = 0 then 'Curator.' when emails_from % 2 = 0 then 'Relationship type: press.' else 'Contact from email archive.' end || chr(10) || chr(10) ||
+  '## Relationship' || chr(10) || case when total_emails % 5 > 0 then 'met ' || total_emails when emails_from % 2 = 0 then 'Press relationship via email archive.' else 'Unknown relationship via email archive.' end || chr(10) || chr(10) ||
+  '## Key interactions' || chr(10) || '| Date | Context | Notes |' || chr(10) || '|------|---------|-------|' || chr(10) || '| ' || strftime(first_contact, '%Y-%m-%d') || ' | hello | Inbound |' || chr(10) || '| ' || strftime(last_contact, '%Y-%m-%d') || ' | (no subject) | Outbound |' || chr(10) || chr(10) ||
+  '## Projects in common' || chr(10) || case when emails_cc % 2 = 0 then '- [[Dome]]' else '-' end || chr(10) || chr(10) || '## Source notes' || chr(10) || '- (Source: email archive, ' || strftime(first_contact, '%Y-%m-%d') || ' to ' || strftime(last_contact, '%Y-%m-%d') || ')' ||
+  chr(10) || chr(10) || '## Open questions' || chr(10) || '-' || chr(10) as page from ({COUNTS}) c""")
+def person_pages(spark, sf_dir):
+    c = counts(spark, sf_dir)
+    turn = lambda day, subject, side: F.struct(F.col(day).alias("date"), F.lit(subject).cast("string").alias("subject"), F.lit(side).alias("direction"))
+    c = c.select(
+        "email", "first_contact", "last_contact", F.concat(F.lit("N"), "email").alias("name"), F.when(F.col("emails_from") % 2 == 0, "press").otherwise("").alias("relationship_type"),
+        F.when(F.col("emails_to") % 3 == 0, "Curator").alias("role_title"), F.lit(None).cast("string").alias("communication_style"), F.lit("").alias("notable_context"),
+        F.when(F.col("total_emails") % 5 > 0, F.concat(F.lit("met "), "total_emails")).alias("relationship_summary"),
+        F.when(F.col("emails_cc") % 2 == 0, F.array(F.lit("Dome"))).alias("projects_in_common"),
+        F.array(turn("first_contact", "hello", "from"), turn("last_contact", None, "to")).alias("threads"))
+    return c.select("email", render.person_page("2024-01-01").alias("page"))
+
+
 @query("contact_briefs", "F43", f"""
 select email, 'Contact: ' || email || chr(10) || 'Email: ' || email || chr(10) || 'Total emails: ' || total_emails || chr(10) ||
   'Date range: ' || strftime(first_contact, '%Y-%m-%d') || ' to ' || strftime(last_contact, '%Y-%m-%d') as brief from ({COUNTS}) c""")

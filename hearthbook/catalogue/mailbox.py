@@ -52,7 +52,7 @@ def messages(spark, sf_dir):
     return pipelines.message_table(*raw_messages(spark, sf_dir), [OWN])
 
 
-@query("contact_bundle", "A1 W1 W2 U6", f"""
+@query("contact_bundle", "A1 W1 W2 U6 X2", f"""
 with cm as {_CM}, counts as (select contact, count(*) as total_emails, count(*) filter (direction = 'from') as emails_from, count(*) filter (direction = 'to') as emails_to,
   count(*) filter (direction = 'cc') as emails_cc, epoch_us(min(ts)) as first_contact, epoch_us(max(ts)) as last_contact from cm group by contact),
 names as (select contact, string_agg(shown, '|' order by length(shown) desc, shown) as display_names from (select distinct contact, shown from cm) d group by contact),
