@@ -43,7 +43,8 @@ def pieces(text: Column, sizes: list[int]) -> Column:
 def anchored(keys: DataFrame, parts: DataFrame) -> DataFrame:
     """(key, anchor): the piece of each key that the first stretches hold least often."""
     spark = keys.sparkSession
-    seen = [(r[0],) for r in parts.select("part").limit(SAMPLE).collect()]
+    # at most SAMPLE * STRETCH letters come to the driver, however long the longest key
+    seen = [(r[0],) for r in parts.select(F.substring("part", 1, STRETCH)).limit(SAMPLE).collect()]
     sample = spark.createDataFrame(seen, T.StructType([T.StructField("part", T.StringType())]))
     often = HOT * max(len(seen), 1)
 
