@@ -3,12 +3,12 @@
 Words are runs without ASCII blanks, A to Z in lower case; every text is closed by one end. Words are
 counted over all training documents. The ``vocab`` most frequent ones and the end are words of a gated
 recurrent network (``gru.py``), all others one word there; which of the others it is follows their
-counts or, with the Good-Turing share of words seen once, their spelling (byte pairs of all different
+counts or, with the Good-Turing share of words seen once, their spelling (byte triples of all different
 words). The product is a proper distribution over texts.
 
 The network learns from every training document once: documents are dealt into ``rates`` rounds by
 hash; in a round each task goes on from the common weights over its own share, and the weights are
-averaged by words seen. Weights, the ``head`` most frequent words and the table of byte pairs are all
+averaged by words seen. Weights, the ``head`` most frequent words and the table of byte triples are all
 that is broadcast or comes to the driver; each has a fixed bound. Words beyond the head are joined with
 their counts, each once per document.
 
@@ -38,8 +38,12 @@ RATES = (0.01, 0.005, 0.002)
 CHUNK = 2_000_000
 SLICE = 2 << 20  # bytes of text that a task takes up at once; a longer text comes whole
 BLOCK = 4096
+CONTEXTS = 16_381
+LEAN = 3.0
 BYTES = 257  # 256 marks the start of a word as context and its end as what follows
 
+PAIRS = BYTES * BYTES
+
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Words of all texts one after the other, and the number of words of each."""
@@ -69,42 +73,48 @@ def word_counts(train: DataFrame, text: str) -> DataFrame:
     return train.select(text).mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("c")).filter("c > 0")
 
 
-def byte_pairs(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the byte pairs of each word, start and end included, and where each word's begin."""
+def byte_codes(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte pairs and byte triples of each word, start and end included, as codes, and where each word's begin.
+
+    A triple's two leading bytes are told apart as one of ``CONTEXTS`` remainders.
+    """
     raw = words.cast(pa.binary())
     offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset:raw.offset + len(raw) + 1].astype(np.int64)
     data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]].astype(np.int64)
     sizes = np.diff(offsets)
     starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]).astype(np.int64)
-    # one place more than bytes for each word: before[i], after[i] run from (start, first byte) to (last byte, end)
+    # one place more than bytes for each word: from (start, first byte) to (last byte, end)
     places = np.arange(len(data)) + np.repeat(np.arange(len(sizes)), sizes)
     total = len(data) + len(sizes)
-    after, before = np.full(total, 256, np.int64), np.full(total, 256, np.int64)
+    after, before, sooner = (np.full(total + 1, 256, np.int64) for _ in range(3))
     after[places] = data
-    before[places + 1 if len(data) else places] = data
-    return before * BYTES + after, starts
+    before[places + 1] = data
+    # two bytes back: what was one byte back a place before, but for the first place of a word
+    sooner[1:] = before[:-1]
+    sooner[starts] = 256
+    after, before, sooner = after[:total], before[:total], sooner[:total]
+    return before * BYTES + after, (sooner * BYTES + before) % CONTEXTS * BYTES + after, starts
 
 
-def pair_counts(counts: DataFrame) -> np.ndarray:
-    """Byte pairs over all different words: at most 257 * 257 numbers."""
+def spelling_counts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, counts) of byte pairs, and of triples from ``PAIRS`` on, over all different words: a bounded number of codes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BYTES * BYTES, np.int64)
+        total = np.zeros(PAIRS + CONTEXTS * BYTES, np.int32)
         for batch in batches:
             if batch.num_rows:
-                total += np.bincount(byte_pairs(batch.column(0))[0], minlength=BYTES * BYTES)
+                pairs, triples, _ = byte_codes(batch.column(0))
+                np.add.at(total, np.concatenate([pairs, triples + PAIRS]), 1)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["code", "n"])
 
-    out = np.zeros(BYTES * BYTES, np.int64)
-    for pair, n in counts.filter("token IS NOT NULL").select("token").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n")).collect():
-        out[pair] = n
-    return out
+    found = counts.filter("token IS NOT NULL").select("token").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    return found["code"].to_numpy().astype(np.int64), found["n"].to_numpy().astype(np.float64)
 
 
 class Lexicon:
     """What the tasks know of the corpus: the head of the vocabulary, totals, and how words are spelled."""
 
-    def __init__(self, head: list[tuple[str, int]], ends: int, total: int, kinds: int, once: int, pairs: np.ndarray, vocab: int, least: int):
+    def __init__(self, head: list[tuple[str, int]], ends: int, total: int, kinds: int, once: int, codes: tuple[np.ndarray, np.ndarray], vocab: int, least: int):
         self.words, self.counts = [w for w, _ in head], np.array([c for _, c in head], np.float64)
         self.vocab = min(vocab - 2, len(head))
         self.ends, self.total, self.kinds, self.least = ends, total, kinds, least
@@ -112,8 +122,7 @@ class Lexicon:
         self.tail = total - ends - float(self.counts[:self.vocab].sum())
         # the share of words never seen, after Good and Turing; all of it where nothing was counted
         self.new = min(0.99, max(0.01, once / self.tail)) if self.tail > 0 else 1.0
-        smooth = pairs.reshape(BYTES, BYTES) + 0.05
-        self.spelling = np.log10(smooth / smooth.sum(1, keepdims=True)).ravel()
+        self.codes = codes
 
     def network_counts(self) -> np.ndarray:
         return np.concatenate([[self.ends, self.tail], self.counts[:self.vocab]])
@@ -125,11 +134,20 @@ class Lexicon:
         """log10 probability of the letters of each word."""
         if not len(words):
             return np.zeros(0)
-        pairs, starts = byte_pairs(words)
-        return np.add.reduceat(self.spelling[pairs], starts)
+        pairs, triples, starts = byte_codes(words)
+        # what followed two bytes, leaning on what followed the last of them
+        p = (self.triples[triples] + LEAN * self.pairs[pairs]) / (self.contexts[triples // BYTES] + LEAN)
+        return np.add.reduceat(np.log10(p), starts)
 
     def ready(self) -> None:
-        """Tables of the head, built once in each task."""
+        """Tables of spelling and of the head, built once in each task."""
+        codes, counts = self.codes
+        low = codes < PAIRS
+        pairs, self.triples = np.full(PAIRS, 0.05), np.zeros(CONTEXTS * BYTES, np.float32)
+        pairs[codes[low]] += counts[low]
+        self.triples[codes[~low] - PAIRS] = counts[~low]
+        self.pairs = (pairs.reshape(BYTES, BYTES) / pairs.reshape(BYTES, BYTES).sum(1, keepdims=True)).ravel()
+        self.contexts = self.triples.reshape(CONTEXTS, BYTES).sum(1)
         self.lookup = pa.array(self.words, pa.string())
         rest = self.counts[self.vocab:]
         by_letters = self.new * 10.0 ** self.spelled(self.lookup[self.vocab:])
@@ -184,7 +202,7 @@ def learned(counts: DataFrame, head: int, vocab: int) -> Lexicon:
     top = [] if least is None else counts.filter((F.col("c") >= least) & F.col("token").isNotNull()).collect()
     top = sorted(((r["token"], r["c"]) for r in top), key=lambda x: (-x[1], x[0].encode()))
     return Lexicon(top, ends, ends + sum(b["words"] for b in bins), (ends > 0) + sum(b["kinds"] for b in bins), sum(b["once"] for b in bins),
-                   pair_counts(counts), vocab, least if least is not None else 1 << 62)
+                   spelling_counts(counts), vocab, least if least is not None else 1 << 62)
 
 
 def averaged(train: DataFrame, text: str, lexicon: Lexicon, shape: gru.Shape, flat: np.ndarray, rate: float, trainers: int) -> np.ndarray:

@@ -73,8 +73,15 @@ def test_gradients_equal_differences():
 def test_words_and_letters():
     words, sizes = lm_scoring.words_of(pa.array(["A b\x0bÉ  c", "", " \t\n", "x\x1cy z", "\nq\r"]))
     assert words.to_pylist() == ["a", "b", "É", "c", "x\x1cy z", "q"] and list(sizes) == [4, 0, 0, 1, 1]
-    codes, starts = lm_scoring.byte_pairs(pa.array(["zz", "ab", "c"])[1:])
-    assert list(starts) == [0, 3] and [divmod(int(c), 257) for c in codes] == [(256, 97), (97, 98), (98, 256), (256, 99), (99, 256)]
+    pairs, triples, starts = lm_scoring.byte_codes(pa.array(["zz", "ab", "c"])[1:])
+    assert list(starts) == [0, 3] and [divmod(int(c), 257) for c in pairs] == [(256, 97), (97, 98), (98, 256), (256, 99), (99, 256)]
+    assert list(triples) == [(a * 257 + b) % lm_scoring.CONTEXTS * 257 + c for a, b, c in [(256, 256, 97), (256, 97, 98), (97, 98, 256), (256, 256, 99), (256, 99, 256)]]
+    known = lm_scoring.Lexicon([("ab", 2)], 1, 3, 2, 1, (np.array([0]), np.array([0.0])), 3, 1)
+    known.codes = (np.concatenate([pairs, triples + lm_scoring.PAIRS]), np.ones(2 * len(pairs)))
+    known.ready()
+    # the letters of all words of one byte and the ends of longer ones are one distribution
+    one = known.spelled(pa.array([bytes([i]) for i in range(1, 128)], pa.binary()))
+    assert 0 < (10 ** one).sum() < 1
 
 
 def brute_base(rows):
