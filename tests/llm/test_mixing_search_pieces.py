@@ -109,6 +109,27 @@ def test_search_equals_brute_force(spark):
     assert topk.top_k(df.limit(0), df).count() == 0 and topk.top_k(df, df.limit(0)).count() == 0
 
 
+def test_search_of_large_and_uneven_vectors(spark):
+    rng = random.Random(12)
+    rows = [(i, [rng.uniform(-2**19, 2**19) for _ in range(4)]) for i in range(250)]  # sums beyond 2^53
+    rows += [(i, [rng.random() for _ in range(rng.choice([0, 0, 3, 6]))]) for i in range(250, 330)]
+    rows += [(400, []), (500, [0.0, -1.0]), (601, [0.0, 0.0, 1.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [int(np.floor(1024 * x)) for x in v] for i, v in rows}
+    found = {}
+    for r in topk.top_k(df, df.filter("vec_id % 100 = 0"), block_rows=64).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert set(found) == {0, 100, 200, 300, 400, 500}
+    for q in found:
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:10]
+        assert found[q] == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    far = np.array([[2.0**40, 1 - 2.0**40], [2.0**40, -(2.0**40)], [0, 0]])
+    (asked, held, kind), = topk.exact_kinds(far[:1], far[1:2] * -1)
+    assert kind is object and asked.all() and held.all()
+    got = topk.search_block(topk.as_kind(np.array([[2.0**40, 2.0**40]]), object), np.array([9]), topk.as_kind(far, object), np.arange(3), 2)
+    assert list(got["vec_id"]) == [0, 1] and list(got["score"]) == [2**40, 0]
+
+
 def test_pieces_equal_the_library():
     v = pieces.vocabulary(pieces.load_model(pieces.MODEL))
     lib = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
