@@ -218,7 +218,8 @@ select doc_id, good, good and words >= 2 as contact, good and (words >= 2 or lis
 from (select *, length(name) >= 4 and not (words = 1 and ((name = upper(name) and name <> lower(name)) or list_contains({sql_list(fr.NAME_LIST_NOISE + fr.GENERIC_WORDS)}, low))) as good
   from (select *, lower(name) as low, {_WORDS} as words from ({_NAMES}) n) a) b""")
 def name_quality(spark, sf_dir):
-    n = derive(spark, sf_dir, _NAMES)
+    n = derive(spark, sf_dir, _NAMES.replace("upper(text)", "text"))
+    n = n.withColumn("name", F.when(F.col("doc_id") % 6 == 1, fn.upper_letters(F.col("name"))).otherwise(F.col("name")))
     name = F.col("name")
     return n.select("doc_id", fn.quality_entity(name).alias("good"), fn.quality_entity(name, "contact").alias("contact"), fn.quality_entity(name, "company").alias("company"),
                     fn.blocked_person(name).alias("blocked_person"), fn.blocked_entity(F.col("kind"), name).alias("blocked_entity"))
