@@ -1,8 +1,11 @@
 """Cases that a review of the third round found."""
 
+import gc
+
 from pyspark.sql import functions as F
 
 from hearthbook.functions import names as fn, text as ft
+from hearthbook.sources import articles as sa, html as h
 
 
 def test_long_numbers_above_the_mark_are_no_phones(spark):
@@ -19,3 +22,23 @@ def test_names_in_other_scripts_and_blanks(spark):
         "name", fn.quality_entity(name).alias("good"), fn.quality_entity(name, "company").alias("company"), fn.blocked_person(name).alias("blocked")).collect()}
     assert got == {"12\n": (False, False, False), " Labs": (True, False, False), "a\x0bbcd": (True, False, False),
                    "\u3000ab": (False, False, True), "ΟΔΟΣß": (True, False, False), "ABİC": (False, False, False)}
+
+
+def test_pages_are_freed_and_rows_handed_on_in_parts(spark, monkeypatch):
+    def nodes():
+        return sum(type(o) is h.Node for o in gc.get_objects())
+
+    gc.collect()
+    gc.disable()
+    try:
+        before = nodes()
+        with h.parsed("<div><p>a<b>c</b></p></div>" * 50) as root:
+            assert nodes() > before + 200
+        del root
+        assert nodes() <= before
+    finally:
+        gc.enable()
+    pages = spark.createDataFrame([(i, f"<body><p>a{i}</p><a href='x'>b</a></body>") for i in range(30)], "page_id long, html string").coalesce(1)
+    whole = sa.page_elements(pages).orderBy("page_id", "pos").collect()
+    monkeypatch.setattr(sa, "PART_CHARS", 500)
+    assert sa.page_elements(pages).orderBy("page_id", "pos").collect() == whole and len(whole) == 60
