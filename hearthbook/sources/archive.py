@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+import re
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from hearthbook.functions.media import png_size
 from hearthbook.functions.scores import extension_of, stem_of
 from hearthbook.functions.text import strip
+from hearthbook.session import materialise
 from hearthbook.sources.json_array import json_elements
 
 CHAT = (
@@ -50,22 +55,83 @@ def read_ocr_text(spark: SparkSession, path: str) -> DataFrame:
         part(3).alias("stem"), part(2).alias("month"), part(1).alias("old_category"), F.col("value").alias("text"))
 
 
+LISTED = "path string, is_folder boolean, length long, mod_time timestamp"
+
+
+@functools.lru_cache(maxsize=16)
+def _system(scheme: str, place: str):
+    from pyarrow import fs
+
+    return (fs.LocalFileSystem(), "") if scheme == "file" else fs.FileSystem.from_uri(f"{scheme}://{place}/")
+
+
+def _opened(path: str):
+    """File system and path in it, as a task opens them; the path is taken as written."""
+    scheme, place, inside = re.match(r"(?:([A-Za-z][\w+.-]*):(?://([^/]*))?)?(.*)", path, re.S).groups()
+    system, root = _system(scheme or "file", place or "")
+    return system, root.rstrip("/") + inside
+
+
+def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What lies in each folder, without names that Spark's readers hide."""
+    from pyarrow import fs
+
+    kinds = pa.schema([("path", pa.string()), ("is_folder", pa.bool_()), ("length", pa.int64()), ("mod_time", pa.timestamp("us", "UTC"))])
+    for b in batches:
+        for folder in b.column(0).to_pylist():
+            system, inside = _opened(folder)
+            found = system.get_file_info(fs.FileSelector(inside))
+            for at in range(0, len(found), 10_000):
+                part = [i for i in found[at:at + 10_000] if i.type in (fs.FileType.File, fs.FileType.Directory) and not (i.base_name.startswith(".") or i.base_name.startswith("_") and "=" not in i.base_name)]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([f"{folder.rstrip('/')}/{i.base_name}" for i in part], pa.string()), pa.array([i.type == fs.FileType.Directory for i in part], pa.bool_()),
+                    pa.array([i.size or 0 for i in part], pa.int64()), pa.array([i.mtime for i in part], pa.timestamp("us", "UTC"))], schema=kinds)
+
+
+def _read_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first bytes of the files marked to be opened, beside the listing."""
+    for b in batches:
+        heads = []
+        for path, wanted in zip(b.column("path").to_pylist(), b.column("wanted").to_pylist(), strict=True):
+            if wanted:
+                system, inside = _opened(path)
+                with system.open_input_file(inside) as file:
+                    heads.append(file.read(24))
+            else:
+                heads.append(None)
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(heads, pa.binary())], names=[*b.schema.names[:-1], "head"])
+
+
+def list_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+    """(path, length, mod_time) of the files below a folder: tasks list one level of folders after the other.
+
+    The driver holds neither files nor folders, however many there are.
+    """
+    folders, levels = spark.createDataFrame([(path,)], "path string"), []
+    while True:
+        seen = materialise(folders.repartition(spark.sparkContext.defaultParallelism).mapInArrow(_list_folders, LISTED), "listing")
+        levels.append(seen.filter("not is_folder").drop("is_folder"))
+        folders = seen.filter("is_folder").select("path")
+        if not recursive or folders.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
+
+
 def list_media(spark: SparkSession, path: str, recursive: bool = True, with_size: bool = False,
                skip_folders: Sequence[str] = ()) -> DataFrame:
-    """Files with extension, length and time. Contents are read only of PNG files, and only where sizes are asked for."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
+    """Files with extension, length and time. Only the heads of PNG files are read, and only where sizes are asked for."""
     name = F.substring_index("path", "/", -1)
-    out = rows.select("path", name.alias("name"), extension_of(name).alias("ext"), stem_of(name).alias("stem"),
-                      "length", F.col("modificationTime").cast("timestamp_ntz").alias("mod_time"))
-    kept = out.filter(~F.startswith("name", F.lit(".")))
+    kept = list_files(spark, path, recursive).select(
+        "path", name.alias("name"), extension_of(name).alias("ext"), stem_of(name).alias("stem"),
+        "length", F.col("mod_time").cast("timestamp_ntz").alias("mod_time"))
     for folder in skip_folders:
         kept = kept.filter(~F.contains("path", F.lit(f"/{folder}/")))
     if not with_size:
         return kept.withColumn("width", F.lit(None).cast("int")).withColumn("height", F.lit(None).cast("int"))
-    # without its content column the listing opens no file; a second one opens the PNG files
-    images = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.[pP][nN][gG]").load(path)
-    sizes = images.select("path", png_size(F.col("content")).alias("_s"))
-    return kept.join(sizes, "path", "left").withColumn("width", F.col("_s.width")).withColumn("height", F.col("_s.height")).drop("_s")
+    # files of one folder lie in one task's listing: their heads are read by all tasks
+    marked = kept.withColumn("wanted", F.endswith(F.lower("name"), F.lit(".png"))).repartition(4 * spark.sparkContext.defaultParallelism)
+    schema = T.StructType([*kept.schema.fields, T.StructField("head", T.BinaryType())])
+    sized = marked.mapInArrow(_read_heads, schema).withColumn("_s", png_size(F.col("head")))
+    return sized.withColumn("width", F.col("_s.width")).withColumn("height", F.col("_s.height")).drop("_s", "head")
 
 
 def read_selections(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ import gc
 from pyspark.sql import functions as F
 
 from hearthbook.functions import names as fn, text as ft
-from hearthbook.sources import articles as sa, html as h
+from hearthbook.sources import archive as ar, articles as sa, html as h
 
 
 def test_long_numbers_above_the_mark_are_no_phones(spark):
@@ -42,3 +42,16 @@ def test_pages_are_freed_and_rows_handed_on_in_parts(spark, monkeypatch):
     whole = sa.page_elements(pages).orderBy("page_id", "pos").collect()
     monkeypatch.setattr(sa, "PART_CHARS", 500)
     assert sa.page_elements(pages).orderBy("page_id", "pos").collect() == whole and len(whole) == 60
+
+
+def test_media_are_listed_by_tasks(spark, write, tmp_path):
+    for i in range(6):
+        write(f"m/{i % 2}/b/{i} é%20.PnG", bytes.fromhex("89504E470D0A1A0A0000000D49484452") + (i + 1).to_bytes(4, "big") + bytes(3) + b"\x09", "wb")
+    write("m/x.jpg", "abc")
+    write("m/_hidden/y.jpg", "abc")
+    got = ar.list_media(spark, str(tmp_path / "m"), with_size=True)
+    assert sorted((r.name, r.length, r.width, r.height) for r in got.collect()) == [
+        *[(f"{i} é%20.PnG", 24, i + 1, 9) for i in range(6)], ("x.jpg", 3, None, None)]
+    assert not any(f.endswith("PnG") for f in got.inputFiles())  # no file index of the driver holds them
+    flat = ar.list_media(spark, "file:" + str(tmp_path / "m"), recursive=False).collect()
+    assert [r.name for r in flat] == ["x.jpg"] and flat[0].mod_time.year > 2000
