@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hearthbook.functions import names as fn, text as ft
 from hearthbook.sources import archive as ar, articles as sa, html as h
+from hearthbook.streaming import flows
 
 
 def test_long_numbers_above_the_mark_are_no_phones(spark):
@@ -55,3 +56,13 @@ def test_media_are_listed_by_tasks(spark, write, tmp_path):
     assert not any(f.endswith("PnG") for f in got.inputFiles())  # no file index of the driver holds them
     flat = ar.list_media(spark, "file:" + str(tmp_path / "m"), recursive=False).collect()
     assert [r.name for r in flat] == ["x.jpg"] and flat[0].mod_time.year > 2000
+
+
+def test_look_up_settings_hold_inside_only(spark):
+    names = [f"spark.sql.sources.parallelPartitionDiscovery.{k}" for k in ("parallelism", "threshold")]
+    before = [spark.conf.get(n) for n in names]
+    with flows.quick_look_up(spark, "/tmp/x"):
+        assert int(spark.conf.get(names[0])) <= 4 * spark.sparkContext.defaultParallelism and int(spark.conf.get(names[1])) > 1_000_000
+    with flows.quick_look_up(spark, "hdfs://h/x"):
+        assert spark.conf.get(names[1]) == before[1]
+    assert [spark.conf.get(n) for n in names] == before
