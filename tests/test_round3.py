@@ -5,6 +5,7 @@ import gc
 from pyspark.sql import functions as F
 
 from hearthbook.functions import names as fn, text as ft
+from hearthbook.operators import graph as og
 from hearthbook.sources import archive as ar, articles as sa, html as h
 from hearthbook.streaming import flows
 
@@ -66,3 +67,10 @@ def test_look_up_settings_hold_inside_only(spark):
     with flows.quick_look_up(spark, "hdfs://h/x"):
         assert spark.conf.get(names[1]) == before[1]
     assert [spark.conf.get(n) for n in names] == before
+
+
+def test_pairs_of_subjects_are_dealt_to_many_parts(spark):
+    df = spark.range(4000).selectExpr("concat('a long subject ', id % 300) as s", "id % 7 as m")
+    members = og.subject_members(df, "s", "m")
+    assert members.count() == 2100 and members.rdd.getNumPartitions() >= 8 * spark.sparkContext.defaultParallelism
+    assert og.edge_weights(og.cooccurrence_pairs(og.member_groups(members))).agg(F.sum("weight")).first()[0] == 300 * 21
