@@ -5,7 +5,7 @@ import gc
 from pyspark.sql import functions as F
 
 from hearthbook.functions import names as fn, text as ft
-from hearthbook.operators import graph as og
+from hearthbook.operators import graph as og, reports
 from hearthbook.sources import archive as ar, articles as sa, html as h
 from hearthbook.streaming import flows
 
@@ -74,3 +74,16 @@ def test_pairs_of_subjects_are_dealt_to_many_parts(spark):
     members = og.subject_members(df, "s", "m")
     assert members.count() == 2100 and members.rdd.getNumPartitions() >= 8 * spark.sparkContext.defaultParallelism
     assert og.edge_weights(og.cooccurrence_pairs(og.member_groups(members))).agg(F.sum("weight")).first()[0] == 300 * 21
+
+
+def test_family_totals_classify_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def kind(x):
+        calls.add(1)
+        return {0: "alpha", 1: "beta", 2: "other"}[x % 3]
+
+    df = spark.range(30).select(F.udf(kind)("id").alias("category"))
+    got = reports.family_totals(df, "category", {"alpha": "greek", "beta": "greek"}).collect()
+    assert sorted((r.family, r.category or "", r.n) for r in got) == [("greek", "", 20), ("greek", "alpha", 10), ("greek", "beta", 10)]
+    assert calls.value == 30
