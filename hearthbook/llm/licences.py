@@ -1,12 +1,15 @@
 """Licence notices, found by a trained paragraph classifier in native columns.
 
-A paragraph is a \\n-split line; its features are the distinct hashes of its lower-case words and word
-pairs. A multinomial logistic regression with an L1 penalty is fitted to notices of each family and to
-paragraphs of the corpus as the unknown class, a bounded sample. Its few non-zero weights go into the
-plan as constants, so scoring is a projection without a shuffle. The unknown class is calibrated on
-held-out corpus paragraphs: a family must reach ``tau``, at least one half and above all but a share
-``alarm`` of what held-out unknown paragraphs reach. A prediction counts only if the paragraph also
-holds ``overlap`` of the words and word pairs of one of the family's templates.
+A paragraph is a \n-split line; its features are the distinct lower-case words and word pairs that stand in
+some notice. A multinomial logistic regression with an L1 penalty is fitted to notices of each family and,
+as the unknown class, to every paragraph of the corpus that is held for training: paragraphs of equal features
+are one row that weighs as many, so the fit reads all of them and its table stays small. The weights of the
+unknown class are scaled to ``unknown`` in all, which keeps the balance of the classes at any size. The few
+non-zero weights go into the plan as constants, so scoring is a projection without a shuffle. The unknown
+class is calibrated on all held-out corpus paragraphs: a family must reach ``tau``, at least one half and
+what all but a share ``alarm`` of the held-out unknown paragraphs that hold a weighted feature stay within.
+A prediction counts only if the paragraph also holds ``overlap`` of the words and word pairs of one of the
+family's templates.
 
 Null and blank texts have no paragraphs. Every row is judged alone; columns beside key and text are
 not read.
@@ -14,13 +17,15 @@ not read.
 
 from __future__ import annotations
 
+import functools
+import re
 from typing import NamedTuple
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hearthbook.llm.common import WORD, let
+from hearthbook.llm.common import WORD, let, running
 from hearthbook.session import materialise
 
 # Notices by family.
@@ -92,7 +97,6 @@ OTHER = [
     "This work is the work of many.", "She was licensed to practise in the state.",
 ]
 FAMILIES = sorted(TEMPLATES)
-BUCKETS = 1 << 16
 
 
 def tokens(line: Column) -> Column:
@@ -100,15 +104,10 @@ def tokens(line: Column) -> Column:
     return F.filter(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def grams(words: Column) -> Column:
-    """Distinct words and word pairs, as strings."""
-    pairs = F.when(F.size(words) < 2, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1))))
-    return F.array_distinct(F.concat(words, pairs))
-
-
-def bucket(gram: Column) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
+def grams(notice: str) -> tuple[list[str], list[str]]:
+    """Distinct words, and word pairs, of a notice in plain letters."""
+    words = [w for w in re.split(r"[^a-z0-9]+", notice.lower()) if w]
+    return list(dict.fromkeys(words)), list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
 
 
 def sql_array(values: list, kind: str) -> Column:
@@ -117,12 +116,34 @@ def sql_array(values: list, kind: str) -> Column:
 
 
 class Model(NamedTuple):
-    index: list[int]  # of each bucket: place of its weights from 1, or 0
-    weights: list[float]  # of each place, all classes after each other
+    terms: list[str]  # the words and word pairs with weights
+    weights: list[float]  # of each term, all classes after each other
     intercepts: list[float]
     tau: float
 
 
+@functools.cache
+def vocabulary() -> tuple[list[str], list[str]]:
+    """Words, and word pairs, of all notices and of the sentences that are none."""
+    every = [grams(t) for t in [t for texts in TEMPLATES.values() for t in texts] + OTHER]
+    return tuple(sorted({g for both in every for g in both[n]}) for n in (0, 1))
+
+
+def marks(line: Column) -> Column:
+    """The distinct words and word pairs of a paragraph that stand in some notice, sorted."""
+    words, pairs = vocabulary()
+    known = F.transform(tokens(line), lambda w: F.when(w.isin(words), w))
+
+    def find(own: Column) -> Column:
+        single = F.filter(own, lambda w: w.isNotNull())
+        coupled = F.filter(F.transform(F.sequence(F.lit(0), F.size(own) - 2), lambda i: F.concat(F.get(own, i), F.lit(" "), F.get(own, i + 1))),
+                           lambda g: g.isin(pairs))
+        return F.when(~F.exists(own, lambda w: w.isNotNull()), F.array().cast("array<string>")).when(F.size(own) < 2, single).otherwise(
+            F.array_sort(F.array_distinct(F.concat(single, coupled))))
+
+    return let(known, find)
+
+
 def notices(spark) -> DataFrame:
     """(line, label): the templates and their beginnings and ends; unknown is the last class."""
     rows = [(t, float(n)) for n, family in enumerate(FAMILIES) for t in TEMPLATES[family]]
@@ -136,68 +157,85 @@ def notices(spark) -> DataFrame:
     return known.select(F.explode(some).alias("line"), "label")
 
 
-def confirmed(words: Column, family: Column | str, overlap: float) -> Column:
+def covers(own: Column, template: str, overlap: float) -> Column:
+    """Whether the words and word pairs of a paragraph hold enough of a template's."""
+    words, pairs = grams(template)
+    return F.size(F.array_intersect(own, sql_array(words + pairs, "string"))) >= overlap * len(words + pairs)
+
+
+def confirmed(own: Column, family: Column, overlap: float) -> Column:
     """Whether a paragraph holds enough of one of the family's templates."""
-    def holds(own: Column, texts: list[str]) -> Column:
-        cover = [F.size(F.array_intersect(own, t)) >= overlap * F.size(t) for t in
-                 [grams(tokens(F.lit(x))) for x in texts]]
-        out = cover[0]
-        for c in cover[1:]:
-            out = out | c
-        return out
-
-    def choose(own: Column) -> Column:
-        out = F.lit(False)
-        for name in FAMILIES:
-            out = F.when(family == name, holds(own, TEMPLATES[name])).otherwise(out)
-        return out
-
-    return let(grams(words), choose)
-
-
-def fit(docs: DataFrame, text: str = "text", share: float = 0.05, sample_rows: int = 400, sample_lines: int = 4000,
-        alarm: float = 0.001) -> Model:
-    """The classifier; its sample of corpus paragraphs has ``sample_lines`` rows at most, half of them held out."""
-    spark = docs.sparkSession
-    lines = docs.select(text).sample(share, seed=5).limit(sample_rows).select(F.explode(F.split(text, "\n")).alias("line"))
-    lines = materialise(lines.filter(F.col("line").rlike(WORD)).limit(sample_lines), "lines")
-    # notices in the sample are no unknown paragraphs
+    out = F.lit(False)
+    for name in FAMILIES:
+        out = F.when(family == name, functools.reduce(Column.__or__, [covers(own, t, overlap) for t in TEMPLATES[name]])).otherwise(out)
+    return out
+
+
+def marked(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, n_paragraphs, bare, found): paragraphs, those for training without any mark, and the others with line, half and marks."""
+    each = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x, i: F.struct(
+        i.alias("line"), x.rlike(WORD).alias("some"), (F.pmod(F.xxhash64(x), F.lit(2)) == 0).alias("held"), marks(x).alias("terms")))
+    seen = let(each, lambda e: F.struct(
+        F.size(F.filter(e, lambda x: x["some"])).cast("long").alias("n_paragraphs"),
+        F.size(F.filter(e, lambda x: x["some"] & ~x["held"] & (F.size(x["terms"]) == 0))).cast("long").alias("bare"),
+        F.transform(F.filter(e, lambda x: F.size(x["terms"]) > 0), lambda x: F.struct(x["line"], x["held"], x["terms"])).alias("found")))
+    return docs.select(F.col(key), seen.alias("_seen")).select(key, "_seen.*")
+
+
+def fit(docs: DataFrame, text: str = "text", unknown: float = 2000.0, alarm: float = 0.001) -> Model:
+    """The classifier, from every paragraph of the corpus."""
+    return fit_marked(materialise(marked(docs.select(F.lit(0).alias("key"), F.col(text).alias("text")), "key", "text"), "marked"), unknown, alarm)
+
+
+def paragraphs(seen: DataFrame) -> DataFrame:
+    """(terms, held, n): how many unknown paragraphs have these marks; notices in the corpus are no unknown paragraphs."""
+    marks_of = seen.select(F.explode("found").alias("p")).groupBy("p.terms", "p.held").agg(F.count("*").alias("n"))
+    bare = seen.agg(F.sum("bare").alias("n")).filter("n > 0").select(F.array().cast("array<string>").alias("terms"), F.lit(False).alias("held"), "n")
     every = [t for texts in TEMPLATES.values() for t in texts]
-    own = grams(tokens(F.col("line")))
-    is_notice = F.lit(False)
-    for t in every:
-        is_notice = is_notice | (F.size(F.array_intersect(own, grams(tokens(F.lit(t))))) >= 0.6 * F.size(grams(tokens(F.lit(t)))))
-    plain = lines.filter(~is_notice).withColumn("held", F.pmod(F.xxhash64("line"), F.lit(2)) == 0)
-    features = F.transform(grams(tokens(F.col("line"))), lambda g: bucket(g).cast("string")).alias("features")
-    train = notices(spark).unionAll(plain.filter("not held").select("line", F.lit(float(len(FAMILIES))).alias("label")))
-    train = materialise(train.select(features, "label", F.when(F.col("label") < len(FAMILIES), 20.0).otherwise(1.0).alias("weight")), "train")
-    vectors = CountVectorizer(inputCol="features", outputCol="x", vocabSize=1 << 17, minDF=1.0, binary=True).fit(train)
+    is_notice = functools.reduce(Column.__or__, [covers(F.col("terms"), t, 0.6) for t in every])
+    return marks_of.filter(~is_notice).unionAll(bare)
+
+
+def fit_marked(seen: DataFrame, unknown: float = 2000.0, alarm: float = 0.001) -> Model:
+    """The classifier, from the marks of every paragraph (see ``marked``)."""
+    plain = materialise(paragraphs(seen), "paragraphs")
+    total = plain.filter("not held").agg(F.sum("n")).first()[0] or 0
+    share = min(1.0, unknown / total) if total else 1.0
+    last = float(len(FAMILIES))
+    train = notices(seen.sparkSession).select(marks(F.col("line")).alias("terms"), "label", F.when(F.col("label") < last, 20.0).otherwise(1.0).alias("weight"))
+    train = train.unionAll(plain.filter("not held").select("terms", F.lit(last).alias("label"), (F.col("n") * share).alias("weight")))
+    words, pairs = vocabulary()
+    vectors = CountVectorizerModel.from_vocabulary(words + pairs, inputCol="terms", outputCol="x", minTF=1.0, binary=True)
     model = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", family="multinomial",
                                elasticNetParam=1.0, regParam=0.002, maxIter=60).fit(vectors.transform(train))
-    matrix, index, weights = model.coefficientMatrix.toArray(), [0] * BUCKETS, []
-    for place, name in enumerate(vectors.vocabulary):
+    matrix, terms, weights = model.coefficientMatrix.toArray(), [], []
+    for place, term in enumerate(words + pairs):
         column = matrix[:, place]
         if abs(column).max() > 1e-6:
             weights += [round(float(v), 6) for v in column]
-            index[int(name)] = len(weights) // matrix.shape[0]
-    found = Model(index, weights or [0.0] * matrix.shape[0], [round(float(v), 6) for v in model.interceptVector.toArray()], 0.5)
-    reached = plain.filter("held").select(let(scores(tokens(F.col("line")), found), lambda s: F.array_max(F.slice(s, 1, len(FAMILIES)))).alias("p"))
-    worst = reached.agg(F.percentile("p", F.lit(1 - alarm)).alias("p")).first()["p"]
-    return found._replace(tau=max(0.5, float(worst or 0.0)))
+            terms.append(term)
+    found = Model(terms, weights or [0.0] * matrix.shape[0], [round(float(v), 6) for v in model.interceptVector.toArray()], 0.5)
+    return found._replace(tau=threshold(plain.filter("held"), found, alarm))
+
 
+def threshold(held: DataFrame, model: Model, alarm: float) -> float:
+    """The least value, one half or more, that at most a share ``alarm`` of the unknown paragraphs ``held`` (terms, n) exceed."""
+    best = let(scores(F.col("terms"), model), lambda s: F.array_max(F.slice(s, 1, len(FAMILIES))))
+    reached = held.select(best.alias("p"), "n").filter("p is not null").groupBy("p").agg(F.sum("n").alias("n"))
+    reached = materialise(reached, "reached")
+    total, high = reached.agg(F.sum("n"), F.sum(F.when(F.col("p") > 0.5, F.col("n")))).first()
+    if (high or 0) <= alarm * (total or 0):
+        return 0.5
+    above = running(reached.filter("p > 0.5"), [F.asc("p")], {"n": "upto"}, "at")
+    return float(above.filter(high - F.col("upto") <= alarm * total).agg(F.min("p")).first()[0])
 
-def scores(words: Column, model: Model) -> Column:
-    """Class probabilities of a paragraph, unknown last; null where no feature has a weight."""
+
+def scores(own: Column, model: Model) -> Column:
+    """Class probabilities of a paragraph by its marks, unknown last; null where no mark has a weight."""
     classes = len(FAMILIES) + 1
-    index, weights = sql_array(model.index, "int"), sql_array(model.weights, "double")
-    place = lambda h: F.element_at(index, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1)
+    terms, weights = sql_array(model.terms, "string"), sql_array(model.weights, "double")
     intercepts = sql_array(model.intercepts, "double")
-
-    def places(w: Column) -> Column:
-        single = F.filter(F.transform(w, lambda x: place(F.xxhash64(x))), lambda j: j > 0)
-        pairs = F.when(F.size(w) < 2, F.array().cast("array<int>")).otherwise(F.filter(F.transform(
-            F.sequence(F.lit(0), F.size(w) - 2), lambda i: place(F.xxhash64(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1))))), lambda j: j > 0))
-        return F.array_distinct(F.concat(single, pairs))
+    places = F.filter(F.transform(own, lambda t: F.array_position(terms, t).cast("int")), lambda j: j > 0)
 
     def softmax(margins: Column) -> Column:
         raised = F.transform(margins, lambda m: F.exp(m - F.array_max(margins)))
@@ -208,7 +246,7 @@ def scores(words: Column, model: Model) -> Column:
             found, F.element_at(intercepts, k + 1), lambda s, j: s + F.element_at(weights, (j - 1) * classes + k + 1)))
         return F.when(F.size(found) > 0, let(margins, softmax))
 
-    return let(let(words, places), score)
+    return let(places, score)
 
 
 def scan_licences(docs: DataFrame, key: str = "doc_id", text: str = "text", overlap: float = 0.6, model: Model | None = None) -> DataFrame:
@@ -216,21 +254,22 @@ def scan_licences(docs: DataFrame, key: str = "doc_id", text: str = "text", over
 
     ``paragraphs`` reads line:family, lines from 0, comma-joined; ``families`` lists each family once.
     """
-    model = model or fit(docs, text)
+    seen = marked(docs, key, text)
+    if model is None:
+        seen = materialise(seen, "marked")
+        model = fit_marked(seen)
     names = F.array(*[F.lit(f) for f in FAMILIES])
 
-    def family(words: Column) -> Column:
+    def family(own: Column) -> Column:
         def choose(p: Column) -> Column:
             best = F.array_max(F.slice(p, 1, len(FAMILIES)))
             return F.when(best >= model.tau, F.element_at(names, F.array_position(p, best).cast("int")))
 
-        guess = let(scores(words, model), choose)
-        return let(guess, lambda g: F.when(g.isNotNull(), F.when(confirmed(words, g, overlap), g)))
+        guess = let(scores(own, model), choose)
+        return let(guess, lambda g: F.when(g.isNotNull(), F.when(confirmed(own, g, overlap), g)))
 
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    judged = F.transform(lines, lambda x, i: F.struct(i.alias("line"), let(tokens(x), family).alias("family")))
-    out = docs.select(F.col(key), F.size(F.filter(lines, lambda x: x.rlike(WORD))).cast("long").alias("n_paragraphs"),
-                      F.filter(judged, lambda x: x["family"].isNotNull()).alias("_found"))
+    judged = F.transform("found", lambda x: F.struct(x["line"], family(x["terms"]).alias("family")))
+    out = seen.select(F.col(key), "n_paragraphs", F.filter(judged, lambda x: x["family"].isNotNull()).alias("_found"))
     return out.select(
         key, "n_paragraphs", F.size("_found").cast("long").alias("n_licensed"),
         F.array_join(F.array_sort(F.array_distinct(F.col("_found.family"))), ",").alias("families"),

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from hearthbook.llm import licences, pii, quality, secrets
@@ -188,3 +189,16 @@ def test_licences_on_notices_it_was_not_fitted_to(spark, edges, nothing):
 
 def test_an_empty_table_still_gives_a_model(nothing):
     assert licences.scan_licences(nothing.select("doc_id", "text")).select(F.count("*")).first()[0] == 0
+
+
+def test_licences_learn_from_every_paragraph(spark):
+    """A line that stands in one text of 3,000 is counted, and the order of the texts leaves the model as it is."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(
+        F.lit("the right to copy was given to a person\nwords of a plain text\n"), F.when(F.col("id") == 2999, "permission to sell parts of the library").otherwise(""),
+        F.when(F.col("id") % 3 == 0, F.lit("\nnotice and version of the work")).otherwise("")).alias("text"))
+    seen = licences.marked(docs, "doc_id", "text")
+    assert licences.paragraphs(seen).agg(F.sum("n")).first()[0] == 7001
+    assert licences.paragraphs(seen).filter("array_contains(terms, 'permission') and n = 1").count() == 1
+    one, other = licences.fit(docs), licences.fit(docs.repartition(5, "text").sortWithinPartitions(F.desc("doc_id")))
+    assert one.terms == other.terms and one.tau == pytest.approx(other.tau, abs=1e-3)
+    assert one.intercepts == pytest.approx(other.intercepts, abs=1e-3)
