@@ -6,11 +6,13 @@ import email
 import email.header
 import email.utils
 import hashlib
+import re
 from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from hearthbook.functions.dates import mail_date
 from hearthbook.functions.text import blank_to_null, html_to_text
@@ -36,15 +38,35 @@ RESULT = (
 def _decode(value) -> str:
     if value is None:
         return ""
+    if isinstance(value, str) and "=?" not in value:
+        return value  # no encoded word: decoding gives the header as it is
     try:
         return str(email.header.make_header(email.header.decode_header(str(value))))
     except (LookupError, ValueError, email.errors.HeaderParseError):
         return str(value)
 
 
+# Addresses without quotes, comments or routes: read by one pattern, all others by the parser of the standard library.
+_ADDR = r"[A-Za-z0-9_+-]+(?:\.[A-Za-z0-9_+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*"
+_ONE = rf"(?:([A-Za-z0-9]+(?: [A-Za-z0-9]+)*) <({_ADDR})>|({_ADDR}))"
+_EACH, _ALL = re.compile(_ONE), re.compile(rf"{_ONE}(?:,[ \n]*{_ONE})*")
+
+
+def _addresses(text: str) -> list[tuple[str, str]]:
+    if _ALL.fullmatch(text):
+        return [(m[1] or "", m[2] or m[3]) for m in _EACH.finditer(text)]
+    return email.utils.getaddresses([text])
+
+
+def _sender(text: str) -> tuple[str, str]:
+    m = _EACH.fullmatch(text)
+    return (m[1] or "", m[2] or m[3]) if m else email.utils.parseaddr(text)
+
+
 def _people(value, header: str) -> list[dict]:
     out = []
-    for name, addr in email.utils.getaddresses([_decode(value)]):
+    text = _decode(value)
+    for name, addr in _addresses(text) if text else ():
         if addr:
             out.append({"name": name.strip(), "addr": addr.lower().strip(), "header": header})
     return out
@@ -67,7 +89,7 @@ def _message(raw: str) -> dict:
     text = raw[5:] if raw.startswith("From ") else raw
     head, _, rest = text.partition("\n")
     msg = email.message_from_string(rest if ":" not in head.split(" ")[0] else text)
-    name, addr = email.utils.parseaddr(_decode(msg.get("From")))
+    name, addr = _sender(_decode(msg.get("From")))
     plain = _part(msg, "text/plain")
     return {
         "msg_id": hashlib.md5(((msg.get("Message-ID") or "") + raw).encode("utf-8", "replace")).hexdigest(),
@@ -87,11 +109,13 @@ def read_mbox(spark: SparkSession, path: str, account: str = "", max_chars: int
     """
     raw = spark.read.option("lineSep", "\nFrom ").text(path).filter(F.length(F.trim("value")) > 0)
 
-    def run(frames):
-        for pdf in frames:
-            yield pd.DataFrame([_message(v) for v in pdf["value"]])
+    schema = to_arrow_schema(T._parse_datatype_string(MESSAGE))
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist([_message(v) for v in batch.column(0).to_pylist()], schema=schema)
 
-    parsed = raw.select("value").mapInPandas(run, MESSAGE)
+    parsed = raw.select("value").mapInArrow(run, MESSAGE)
     body = F.coalesce("body_plain", html_to_text(F.col("body_html")), F.lit(""))
     whole = body if max_chars is None else F.substring(body, 1, max_chars)
     return parsed.select(

@@ -87,3 +87,21 @@ def test_family_totals_classify_once(spark):
     got = reports.family_totals(df, "category", {"alpha": "greek", "beta": "greek"}).collect()
     assert sorted((r.family, r.category or "", r.n) for r in got) == [("greek", "", 20), ("greek", "alpha", 10), ("greek", "beta", 10)]
     assert calls.value == 30
+
+
+def test_plain_addresses_and_headers_read_without_the_parser_as_with_it(monkeypatch):
+    import email.header
+    import email.utils
+    import random
+    from hearthbook.sources import mail
+    rng = random.Random(7)
+    pieces = ["Ann", " ", "  ", ", ", ",\n ", "a@b.example", "<x_1@y.example>", "<", ">", "@", ".", "-", '"', "(c)", "ü", ";", ":", "9", "=?utf-8?q?x?="]
+    for _ in range(20000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(9)))
+        assert mail._addresses(text) == email.utils.getaddresses([text]) and mail._sender(text) == email.utils.parseaddr(text)
+    monkeypatch.setattr(email.utils, "getaddresses", None)
+    monkeypatch.setattr(email.header, "decode_header", None)
+    raw = "From M\nFrom: Ann Lee <A@b.example>\nTo: me@own.example,\n C <c@d.example>\nSubject: Plain\n\nbody"
+    got = mail._message(raw)
+    assert (got["sender"], got["sender_name"], [(p["name"], p["addr"]) for p in got["recipients"]]) == (
+        "a@b.example", "Ann Lee", [("", "me@own.example"), ("C", "c@d.example")])
