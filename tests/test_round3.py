@@ -105,3 +105,12 @@ def test_plain_addresses_and_headers_read_without_the_parser_as_with_it(monkeypa
     got = mail._message(raw)
     assert (got["sender"], got["sender_name"], [(p["name"], p["addr"]) for p in got["recipients"]]) == (
         "a@b.example", "Ann Lee", [("", "me@own.example"), ("C", "c@d.example")])
+
+
+def test_signatures_split_a_body_once_and_trimming_stays(spark):
+    body = spark.createDataFrame([("a  ",), (" \x0b a\n\u0085",), ("On Monday x wrote:\nb",), ("a\n > b\n\nc\n",), (None,)], "c string")
+    plan = body.select(ft.signature(F.col("c"), mark_first=True).alias("s"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(") == 1
+    plain = F.regexp_replace("c", r"^\s+|\s+$", "")
+    assert body.filter(~ft.strip(F.col("c")).eqNullSafe(plain)).count() == 0
+    assert [r[0] for r in body.select(ft.strip_replies(F.col("c"))).collect()][2:] == ["", "a\nc", None]
