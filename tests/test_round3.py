@@ -114,3 +114,25 @@ def test_signatures_split_a_body_once_and_trimming_stays(spark):
     plain = F.regexp_replace("c", r"^\s+|\s+$", "")
     assert body.filter(~ft.strip(F.col("c")).eqNullSafe(plain)).count() == 0
     assert [r[0] for r in body.select(ft.strip_replies(F.col("c"))).collect()][2:] == ["", "a\nc", None]
+
+
+def test_entity_values_are_found_once_a_text_and_products_as_by_the_pattern(spark):
+    from hearthbook.functions import entities as fe
+    from hearthbook.rulesets import entities as ent
+    calls = spark.sparkContext.accumulator(0)
+
+    def look(x):
+        calls.add(1)
+        return [f"{x}{i % 30}" for i in range(40)]
+
+    found = F.udf(look, "array<string>")
+    rows = spark.createDataFrame([("a",), ("B",)], "c string")
+    assert [len(r[0]) for r in rows.select(ft.dedup_ci(found("c"))).collect()] == [30, 30] and calls.value == 2
+    plan = rows.select(ft.dedup_ci(F.split("c", "")).alias("s"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(") == 1
+    texts = spark.createDataFrame([("new NIKE air max",), ("a\nGarden chair $5\nb",), ("xfOrd kit\nTall lamp  $9",), ("plain",), ("$5\nNo price",), ("Kenzo nikon z-9",), ("",), (None,)], "c string")
+    plain = F.transform(ft.all_matches(F.col("c"), ent.PRODUCT), lambda p: ft.strip(F.regexp_replace(p, r"\s*\n\s*", " ")))
+    got = texts.select(fe.extract_products(F.col("c")).alias("got"), ft.dedup_ci(plain).alias("want")).collect()
+    assert [r.got for r in got] == [r.want or [] for r in got] and sum(len(r.got) for r in got) == 4
+    people = texts.limit(1).select(F.explode(fe._groups(F.lit("Liked by ann and Followed by bob\nMary Poppins\nBILLED TO: Jo Lee\n@shop_one Following"), ent.PERSON, 5)))
+    assert [r[0] for r in people.collect()] == ["ann", "bob", "Mary Poppins", "Jo Lee", "shop_one"]
