@@ -1,6 +1,7 @@
 """Looking up the entries of a dictionary of any size in texts of any length.
 
-A key is looked up by an anchor, one of its pieces. A look-ahead pattern slides over the text once and
+A handful of keys is looked for one by one. Up to ``TRIE_KEYS`` short keys become one pattern that shares their
+beginnings. Of more or longer ones, a key is looked up by an anchor, one of its pieces. A look-ahead pattern slides over the text once and
 gives its pieces; only where an anchor stands is its key compared, beside the text, in the same task.
 Texts are cut into stretches that overlap by the longest key, so no comparison reads more than one
 stretch and the cost grows with the length of the text, not with its square.
@@ -17,6 +18,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from hearthbook.functions.prefilter import occurring
+from hearthbook.functions.text import let
 from hearthbook.operators.ordering import cap_per_group
 from hearthbook.session import materialise
 
@@ -25,6 +28,8 @@ STRETCH = 4096
 SAMPLE = 1000
 HOT = 0.02
 BROADCAST_KEYS, BROADCAST_CHARS = 200_000, 8_000_000
+TRIE_KEYS, TRIE_CHARS, TRIE_LONGEST = 20_000, 200_000, 64
+FEW_KEYS = 16
 
 
 def stretches(docs: DataFrame, id_col: str, text: Column, longest: int) -> DataFrame:
@@ -61,10 +66,30 @@ def anchored(keys: DataFrame, parts: DataFrame) -> DataFrame:
     return whole.unionByName(short.filter(~extend).select("key", "anchor")).unionByName(long.select("key", "anchor"))
 
 
+def few_keys(docs: DataFrame, id_col: str, text: Column, keys: list[str]) -> DataFrame:
+    """(id, key) of a handful of keys, looked for one by one."""
+    known = F.array(*[F.lit(k) for k in keys]).cast("array<string>")
+    found = let(text, lambda t: F.filter(known, lambda k: F.contains(t, k)))
+    return docs.select(F.col(id_col).alias("id"), F.explode(found).alias("key")).distinct()
+
+
+def by_letters(docs: DataFrame, id_col: str, text: Column, keys: list[str]) -> DataFrame:
+    """(id, key) from one pass that reads the keys letter by letter: only keys found leave the text."""
+    there = set(keys)
+    # the pass gives the longest key of a place; shorter ones that it begins with stand there as well
+    begins = [(k, k[:n]) for k in keys for n in range(1, len(k) + 1) if k[:n] in there]
+    hits = docs.select(F.col(id_col).alias("id"), F.explode(occurring(text, keys)).alias("found"))
+    return hits.join(F.broadcast(docs.sparkSession.createDataFrame(begins, "found string, key string")), "found").select("id", "key").distinct()
+
+
 def contained(docs: DataFrame, id_col: str, text: Column, keys: DataFrame, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """(id, key) for every key found anywhere in a text of that id, each pair once. ``keys`` has the column key."""
     keys = materialise(keys.filter(F.length("key") > 0).select("key").distinct(), "keys")
     many, longest, letters = keys.agg(F.count("*"), F.max(F.length("key")), F.sum(F.length("key"))).first()
+    if many <= min(FEW_KEYS, broadcast_keys) and (letters or 0) <= STRETCH:
+        return few_keys(docs, id_col, text, [r[0] for r in keys.collect()])
+    if many <= min(TRIE_KEYS, broadcast_keys) and letters <= TRIE_CHARS and longest <= TRIE_LONGEST:
+        return by_letters(docs, id_col, text, [r[0] for r in keys.collect()])
     parts = stretches(docs, id_col, text, longest or 1)
     anchors = materialise(anchored(keys, parts), "anchors")
     sizes = sorted(r[0] for r in anchors.select(F.length("anchor")).distinct().collect()) or [ANCHOR]

@@ -47,3 +47,15 @@ def test_several_dictionaries_in_one_pass(spark):
         "who": ("b", people, 1), "whose": ("f", people, 3), "where": ("b", places, 4), "there": ("f", places, 1)})
     assert sorted(map(tuple, got.select("path", "who", "whose", "where", "there").collect()), key=str) == [
         ("a/x", "Ann Lee", None, None, "Harbour Works"), ("b", None, "Ann Lee", None, None), ("d", "Bob", "Bob", "Harbour Works", None)]
+
+
+@pytest.mark.parametrize("n", [3, 16, 300])
+def test_short_dictionaries_carry_no_text_and_equal_brute_force(spark, n):
+    rng = random.Random(n)
+    text = lambda k: "".join(rng.choice("aab \n.-é漢😀[") for _ in range(k))
+    rows = [(i, text(rng.randrange(300))) for i in range(50)] + [(50, None), (51, ""), (1, "aab aabb")]
+    keys = list(dict.fromkeys(text(rng.randrange(1, 9)) for _ in range(2 * n)))[:n]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    found = dictionary.contained(docs, "id", F.col("text"), spark.createDataFrame([(k,) for k in keys], "key string"))
+    assert "part#" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == pairs(rows, keys)
