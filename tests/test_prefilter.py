@@ -32,3 +32,22 @@ def test_index_is_a_necessary_condition(spark):
             assert r[f"n{i}"] or not re.search(p, r.t)
             sure += not r[f"n{i}"]
     assert sure > len(texts)
+
+
+def test_sets_of_words_are_found_on_batches_as_one_by_one(spark):
+    import random
+    from hearthbook.functions.prefilter import held, holds_any
+    from hearthbook.operators.classify import keyword_class
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("ab.é $[\\|*\n😀K") for _ in range(n))
+    sets = [[text(rng.randrange(1, 4)) for _ in range(rng.randrange(4))] for _ in range(35)]
+    texts = [text(rng.randrange(30)) for _ in range(200)] + ["", None]
+    df = spark.createDataFrame([(t,) for t in texts], "c string")
+    for t, found in df.select("c", held(F.col("c"), sets)).collect():
+        assert sorted(map(int, found)) == [i for i, ws in enumerate(sets) if any(w in (t or "") for w in ws)]
+    assert [r[0] for r in df.filter("c is not null").select(holds_any(F.col("c"), ["k.", "B["], fold=True)).collect()] == [
+        "K." in t or "b[" in t for t in texts if t is not None]
+    rules = {"x": (1.0, ["ab", "ab", "$"]), "y": (1.5, ["é", "$"])}
+    classed = keyword_class(spark.createDataFrame([("AB $",), ("É",), ("É$ab",), (None,)], "c string"), F.col("c"), F.lit("-"), rules)
+    assert [(r.category, r.score) for r in classed.collect()] == [("x", 2.0), ("-", 1.5), ("y", 3.0), ("-", 0.0)]
+    assert "exists(" not in classed._jdf.queryExecution().optimizedPlan().toString() and "Contains" not in classed._jdf.queryExecution().optimizedPlan().toString()
