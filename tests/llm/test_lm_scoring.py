@@ -1,7 +1,9 @@
 """The recurrent model: gradients against differences, proper probabilities, base scores against brute force, held-out gain."""
 
+import itertools
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -126,3 +128,32 @@ def test_held_out_texts_of_a_regular_language_gain(spark):
     rows = [(i, text(rng.randrange(20, 200))) for i in range(1500)]
     got = lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).filter("held_out").toPandas()
     assert len(got) > 100 and got.score.sum() / got.n_tokens.sum() > got.base_score.sum() / got.n_tokens.sum() + 0.3
+
+
+def fresh_memory(work):
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_windows_take_up_the_arrays_of_the_one_before():
+    counts = np.array([400.0, 9000, *range(600, 0, -1)])
+    shape = gru.Shape(len(counts), 8, 16, gru.class_edges(counts, 24))
+    flat = gru.fresh(shape, counts)
+    lanes = gru.deal(texts(6, 2000, vocab=len(counts), longest=80), 256)
+    first, second = itertools.islice(gru.windows(lanes), 2)
+    net, grad = gru.Net(flat, shape), gru.views(np.zeros_like(flat), shape)
+    h = net.gradient(np.zeros((256, 16), np.float32), first, grad)
+    layer = second.inputs.size * shape.hidden * flat.itemsize
+    # with fresh arrays for every window a gradient took 22 layers of states, and probabilities 4
+    assert fresh_memory(lambda: net.gradient(h, second, grad)) < 8 * layer
+    states = net.states(h, second.inputs, *net.prepared()).reshape(-1, shape.hidden)
+    assert fresh_memory(lambda: net.log_probs(states, second.targets.ravel())) < 2.5 * layer
+    # nothing of an earlier window is left in what is found
+    other = gru.views(np.zeros_like(flat), shape)
+    gru.Net(flat, shape).gradient(h, second, other)
+    net.gradient(h, second, grad)
+    assert all(np.array_equal(grad[name], other[name]) for name in grad)
