@@ -170,9 +170,17 @@ def network_texts(lexicon: Lexicon, places: np.ndarray, sizes: np.ndarray) -> li
 
 def gathered(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
     """(first column, words, sizes) of about ``CHUNK`` words, so that enough texts run side by side; a longer text comes whole."""
-    # large arrays go back to the system at once
-    pa.set_memory_pool(pa.system_memory_pool())
+    # large arrays go back to the system at once, what lies between smaller ones after every chunk
+    pool = pa.system_memory_pool()
+    pa.set_memory_pool(pool)
     first, words, sizes, held = [], [], [], 0
+
+    def taken() -> tuple[pa.Array, pa.Array, np.ndarray]:
+        whole = pa.concat_arrays(first), pa.concat_arrays(words), np.concatenate(sizes)
+        for parts in (first, words, sizes):
+            parts.clear()
+        return whole
+
     for batch in (part for whole in batches for part in slices(whole, pc.binary_length(whole.column(text)), SLICE)):
         found, counts = words_of(pc.fill_null(batch.column(text), ""))
         first.append(batch.column(0))
@@ -180,10 +188,12 @@ def gathered(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.
         sizes.append(counts)
         held += len(found)
         if held >= CHUNK:
-            yield pa.concat_arrays(first), pa.concat_arrays(words), np.concatenate(sizes)
-            first, words, sizes, held = [], [], [], 0
+            held = 0
+            yield taken()
+            pool.release_unused()
     if first:
-        yield pa.concat_arrays(first), pa.concat_arrays(words), np.concatenate(sizes)
+        yield taken()
+    pool.release_unused()
 
 
 def learned(counts: DataFrame, head: int, vocab: int) -> Lexicon:
@@ -214,7 +224,8 @@ def averaged(train: DataFrame, text: str, lexicon: Lexicon, shape: gru.Shape, fl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, form, weights = shared.value
         known.ready()
-        chunks = (network_texts(known, known.ids(words), sizes) for _, words, sizes in gathered(batches, 0))
+        # a map holds no chunk while the next step works
+        chunks = map(lambda chunk: network_texts(known, known.ids(chunk[1]), chunk[2]), gathered(batches, 0))
         new, seen = gru.train(weights, form, chunks, rate)
         if seen:
             blocks = [new[i:i + BLOCK] for i in range(0, len(new), BLOCK)]
@@ -256,7 +267,8 @@ def in_head(docs: DataFrame, key: str, text: str, lexicon: Lexicon, shape: gru.S
         known.ready()
         net = gru.Net(weights, form)
         base, end = known.base(known.counts), float(known.base(np.array([known.ends]))[0])
-        for keys, words, sizes in gathered(batches, 1):
+
+        def scored(keys: pa.Array, words: pa.Array, sizes: np.ndarray) -> pa.RecordBatch:
             docs_, places = len(sizes), known.ids(words)
             owner = np.repeat(np.arange(docs_), sizes)
             seen = places >= 0
@@ -272,8 +284,10 @@ def in_head(docs: DataFrame, key: str, text: str, lexicon: Lexicon, shape: gru.S
             offsets = np.searchsorted(rare["doc"].to_numpy(), np.arange(docs_ + 1))
             fields = [tokens, pa.array(rare["count_all"].to_numpy(), pa.int64()), pa.array(known.spelled(tokens))]
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(item)))
-            yield pa.RecordBatch.from_arrays([keys.cast(arrow.field(0).type), pa.array(sizes + 1, pa.int64()), pa.array(held, pa.int64()), pa.array(based), pa.array(score),
-                                              lists.cast(arrow.field(5).type)], schema=arrow)
+            return pa.RecordBatch.from_arrays([keys.cast(arrow.field(0).type), pa.array(sizes + 1, pa.int64()), pa.array(held, pa.int64()), pa.array(based), pa.array(score),
+                                               lists.cast(arrow.field(5).type)], schema=arrow)
+
+        yield from map(lambda chunk: scored(*chunk), gathered(batches, 1))
 
     return docs.select(docs[key].alias("k"), docs[text].alias("t")).mapInArrow(run, schema)
 
